@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, token_counts, toxicity
+from . import licenses, mixing, quality, token_counts, toxicity
 from ._spark import read
 
 
@@ -21,6 +21,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -29,6 +33,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
 }
 
