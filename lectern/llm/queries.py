@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, token_counts, toxicity
+from . import decontaminate, licenses, mixing, quality, token_counts, toxicity
 from ._spark import read
 
 
@@ -13,6 +13,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
