@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, token_counts, toxicity
+from . import decontaminate, licenses, mixing, near_dup, quality, token_counts, toxicity
 from ._spark import read
 
 
@@ -33,6 +33,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(spark, read(spark, sf_dir, "documents")).drop("node")
+
+
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
@@ -40,6 +44,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}

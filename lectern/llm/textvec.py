@@ -19,6 +19,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
+MAX_DOCS = 1 << 15
 
 _R = U64(0x9E3779B97F4A7C15)
 _R_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -111,7 +112,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     buf = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1), i + MAX_DOCS)
         yield Slice(i, buf[off[i] : off[j]], off[i : j + 1] - off[i])
         i = j
 
