@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,8 +134,6 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1,
     placed = sized.alias("s").join(dealt.alias("c"), F.expr("s.source <=> c.source and s.size = c.size"), "left")
     placed = placed.select("_id", "s.source", "s.size", "copies", "n", part.alias("part"), *[f"_keep_{c}" for c in keep])
     in_part = placed.where("size > 0").groupBy("source", "size", "part", "n", "copies").agg(F.count("*").alias("m"))
-    from pyspark.sql import Window
-
     running = F.sum("m").over(Window.partitionBy("source", "size").orderBy("part"))
     share_of = lambda upto: F.floor(upto.cast("decimal(38,0)") * F.col("copies") / F.col("n"))
     in_part = in_part.withColumn("upto", running).select("source", "size", "part", "m", (share_of(F.col("upto")) - share_of(F.col("upto") - F.col("m"))).cast("long").alias("k"))
@@ -146,3 +144,18 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1,
     out = given.unionByName(placed.where("size = 0").select("_id", "source", "size", F.lit(0).cast("long").alias("copies"), *kept))
     out = out.alias("o").join(targets.alias("t"), F.expr("o.source <=> t.source"))
     return out.select(F.col("_id").alias(id_col), "o.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it, with copy numbers from 1 in ``copy``.
+
+    The mix is computed without texts; they are shuffled once, to meet their copies.
+    """
+    names = docs.columns
+    keyed = lambda df: df.withColumns({"_k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_n": F.col(id_col).isNull(), "_s": F.coalesce("source", F.lit("")), "_m": F.col("source").isNull()})
+    keys = ["_k", "_n", "_s", "_m", "size"]
+    taken = keyed(mix(spark, docs, id_col=id_col, **settings)).groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    met = keyed(sizes(docs).select(*names, "size") if "size" not in names else sizes(docs)).join(taken, keys)
+    met = met.withColumn("_c", F.element_at("_copies", nth)).where("_c > 0")
+    return met.select(*names, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("copy"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, near_dup, pii, quality, token_counts, toxicity
+import corpus_pipeline
+
+from . import ann, decontaminate, language_model, licenses, mixing, near_dup, pii, quality, token_counts, toxicity
 from ._spark import read
 
 
@@ -13,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,8 +47,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(spark, read(spark, sf_dir, "documents")).drop("node")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pii": op1_pii,
+    "op2_language_model": op2_language_model,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
@@ -50,6 +62,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -151,3 +151,16 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, mod
     """doc_id, held_out, score, predicted; worst_start is the first byte of the worst sentence, -1 without one."""
     out = score_with(train(docs, labels, modulus, excluded, train_rows), docs, ["doc_id"])
     return out.select("doc_id", (_spark.crc_mod("doc_id", modulus) == excluded).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_score", "worst_start")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, **settings) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    model = train(docs, labels, **settings)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            scores = [model.scores(s)[0] for s in tv.slices(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
