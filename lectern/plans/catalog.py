@@ -1,6 +1,454 @@
-"""The registered queries and their oracles."""
+"""The registered queries, each with the SQL it must agree with where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import text as t
+from lectern.operators import graph, overlay, validate
+from lectern.sources import html
+from lectern.sources.files import ignored, visible
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _links(spark, d) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", "url", F.explode(F.expr(r"""regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1)""")).alias("href"))
+
+
+LINKS = r"""(SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) AS href FROM pages)"""
+SCRIPT = r"<script\b([^>]*)>([\s\S]*?)</script>"
+SCRIPTS = rf"""(SELECT page_id, i - 1 AS idx, coalesce(nullif(regexp_extract(a, 'type="([^"]*)"', 1), ''), '') AS type, regexp_extract(a, 'id="([^"]*)"', 1) AS id, source
+  FROM (SELECT page_id, unnest(generate_series(1, len(aa))) AS i, unnest(aa) AS a, unnest(ss) AS source
+        FROM (SELECT page_id, regexp_extract_all(html, '{SCRIPT}', 1) AS aa, regexp_extract_all(html, '{SCRIPT}', 2) AS ss FROM pages)))"""
+
+
+def _scripts(spark, d) -> DataFrame:
+    p = SCRIPT.replace("\\", "\\\\")
+    rows = _read(spark, d, "pages").select("page_id", F.expr(f"posexplode(arrays_zip(regexp_extract_all(html, '{p}', 1), regexp_extract_all(html, '{p}', 2)))").alias("idx", "s"))
+    a = F.col("s.0")
+    return rows.select("page_id", F.col("idx").cast("long").alias("idx"), F.regexp_extract(a, 'type="([^"]*)"', 1).alias("type"), F.regexp_extract(a, 'id="([^"]*)"', 1).alias("id"), F.col("s.1").alias("source"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Links of parsed pages by kind."""
+    nodes = html.nodes(_read(spark, d, "pages"), "page_id", "html").where("tag = 'a' and tpl_root is null")
+    return nodes.select(t.link_class(F.col("attrs")["href"]).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT page_id, href FROM {LINKS}")
+def link_scan(spark, d):
+    return _links(spark, d).select("page_id", "href")
+
+
+@_query(rf"SELECT href, CASE WHEN href = '' THEN 'empty' WHEN href LIKE '#%' THEN 'fragment' WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'external' ELSE 'path' END AS kind, count(*) AS n FROM {LINKS} GROUP BY ALL")
+def link_class(spark, d):
+    return _links(spark, d).groupBy("href", t.link_class("href").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT url, split_part(url, '#', 1) AS target, CASE WHEN strpos(url, '#') > 0 THEN substr(url, strpos(url, '#')) ELSE '' END AS fragment FROM pages")
+def link_parts(spark, d):
+    return _read(spark, d, "pages").select("url", t.link_target("url").alias("target"), t.link_fragment("url").alias("fragment"))
+
+
+@_query("SELECT * FROM (VALUES ('a/./b','a/b'),('a/../b','b'),('../x','../x'),('a/b/../../..','..'),('','.'),('/a//b/','/a/b'),('/../x','/x')) v(path, normal)")
+def path_normalize(spark, d):
+    rows = spark.createDataFrame([("a/./b",), ("a/../b",), ("../x",), ("a/b/../../..",), ("",), ("/a//b/",), ("/../x",)], "path string")
+    return rows.select("path", t.path_normalize("path").alias("normal"))
+
+
+@_query("SELECT * FROM (VALUES ('a/b.html','a/c.html','./c.html'),('a/b.html','c.html','../c.html'),('b.html','x/c.html','./x/c.html'),('a/b/c.html','a/d/e.html','../d/e.html')) v(src, dst, href)")
+def rel_href(spark, d):
+    rows = spark.createDataFrame([("a/b.html", "a/c.html"), ("a/b.html", "c.html"), ("b.html", "x/c.html"), ("a/b/c.html", "a/d/e.html")], "src string, dst string")
+    return rows.select("src", "dst", t.rel_href("src", "dst").alias("href"))
+
+
+KNOWN = f"(SELECT DISTINCT href AS node FROM {LINKS} WHERE length(href) % 2 = 0)"
+
+
+@_query(f"SELECT page_id AS src, href AS dst FROM {LINKS} WHERE href NOT IN (SELECT node FROM {KNOWN})")
+def dangling_links(spark, d):
+    links = _links(spark, d).select(F.col("page_id").alias("src"), F.col("href").alias("dst"))
+    return graph.dangling(links, links.select(F.col("dst").alias("node")).where("length(dst) % 2 = 0").distinct())
+
+
+@_query(f"SELECT href, count(*) AS n FROM {LINKS} WHERE href <> '' AND href NOT LIKE '#%' AND NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AND split_part(href, '#', 1) NOT IN (SELECT node FROM {KNOWN}) GROUP BY href")
+def outward_links(spark, d):
+    links = _links(spark, d)
+    known = links.select(F.col("href").alias("target")).where("length(href) % 2 = 0").distinct()
+    out = links.where(t.link_class("href") == "path").withColumn("target", t.link_target("href"))
+    return out.join(known, "target", "left_anti").groupBy("href").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT page_id, idx, type, id, source FROM {SCRIPTS}")
+def script_blocks(spark, d):
+    return _scripts(spark, d)
+
+
+@_query(f"SELECT page_id, idx, CASE WHEN type LIKE 'node/%' THEN '.ts' ELSE '.js' END AS ext FROM {SCRIPTS}")
+def script_lang(spark, d):
+    return _scripts(spark, d).select("page_id", "idx", t.script_lang("type").alias("ext"))
+
+
+@_query(f"SELECT page_id, coalesce(nullif(id, ''), '@' || idx) AS locator FROM {SCRIPTS}")
+def script_locator(spark, d):
+    return _scripts(spark, d).select("page_id", t.locator("id", "idx").alias("locator"))
+
+
+@_query(f"SELECT page_id, page_id || '.' || idx || CASE WHEN type LIKE 'node/%' THEN '.ts' ELSE '.js' END AS name, length(source) AS n FROM {SCRIPTS}")
+def virtual_files(spark, d):
+    name = F.concat(F.col("page_id").cast("string"), F.lit("."), F.col("idx").cast("string"), t.script_lang("type"))
+    return _scripts(spark, d).select("page_id", name.alias("name"), F.length("source").cast("long").alias("n"))
+
+
+@_query(f"SELECT count(*) AS blocks, count(DISTINCT page_id) AS documents FROM {SCRIPTS}")
+def script_totals(spark, d):
+    return _scripts(spark, d).agg(F.count("*").alias("blocks"), F.count_distinct("page_id").alias("documents"))
+
+
+@_query(f"SELECT l.page_id, l.wanted, coalesce(s.idx, -1) AS idx FROM (SELECT page_id, '@0' AS wanted FROM pages UNION ALL SELECT page_id, '@7' FROM pages) l LEFT JOIN {SCRIPTS} s ON s.page_id = l.page_id AND coalesce(nullif(s.id, ''), '@' || s.idx) = l.wanted")
+def locator_join(spark, d):
+    wanted = _read(spark, d, "pages").select("page_id", F.explode(F.array(F.lit("@0"), F.lit("@7"))).alias("wanted"))
+    found = _scripts(spark, d).select("page_id", t.locator("id", "idx").alias("wanted"), "idx")
+    return wanted.join(found, ["page_id", "wanted"], "left").select("page_id", "wanted", F.coalesce("idx", F.lit(-1)).cast("long").alias("idx"))
+
+
+PATHS = ["a.html", ".x/a.html", "n/node_modules/b.html", "n/b.html", "_u.html", "build/z.html", "c.htm", "a/.b", "x/tmp1.html"]
+PATHS_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") v(path)"
+
+
+def _paths(spark) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in PATHS], "path string")
+
+
+@_query(f"SELECT path FROM {PATHS_SQL} WHERE path NOT IN ('.x/a.html', 'n/node_modules/b.html', 'a/.b')")
+def walk_filter(spark, d):
+    return _paths(spark).where(visible("path"))
+
+
+@_query(f"SELECT path FROM {PATHS_SQL} WHERE path NOT IN ('build/z.html', 'x/tmp1.html')")
+def ignore_filter(spark, d):
+    return _paths(spark).where(~ignored("path", ["# note", "/build/", "tmp?.html"]))
+
+
+@_query("SELECT page_id FROM pages WHERE split_part(url, '#', 1) LIKE '%.html'")
+def html_files(spark, d):
+    return _read(spark, d, "pages").where(t.link_target("url").endswith(".html")).select("page_id")
+
+
+@_query("SELECT url FROM pages WHERE url LIKE 'https://%' AND length(url) > 30")
+def corpus_list(spark, d):
+    return _read(spark, d, "pages").where(F.col("url").startswith("https://") & (F.length("url") > 30)).select("url")
+
+
+@_query("SELECT page_id, length(html) AS n FROM pages WHERE page_id = 7")
+def corpus_read(spark, d):
+    return _read(spark, d, "pages").where("page_id = 7").select("page_id", F.length("html").cast("long").alias("n"))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def corpus_exists(spark, d):
+    return _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels"), "doc_id", "left_semi")
+
+
+@_query("SELECT page_id, split_part(url, '#', 1) AS template, CASE WHEN strpos(url, '#') = 0 THEN 'undefined' ELSE split_part(url, '#', 2) END AS type, (strpos(url, '#') > 0) AS resolved FROM pages")
+def resolve_ref(spark, d):
+    pages = _read(spark, d, "pages")
+    parts = F.split("url", "#")
+    refs = pages.select("page_id", parts[0].alias("template"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("undefined")).alias("type"))
+    types = refs.where("type <> 'undefined'").select("template", "type").distinct().withColumn("there", F.lit(True))
+    return refs.join(types, ["template", "type"], "left").select("page_id", "template", "type", F.coalesce("there", F.lit(False)).alias("resolved"))
+
+
+@_query("SELECT * FROM (VALUES ('list','t/list.template.html'),('note','t/note.template.html'),('run','c/run.command.html')) v(id, path)")
+def host_resolve(spark, d):
+    rows = spark.createDataFrame([("c/list.command.html",), ("t/list.template.html",), ("t/note.template.html",), ("z/note.template.html",), ("c/run.command.html",), ("x.html",)], "path string")
+    rank = F.struct(F.col("path").endswith(".command.html"), F.col("path"))
+    return rows.select(t.host_id("path").alias("id"), "path").where("id is not null").groupBy("id").agg(F.min_by("path", rank).alias("path"))
+
+
+@_query(r"SELECT h.id, count(DISTINCT p.page_id) AS n FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS id FROM pages UNION SELECT 'nobody.example') h LEFT JOIN pages p ON regexp_extract(p.url, '^[a-z]+://([^/]*)', 1) = h.id GROUP BY h.id")
+def instances_per_host(spark, d):
+    pages = _read(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("id"), "page_id")
+    counts = pages.groupBy("id").agg(F.count_distinct("page_id").alias("n"))
+    hosts = pages.select("id").union(spark.createDataFrame([("nobody.example",)], "id string")).distinct()
+    return hosts.join(counts, "id", "left").fillna(0, ["n"])
+
+
+FIELD_ROWS = [("order", "status", True, None, "F O", False), ("order", "priority", True, "^[1-3]-", None, False), ("order", "clerk", True, None, None, False), ("order", "note", False, None, None, True)]
+
+
+def _orders(spark, d):
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("instance"), F.lit("order").alias("type"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise("x").alias("clerk"), F.when(F.col("o_orderkey") % 7 == 0, "y").alias("extra"))
+    found = orders.select("instance", F.expr("stack(4, 'status', status, 'priority', priority, 'clerk', clerk, 'extra', extra) as (field, text)")).where("text is not null")
+    fields = spark.createDataFrame(FIELD_ROWS, "type string, field string, required boolean, pattern string, enum string, repeatable boolean")
+    return orders.select("instance", "type"), found, fields
+
+
+def _rule(rule: str, field: str, where: str) -> str:
+    return f"SELECT o_orderkey AS instance, '{rule}' AS rule, '{field}' AS field, '{field}: {rule}' AS message FROM orders WHERE {where}"
+
+
+RULES = {
+    "required": _rule("required", "clerk", "o_orderkey % 5 = 0"),
+    "pattern": _rule("pattern", "priority", "NOT regexp_matches(o_orderpriority, '^[1-3]-')"),
+    "enum": _rule("enum", "status", "o_orderstatus NOT IN ('F', 'O')"),
+    "empty": _rule("empty", "clerk", "o_orderkey % 5 = 0"),
+    "undeclared": _rule("undeclared", "extra", "o_orderkey % 7 = 0"),
+}
+ALL_RULES = "(" + " UNION ALL ".join(RULES.values()) + ")"
+
+
+@_query(RULES["required"])
+def validate_required(spark, d):
+    return validate.required(*_orders(spark, d))
+
+
+@_query(RULES["pattern"])
+def validate_pattern(spark, d):
+    return validate.pattern(*_orders(spark, d))
+
+
+@_query(RULES["enum"])
+def validate_enum(spark, d):
+    return validate.enum(*_orders(spark, d))
+
+
+@_query(RULES["empty"])
+def empty_fields(spark, d):
+    return validate.empty(_orders(spark, d)[1])
+
+
+@_query("SELECT o_custkey AS instance, 'status' AS field, 'status: repeated' AS message FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def repeated_fields(spark, d):
+    orders = _read(spark, d, "orders").select(F.col("o_custkey").alias("instance"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("text"))
+    fields = spark.createDataFrame(FIELD_ROWS, "type string, field string, required boolean, pattern string, enum string, repeatable boolean")
+    return validate.repeated(orders.select("instance").distinct().withColumn("type", F.lit("order")), orders, fields).select("instance", "field", "message")
+
+
+@_query("SELECT event_id AS instance, 'undeclared' AS rule, 'k' AS field, 'k: undeclared' AS message FROM events")
+def undeclared_fields(spark, d):
+    found = _read(spark, d, "events").select(F.col("event_id").alias("instance"), F.explode(F.json_object_keys("props")).alias("field"))
+    fields = spark.createDataFrame([("event", "n")], "type string, field string")
+    return validate.undeclared(found.select("instance", F.lit("event").alias("type")).distinct(), found, fields)
+
+
+@_query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https://[a-z0-9.]*\\.org/')")
+def validate_attr(spark, d):
+    rules = spark.createDataFrame([("url", r"^https://[a-z0-9.]*\.org/")], "attr string, rule string")
+    found = _read(spark, d, "pages").select("page_id", "url", F.lit("url").alias("attr"))
+    return found.join(F.broadcast(rules), "attr").where("not url rlike rule").select("page_id", "url")
+
+
+@_query(f"SELECT (SELECT count(DISTINCT o_orderkey) FROM orders) AS checked, count(DISTINCT instance) AS fail FROM {ALL_RULES}")
+def validate_report(spark, d):
+    instances, found, fields = _orders(spark, d)
+    return validate.report(instances, validate.validate(instances, found, fields))
+
+
+@_query(f"SELECT o.o_orderkey AS instance, count(e.message) = 0 AS ok, coalesce(string_agg(e.message, ',' ORDER BY e.k, e.message), '') AS errors FROM orders o LEFT JOIN (SELECT instance, message, 0 AS k FROM {ALL_RULES} UNION ALL SELECT o_orderkey, 'dear', 1 FROM orders WHERE o_totalprice > 200000) e ON e.instance = o.o_orderkey GROUP BY o.o_orderkey")
+def validate_matrix(spark, d):
+    instances, found, fields = _orders(spark, d)
+    custom = _read(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("instance"), F.lit("dear").alias("message"))
+    return validate.verdicts(instances, validate.validate(instances, found, fields), custom).withColumn("errors", F.array_join("errors", ","))
+
+
+@_query(f"SELECT coalesce(f.instance, e.instance) AS instance, CASE WHEN e.instance IS NULL THEN 'unexpected' WHEN f.instance IS NULL THEN 'missing' ELSE 'expected' END AS state FROM (SELECT DISTINCT instance FROM {ALL_RULES}) f FULL JOIN (SELECT o_orderkey AS instance FROM orders WHERE o_orderkey % 3 = 0) e ON e.instance = f.instance")
+def expected_violations(spark, d):
+    found = validate.validate(*_orders(spark, d))
+    expected = _read(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("instance"))
+    return validate.reconciled(found, expected, ["instance"])
+
+
+@_query("SELECT a.name, p.p_brand AS type, count(*) AS n FROM (VALUES ('x', 'Brand#1%'), ('y', 'Brand#22')) a(name, touches) JOIN part p ON p.p_brand LIKE a.touches GROUP BY ALL")
+def audit_touches(spark, d):
+    audits = spark.createDataFrame([("x", "Brand#1*"), ("y", "Brand#22")], "name string, touches string")
+    return _read(spark, d, "part").join(F.broadcast(audits), F.expr("p_brand like replace(touches, '*', '%')")).groupBy("name", F.col("p_brand").alias("type")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT o_orderkey AS node FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orphans(spark, d):
+    nodes = _read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "P").alias("goal"))
+    edges = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    return graph.orphans(nodes, edges)
+
+
+@_query("SELECT doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def dangling_outcome(spark, d):
+    edges = _read(spark, d, "labels").select(F.lit(None).cast("long").alias("src"), F.col("doc_id").alias("dst"))
+    return graph.without_cause(_read(spark, d, "documents").select(F.col("doc_id").alias("node")), edges)
+
+
+@_query("SELECT l_orderkey AS action FROM lineitem GROUP BY l_orderkey HAVING NOT bool_or(l_returnflag = 'R' OR l_discount > 0.08)")
+def hollow_action(spark, d):
+    some = F.bool_or((F.col("l_returnflag") == "R") | (F.col("l_discount") > 0.08))
+    return _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("action")).agg(some.alias("some")).where("not some").select("action")
+
+
+@_query("""WITH RECURSIVE e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 's1', 'r0' UNION ALL SELECT 's2', 'r1'),
+ c(node) AS (SELECT 'r0' UNION SELECT e.dst FROM c JOIN e ON e.src = c.node) SELECT node FROM c""")
+def seed_closure(spark, d):
+    link = lambda a, x, b, y: (F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
+    edges = _read(spark, d, "nation").select(*link("r", "n_regionkey", "n", "n_nationkey")).union(_read(spark, d, "supplier").select(*link("n", "s_nationkey", "s", "s_suppkey")))
+    edges = edges.union(spark.createDataFrame([("s1", "r0"), ("s2", "r1")], "src string, dst string"))
+    return graph.closure(spark, spark.createDataFrame([("r0",)], "node string"), edges)
+
+
+@_query("SELECT c.c_custkey AS node, 2 AS depth FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey")
+def instance_depth(spark, d):
+    nation, region = _read(spark, d, "nation"), _read(spark, d, "region")
+    up = F.broadcast(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.col("r_regionkey").isNotNull().cast("int").alias("above")))
+    return _read(spark, d, "customer").join(up, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("node"), (F.col("n_nationkey").isNotNull().cast("int") + F.col("above")).alias("depth"))
+
+
+@_query(r"""SELECT doc_id, CASE WHEN length(c) > 76 THEN regexp_replace(substr(c, 1, 75), ' +$', '') || '…' ELSE c END AS s FROM (SELECT doc_id, coalesce(nullif(regexp_extract(l, '^(.*?\.)(?:\s|$)', 1), ''), l) AS c
+  FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS l FROM documents))""")
+def first_sentence(spark, d):
+    return _read(spark, d, "documents").select("doc_id", t.first_sentence("text").alias("s"))
+
+
+@_query(r"""SELECT * FROM (VALUES (1, 'a' || chr(10) || chr(10) || 'b'), (2, chr(10)), (3, chr(10) || chr(10)), (4, chr(10) || ' ' || chr(10))) v(i, s)""")
+def ws_collapse(spark, d):
+    rows = spark.createDataFrame([(1, "a\n\nb", False), (2, "\n\n\n", False), (3, "\n\n", True), (4, "\n\n \n\n", False)], "i int, s string, pre boolean")
+    return rows.select("i", t.ws_collapse("s", F.col("pre")).alias("s"))
+
+
+@_query(r"SELECT page_id, replace(source, '</p', '<\/p') AS source FROM " + SCRIPTS)
+def escape_raw(spark, d):
+    return _scripts(spark, d).select("page_id", t.escape_raw("source", F.lit("p")).alias("source"))
+
+
+@_query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS purpose FROM documents")
+def host_purpose(spark, d):
+    return _read(spark, d, "documents").select("doc_id", t.squeeze("text").alias("purpose"))
+
+
+@_query("SELECT * FROM (VALUES (1, ' one '), (2, 'Does it.' || chr(10) || chr(10) || 'More.'), (3, 'x')) v(i, s)".replace("' one '", "' one'"))
+def format_comment(spark, d):
+    rows = spark.createDataFrame([(1, "/* one */"), (2, "/**\n * Does it.\n *\n * More.\n */"), (3, "/*\nx\n*/")], "i int, s string")
+    return rows.select("i", t.format_comment("s").alias("s"))
+
+
+@_query("""SELECT * FROM (VALUES (1, '', 'a=true'), (2, '', 'a=b'), (3, '', 'a=true;b=true'), (4, '', 'a=x,y'), (5, '-h', ''), (6, '', 'k=v=true'), (7, 'v w', ''), (8, 'p -5', '=true'), (9, '', '')) v(i, pos, flags)""")
+def parse_args(spark, d):
+    argv = [(1, ["--a"]), (2, ["--a", "b"]), (3, ["--a", "--b"]), (4, ["--a", "x", "--a", "y"]), (5, ["-h"]), (6, ["--k=v"]), (7, ["--_", "v", "w"]), (8, ["p", "-5", "--"]), (9, [])]
+    rows = spark.createDataFrame(argv, "i int, argv array<string>").select("i", t.parse_args("argv").alias("a"))
+    flags = F.array_join(F.transform("a.flags", lambda f: F.concat(f["k"], F.lit("="), F.array_join(f["v"], ","))), ";")
+    return rows.select("i", F.array_join("a.pos", " ").alias("pos"), flags.alias("flags"))
+
+
+@_query("SELECT * FROM (VALUES ('a', '3'), ('b', '1'), ('c', '2')) v(name, version)")
+def importmap_merge(spark, d):
+    maps = spark.createDataFrame([(1, '{"imports": {"a": "1", "b": "1"}}'), (2, '{"imports": {"c": "2"}}'), (3, '{"imports": {"a": "3"}}'), (4, "{}")], "ord int, js string")
+    each = maps.select("ord", F.explode(F.from_json("js", "imports map<string,string>")["imports"]).alias("name", "version"))
+    return each.groupBy("name").agg(F.max_by("version", "ord").alias("version"))
+
+
+def _store(spark, d):
+    docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels")
+    changes = labels.select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 0, "delete").otherwise("put").alias("op"), F.when(F.col("toxic") == 1, "new").otherwise("same").alias("content"), F.lit("same").alias("original"))
+    return docs.select(F.col("doc_id").alias("path"), F.col("lang").alias("content")), changes
+
+
+@_query("SELECT d.doc_id AS path, CASE WHEN l.doc_id IS NULL THEN d.lang WHEN l.toxic = 1 THEN 'new' ELSE 'same' END AS content FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.quality <> 0")
+def overlay_read(spark, d):
+    return overlay.read(*_store(spark, d))
+
+
+@_query("SELECT d.doc_id AS path, l.quality IS NULL OR l.quality <> 0 AS present FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT -1, false")
+def overlay_exists(spark, d):
+    files, changes = _store(spark, d)
+    return overlay.exists(files.select("path").union(spark.createDataFrame([(-1,)], "path long")), files, changes)
+
+
+@_query("SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def overlay_list(spark, d):
+    return overlay.listing(*_store(spark, d))
+
+
+@_query("SELECT doc_id AS path, CASE WHEN quality = 0 THEN 'deleted' ELSE 'wrote' END AS action FROM labels WHERE quality = 0 OR toxic = 1")
+def commit_diff(spark, d):
+    return overlay.commit_diff(_store(spark, d)[1])
+
+
+@_query("SELECT * FROM (VALUES ('plan-doc plan-task', 'plan-*'), ('plan-doc', 'plan-doc'), ('plan-doc spec', 'plan-doc spec'), ('a-b a-b', 'a-*')) v(touches, shown)")
+def touches_collapse(spark, d):
+    rows = spark.createDataFrame([("plan-doc plan-task",), ("plan-doc",), ("plan-doc spec",), ("a-b a-b",)], "touches string")
+    return rows.select("touches", t.touches_collapse("touches").alias("shown"))
+
+
+@_query("SELECT r_name AS host, lower(r_name) || '  ' || CASE WHEN n = 0 THEN 'no docs' ELSE n || ' docs' END AS line, row_number() OVER (ORDER BY lower(r_name)) AS ord FROM (SELECT r.r_name, count(n.n_nationkey) FILTER (n.n_name < 'J') AS n FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name)")
+def roster_lines(spark, d):
+    from pyspark.sql import Window
+
+    counts = _read(spark, d, "nation").where("n_name < 'J'").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    hosts = _read(spark, d, "region").join(counts, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    label = F.when(F.col("n").isNull(), "no docs").otherwise(F.concat(F.col("n").cast("string"), F.lit(" docs")))
+    return hosts.select(F.col("r_name").alias("host"), F.concat_ws("  ", F.lower("r_name"), label).alias("line"), F.row_number().over(Window.orderBy(F.lower("r_name"))).cast("long").alias("ord"))
+
+
+@_query(r"SELECT doc_id, rule FROM documents JOIN (VALUES ('shout', '[A-Z]{4,}!!'), ('symbols', '[#$%&*]{3}'), ('double', '\b(the the|and and)\b')) r(rule, p) ON regexp_matches(text, p)")
+def prose_rules(spark, d):
+    rules = {"shout": "[A-Z]{4,}!!", "symbols": "[#$%&*]{3}", "double": r"\b(the the|and and)\b"}
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(r)) for r, p in rules.items()]))
+    return _read(spark, d, "documents").select("doc_id", F.explode(hits).alias("rule"))
+
+
+# ---- over parsed pages: rows only, tested against fixtures ----
+
+
+def _nodes(spark, d) -> DataFrame:
+    return html.nodes(_read(spark, d, "pages"), "page_id", "html")
+
+
+@_query()
+def nodes_scan(spark, d):
+    return _nodes(spark, d).drop("attrs")
+
+
+@_query()
+def attr_spans(spark, d):
+    return _nodes(spark, d).where("kind = 'element'").select("page_id", "node_id", F.explode("attrs").alias("attr", "value"), "start", "end")
+
+
+@_query()
+def explore_list(spark, d):
+    return _nodes(spark, d).where("tpl_root is null and map_contains_key(attrs, 'class')").select("page_id", "node_id", "tag", F.col("attrs")["class"].alias("type"))
+
+
+@_query(f"SELECT page_id, count(*) AS n FROM {LINKS} GROUP BY page_id")
+def parsed_links(spark, d):
+    return _nodes(spark, d).where("tag = 'a' and map_contains_key(attrs, 'href')").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@_query()
+def local_refs(spark, d):
+    refs = _nodes(spark, d).where("tag in ('link', 'script', 'img') and (map_contains_key(attrs, 'href') or map_contains_key(attrs, 'src'))")
+    return refs.select("page_id", F.coalesce(F.col("attrs")["href"], F.col("attrs")["src"]).alias("target")).distinct()
+
+
+@_query()
+def outside_type(spark, d):
+    n = _nodes(spark, d)
+    spans = n.where("tag = 'article'").select(F.col("page_id").alias("p"), F.col("node_id").alias("lo"), F.col("last_id").alias("hi"))
+    texts = n.where(r"kind = 'text' and text rlike '\\S'")
+    return texts.join(spans, F.expr("page_id = p and node_id between lo and hi"), "left_anti").select("page_id", "node_id", "text")
