@@ -21,7 +21,7 @@ def squeeze(x: Column | str) -> Column:
 def first_sentence(doc: Column | str, width: int = 76) -> Column:
     """The lines before the first blank one, joined, cut after the first full stop before white space or the end;
     over ``width`` characters, width - 1 of them and an ellipsis. A text that starts with a blank line gives ''."""
-    head = F.regexp_extract(F.regexp_replace(_c(doc), r"[ \t\r]*\n[ \t\r]*", "\n"), r"^((?:[^\n]+(?:\n(?!\n)|$))*)", 1)
+    head = F.substring_index(F.regexp_replace(_c(doc), r"[ \t\r]*\n[ \t\r]*", "\n"), "\n\n", 1)
     line = squeeze(F.when(_c(doc).rlike(r"^[ \t\r]*(\n|$)"), F.lit("")).otherwise(head))
     cut = F.coalesce(F.nullif(F.regexp_extract(line, r"^(.*?\.)(?:\s|$)", 1), F.lit("")), line)
     return F.when(F.length(cut) > width, F.concat(F.rtrim(F.substring(cut, 1, width - 1)), F.lit("…"))).otherwise(cut)
