@@ -9,8 +9,9 @@ sentences' own scores say where the offence is.
 Words with a weight are those whose document frequency differs between the two
 labels by more than ``least_z`` standard errors; all other words weigh nothing.
 They are held by their 64-bit hashes, so no other word shares their weight.
-The fit uses at most ``train_rows`` labelled documents on the driver; scoring
-is one map over whole texts.
+The fit uses at most ``train_rows`` labelled documents: their words are counted
+on the executors, the driver gets the places of words with a weight only.
+Scoring is one map over whole texts.
 
 Null and empty texts have no sentence and score 0; repeated rows give repeated
 results; without labels every score is 0; an empty table gives an empty result.
@@ -78,33 +79,17 @@ class Model:
         return -np.expm1(-total), worst, where
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], least_z: float = 3.0, least_docs: int = 3, most_words: int = 4096, rounds: int = 300, rate: float = 0.3, penalty: float = 1e-4) -> Model:
-    """bags: word hashes, the sentence of each, and the label, of each document."""
-    y = np.array([b[2] for b in bags], float)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
+def fit(words: np.ndarray, weights: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int, int]], rounds: int = 300, rate: float = 0.3, penalty: float = 1e-4) -> Model:
+    """words: sorted hashes; weights: where to start from; bags: for each document the words it holds
+    (indices), the sentence of each, the number of sentences, and the label."""
+    y = np.array([b[3] for b in bags], float)
+    if not y.sum() or y.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-    kinds = [np.unique(b[0]) for b in bags]
-    words, back = np.unique(np.concatenate(kinds), return_inverse=True)
-    label = np.repeat(y, [len(k) for k in kinds])
-    f1 = np.bincount(back, label, minlength=len(words))
-    f0 = np.bincount(back, minlength=len(words)) - f1
-    rate_all = (f1 + f0 + 1) / (len(y) + 2)
-    z = (f1 / n1 - f0 / n0) / np.sqrt(rate_all * (1 - rate_all) * (1 / n1 + 1 / n0))
-    # a word of sentence-level offence is rare among the clean; common words differ with length only
-    odds = np.log((f1 + 0.5) / (n1 + 1)) - np.log((f0 + 0.5) / (n0 + 1))
-    strong = np.flatnonzero((z > least_z) & (f1 + f0 >= least_docs) & (odds > 1.0))
-    strong = np.sort(strong[np.argsort(-z[strong], kind="stable")[:most_words]])
-    words, weights = words[strong], np.maximum(odds[strong], 0.0)
-
     # only sentences that hold such a word differ; the others of a document share one term
     at_w, at_s, doc_s, plain = [], [], [], np.zeros(len(bags))
-    for i, (h, sentence, _) in enumerate(bags):
-        n = int(sentence[-1]) + 1 if len(sentence) else 0
-        at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-        hit = np.flatnonzero(words[at] == h) if len(words) else np.zeros(0, np.int64)
-        own, local = np.unique(sentence[hit], return_inverse=True)
-        at_w.append(at[hit])
+    for i, (at, sentence, n, _) in enumerate(bags):
+        own, local = np.unique(sentence, return_inverse=True)
+        at_w.append(at)
         at_s.append(local + len(doc_s))
         doc_s.extend([i] * len(own))
         plain[i] = n - len(own)
@@ -125,18 +110,63 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], least_z: float = 3.0, le
     return Model(words, weights, float(bias))
 
 
+def telling_words(sample: DataFrame, least_z: float = 3.0, least_docs: int = 3, most_words: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and log odds, of the words that stand in more documents of label 1 than chance gives.
+
+    The frequencies are added up on the executors; the driver gets the most_words of the largest z.
+    """
+
+    def count(batches):
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for s in tv.slices(batch.column(0)):
+                w = tv.words(s, tv.ALNUM)
+                h, doc = tv.hashes(s, w), w.doc
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                kinds, back = np.unique(h[new], return_inverse=True)
+                f1 = np.bincount(back, y[s.first + doc[new]], minlength=len(kinds)).astype(np.int64)
+                f = np.bincount(back, minlength=len(kinds)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(f1), pa.array(f - f1)], names=["w", "f1", "f0"])
+
+    n = sample.agg(F.sum("y").alias("n1"), F.count("*").alias("n")).first()
+    n1 = float(n.n1 or 0)
+    n0 = n.n - n1
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    f = sample.select("text", "y").mapInArrow(count, "w long, f1 long, f0 long").groupBy("w").agg(F.sum("f1").alias("f1"), F.sum("f0").alias("f0"))
+    share = (F.col("f1") + F.col("f0") + 1) / F.lit(n.n + 2.0)
+    z = (F.col("f1") / n1 - F.col("f0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    # a word of sentence-level offence is rare among the clean; common words differ with length only
+    odds = F.log((F.col("f1") + 0.5) / (n1 + 1)) - F.log((F.col("f0") + 0.5) / (n0 + 1))
+    strong = f.where(F.col("f1") + F.col("f0") >= least_docs).select("w", z.alias("z"), odds.alias("odds")).where(f"z > {least_z} and odds > 1.0")
+    got = strong.orderBy(F.desc("z"), "w").limit(most_words).collect()
+    words = np.array([r.w for r in got], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r.odds for r in got], float)[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, excluded: int = 0, train_rows: int = 16000) -> Model:
-    """train_rows bounds what the driver gets: 16 bytes for each word of the sample's texts."""
+    """train_rows bounds what the driver gets: of each document, the places of its telling words."""
     sample = labelled_sample(docs, labels, "toxic", modulus, excluded, train_rows)
+    words, weights = telling_words(sample)
 
     def run(s: tv.Slice) -> dict:
         h, sentence, doc, _ = sentences(s)
-        of = np.searchsorted(doc[sentence] if len(doc) else np.zeros(0), np.arange(s.n + 1))
-        rows = [(h[i:j], sentence[i:j] - (sentence[i] if j > i else 0)) for i, j in zip(of, of[1:], strict=False)]
-        return {"h": pa.array([a.tobytes() for a, _ in rows], pa.binary()), "s": pa.array([b.astype(np.int32).tobytes() for _, b in rows], pa.binary())}
-
-    got = sorted(_spark.map_text(sample, ["doc_id", "y"], "text", "h binary, s binary", run).collect(), key=lambda r: (r.doc_id, r.h))
-    return fit([(np.frombuffer(r.h, np.uint64), np.frombuffer(r.s, np.int32), r.y) for r in got])
+        at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+        hit = np.flatnonzero(words[at] == h) if len(words) else np.zeros(0, np.int64)
+        first = np.searchsorted(doc, np.arange(s.n + 1))
+        of = np.searchsorted(sentence[hit], first)
+        at, where = at[hit].astype(np.int32), sentence[hit].astype(np.int32)
+        cut = lambda i: (at[of[i] : of[i + 1]], where[of[i] : of[i + 1]] - first[i].astype(np.int32))
+        rows = [cut(i) for i in range(s.n)]
+        return {"at": pa.array([a.tobytes() for a, _ in rows], pa.binary()), "s": pa.array([b.tobytes() for _, b in rows], pa.binary()), "n": np.diff(first)}
+
+    made = _spark.map_text(sample, ["doc_id", "y"], "text", "at binary, s binary, n long", run).select("doc_id", "y", "at", "s", "n")
+    got = sorted(made.collect(), key=lambda r: (r.doc_id, r.n, r.at, r.s))
+    return fit(words, weights, [(np.frombuffer(r.at, np.int32), np.frombuffer(r.s, np.int32), r.n, r.y) for r in got])
 
 
 def score_with(model: Model, docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
