@@ -29,7 +29,7 @@ def first_sentence(doc: Column | str, width: int = 76) -> Column:
 
 def format_comment(raw: Column | str) -> Column:
     """A block comment's text: marks and leading stars off, lines right-trimmed, a blank first or last line dropped."""
-    inner = F.regexp_replace(F.regexp_replace(_c(raw), r"^/\*\*?", ""), r"\*/$", "")
+    inner = F.regexp_replace(F.regexp_replace(_c(raw), r"^/\*+", ""), r"\*+/$", "")
     lines = F.transform(F.split(inner, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*\* ?", ""), r"\s+$", ""))
     lines = F.when((F.size(lines) > 1) & (F.element_at(lines, 1) == ""), F.slice(lines, 2, F.size(lines) - 1)).otherwise(lines)
     lines = F.when((F.size(lines) > 1) & (F.element_at(lines, -1) == ""), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
@@ -122,6 +122,24 @@ def locator(id_: Column | str, index: Column | str) -> Column:
     return F.coalesce(F.nullif(_c(id_), F.lit("")), F.concat(F.lit("@"), _c(index).cast("string")))
 
 
+def encode_component(x: Column | str) -> Column:
+    """Percent-encoding of a URL component; letters, digits and -_.!~*'() stay."""
+    out = F.url_encode(_c(x))
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def synthetic_url(path: Column | str, locator_: Column | str, marker: str = "lectern-script") -> Column:
+    """The address of a document's script as a module of its own."""
+    return F.concat(F.lit("file://"), _c(path), F.lit(f".{marker}."), encode_component(locator_), F.lit(".mjs"))
+
+
+def real_path(url: Column | str, marker: str = "lectern-script") -> Column:
+    """The document in such an address, up to the last marker; null for other addresses."""
+    return F.nullif(F.regexp_extract(_c(url), rf"^file://([\s\S]*)\.{marker}\.[\s\S]*\.mjs$", 1), F.lit(""))
+
+
 def parse_args(argv: Column | str) -> Column:
     """struct<pos: array<string>, flags: array<struct<k, v: array<string>>>> of command-line tokens.
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import markup, script
 from lectern.functions import text as t
-from lectern.operators import graph, overlay, validate
+from lectern.operators import commands, graph, overlay, rewrite, validate
 from lectern.sources import html
 from lectern.sources.files import ignored, visible
 
@@ -452,3 +453,97 @@ def outside_type(spark, d):
     spans = n.where("tag = 'article'").select(F.col("page_id").alias("p"), F.col("node_id").alias("lo"), F.col("last_id").alias("hi"))
     texts = n.where(r"kind = 'text' and text rlike '\\S'")
     return texts.join(spans, F.expr("page_id = p and node_id between lo and hi"), "left_anti").select("page_id", "node_id", "text")
+
+
+# ---- rewrites and commands; fixtures of our own, the answers stated in SQL ----
+
+
+@_query("SELECT * FROM (VALUES ('a b', 'file://d/x.html.lectern-script.a%20b.mjs', 'd/x.html'), ('@0', 'file://d/x.html.lectern-script.%400.mjs', 'd/x.html'), ('(é)!~*', 'file://d/x.html.lectern-script.(%C3%A9)!~*.mjs', 'd/x.html')) v(locator, url, path)")
+def locator_url(spark, d):
+    rows = spark.createDataFrame([("a b",), ("@0",), ("(é)!~*",)], "locator string")
+    url = t.synthetic_url(F.lit("d/x.html"), "locator")
+    return rows.select("locator", url.alias("url"), t.real_path(url).alias("path"))
+
+
+SOURCES = [
+    (1, "/** Lists. More.\n * @x\n */\nexport function list() {}\nimport a from './a.js'\nimport './b.js'; const s = \"/* no */\"\nexport { q } from './c.js'"),
+    (2, "// no\nexport default async function () { import('./d.js') }\n/* Adds. */ export const add = () => 1"),
+    (3, ""),
+]
+
+
+def _sources(spark):
+    return spark.createDataFrame(SOURCES, "page_id int, source string")
+
+
+@_query("SELECT * FROM (VALUES (1, 'Lists.'), (2, 'Adds.'), (3, '')) v(page_id, summary)")
+def leading_comment(spark, d):
+    return _sources(spark).select("page_id", commands.leading_comment("source").alias("summary"))
+
+
+@_query("SELECT * FROM (VALUES (1, 0, 'list', ' Lists. More.' || chr(10) || '@x'), (2, 0, '', ''), (2, 1, 'add', ' Adds.')) v(page_id, ord, name, doc)")
+def command_list(spark, d):
+    return commands.command_list(_sources(spark), "page_id")
+
+
+@_query("SELECT * FROM (VALUES ('list', '  list' || chr(10) || '     Lists. More.' || chr(10) || '    @x'), ('', '  ' || chr(10) || '    (no comment)'), ('add', '  add' || chr(10) || '     Adds.')) v(name, help)")
+def help_lines(spark, d):
+    return commands.command_list(_sources(spark), "page_id").select("name", commands.help_text("name", "doc").alias("help"))
+
+
+@_query("SELECT * FROM (VALUES (1, './a.js'), (1, './b.js')) v(page_id, spec)")
+def import_edges(spark, d):
+    return _sources(spark).select("page_id", F.explode(script.imports_of("source")).alias("i")).select("page_id", "i.spec")
+
+
+@_query("SELECT page_id, replace(source, './a.js', './z.js') AS source FROM (VALUES " + ", ".join("(%d, '%s')" % (i, x.replace("'", "''")) for i, x in SOURCES) + ") v(page_id, source)")
+def import_rewrite(spark, d):
+    table = spark.createDataFrame([("./a.js", "./z.js")], "spec string, new string")
+    return rewrite.rewrite_imports(_sources(spark), table, ["page_id"])
+
+
+@_query("SELECT * FROM (VALUES ('a-one', '  a-one   First.', '          touches x-*'), ('longer', '  longer', '')) v(name, line, touches_line)")
+def audit_roster(spark, d):
+    rows = spark.createDataFrame([("a-one", "x-a x-b", "/* First. */ 1"), ("longer", None, "1")], "audit string, touches string, source string")
+    return commands.audit_roster(rows)
+
+
+@_query("SELECT * FROM (VALUES (1, 1, 'unknown-host'), (2, 1, 'no-commands'), (3, 0, 'run:default'), (4, 0, 'run:default'), (5, 0, 'help'), (6, 0, 'run:list'), (7, 1, 'unknown-command'), (8, 1, 'help'), (9, 1, 'unknown-command')) v(request, status, outcome)")
+def verb_resolve(spark, d):
+    requests = spark.createDataFrame([(1, "none", None), (2, "bare", "x"), (3, "both", None), (4, "both", "-v"), (5, "both", "--help"), (6, "both", "list"), (7, "both", "x"), (8, "named", None), (9, "named", "-v")], "request int, id string, word string")
+    hosts = spark.createDataFrame([("bare", "bare.template.html"), ("both", "both.command.html"), ("named", "named.command.html")], "id string, path string")
+    known = spark.createDataFrame([("both", ""), ("both", "list"), ("named", "list")], "id string, name string")
+    return commands.dispatch(requests, hosts, known)
+
+
+@_query("SELECT * FROM (VALUES ('b.css', 'copy'), ('c.html', 'rewrite')) v(path, action)")
+def seed_plan(spark, d):
+    links = spark.createDataFrame([("a.html", "b.css"), ("a.html", "c.html"), ("c.html", "a.html")], "src string, dst string")
+    paths = graph.closure(spark, spark.createDataFrame([("a.html",)], "node string"), links).withColumnRenamed("node", "path")
+    return commands.seed_plan(paths, spark.createDataFrame([("a.html",)], "path string"))
+
+
+@_query("""SELECT 'd/a.html' AS path, '<a HREF=b.html>&</a><a href="https://s.example/d/c.html#x">1</a><template><a href=".+"></a></template><img src="https://s.example/e.png">' AS content""")
+def repoint_links(spark, d):
+    files = spark.createDataFrame([("d/a.html", "<a HREF=b.html>&</a><a href='c.html#x'>1</a><template><a href=\".+\"></a></template><img src=../e.png>")], "path string, content string")
+    return rewrite.repoint(files, spark.createDataFrame([("d/b.html",)], "path string"), "https://s.example/")
+
+
+@_query(r"""SELECT '<html><body><x-a data-conforms-to="t#a">' || chr(10) || '  <x-b>1</x-b>' || chr(10) || '  <x-c data-conforms-to="t#c">' || chr(10) || '    <i></i>' || chr(10) || '  </x-c>' || chr(10) || '</x-a></body></html>' AS html""")
+def reindent(spark, d):
+    rows = spark.createDataFrame([('<html><body><x-a data-conforms-to="t#a"> <x-b>1</x-b>\n\n\n<x-c data-conforms-to="t#c"><i></i></x-c></x-a></body></html>',)], "html string")
+    return rows.select(markup.reindented("html").alias("html"))
+
+
+@_query("SELECT page_id, true AS stable FROM pages")
+def serialize_roundtrip(spark, d):
+    once = _read(spark, d, "pages").select("page_id", markup.serialized("html").alias("once"))
+    return once.select("page_id", (markup.serialized("once") == F.col("once")).alias("stable"))
+
+
+@_query("SELECT * FROM (VALUES (0, 0, 8, 0, 13, 13), (0, 1, 21, 13, 4, 10), (0, 2, 25, 23, 5, 5), (1, 0, 54, 0, 1, 1)) v(idx, seg, source_offset, generated_offset, length, generated_length)")
+def block_mapping(spark, d):
+    html_ = "<script>import x from\"#b\";'#b'</script><script id=\"b\">1</script>"
+    files = spark.createDataFrame([(1, "p", html_)], "page_id int, base string, html string")
+    b = files.select("page_id", "base", F.explode(script.blocks_of("html")).alias("b")).select("page_id", "base", "b.*")
+    return rewrite.block_mapping(b, "page_id", "base").drop("page_id")
