@@ -52,6 +52,18 @@ def give_back() -> None:
         pass
 
 
+def tidy(fn: Callable) -> Callable:
+    """fn over batches that gives memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
@@ -80,7 +92,7 @@ def map_text(df: DataFrame, ids: list[str], text: str, schema: str, fn: Callable
                 names=[*(f"_id{i}" for i in range(len(cols))), *out],
             )
 
-    out = keep.mapInArrow(run, ", ".join(x for x in (fields, schema) if x))
+    out = keep.mapInArrow(tidy(run), ", ".join(x for x in (fields, schema) if x))
     for i, c in enumerate(ids):
         out = out.withColumnRenamed(f"_id{i}", c)
     return out

@@ -220,7 +220,7 @@ def _scan(spark, docs, items, doc_id, text, item_type, settings) -> DataFrame:
                 names=["_id", "_item", "similarity", "first_word", "n_words"],
             )
 
-    return picked.mapInArrow(run, f"_id {id_type}, _item {item_type}, similarity double, first_word long, n_words long").withColumnRenamed("_id", doc_id)
+    return picked.mapInArrow(_spark.tidy(run), f"_id {id_type}, _item {item_type}, similarity double, first_word long, n_words long").withColumnRenamed("_id", doc_id)
 
 
 def clean(spark: SparkSession, docs: DataFrame, bench: DataFrame, text: str = "text", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -243,4 +243,4 @@ def _keep_clean(spark, docs, items, text, settings) -> DataFrame:
                     keep[s.first + found[0]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_spark.tidy(run), docs.schema)

@@ -54,7 +54,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _powers[name] = have
     return have
 

@@ -136,7 +136,7 @@ def telling_words(sample: DataFrame, least_z: float = 3.0, least_docs: int = 3,
     n0 = n.n - n1
     if not n1 or not n0:
         return np.zeros(0, np.uint64), np.zeros(0)
-    f = sample.select("text", "y").mapInArrow(count, "w long, f1 long, f0 long").groupBy("w").agg(F.sum("f1").alias("f1"), F.sum("f0").alias("f0"))
+    f = sample.select("text", "y").mapInArrow(_spark.tidy(count), "w long, f1 long, f0 long").groupBy("w").agg(F.sum("f1").alias("f1"), F.sum("f0").alias("f0"))
     share = (F.col("f1") + F.col("f0") + 1) / F.lit(n.n + 2.0)
     z = (F.col("f1") / n1 - F.col("f0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     # a word of sentence-level offence is rare among the clean; common words differ with length only
@@ -193,4 +193,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: st
             scores = [model.scores(s)[0] for s in tv.slices(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_spark.tidy(run), docs.schema)
