@@ -57,13 +57,31 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Appending copies an array, so lists are built in blocks of this many matches: a text's cost is near its length.
+BLOCK = 64
+_SPANS = "array<struct<s: int, m: string>>"
+
+
+def _blocks(array: str, v: str, block: str) -> str:
+    """block (an expression of {v}b, some neighbours of the array) for each block of the array, in order."""
+    return f"flatten(transform(array({array}), {v}z -> transform(sequence(0, greatest(size({v}z) - 1, 0) div {BLOCK}), {v}i -> element_at(transform(array(slice({v}z, {v}i * {BLOCK} + 1, {BLOCK})), {v}b -> {block}), 1))))"
+
+
 def spans_sql(text: str, pattern: str, v: str) -> str:
-    """array<struct<s, m>>: the start and the text of each match; v makes variable names unique."""
+    """array<struct<s, m>>: the start and the text of each match; v makes variable names unique.
+
+    Starts are counted from each block's beginning first, then moved by the blocks before.
+    """
     p = _q(pattern)
+    cut = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), ({v}g, {v}m) -> struct({v}g as g, {v}m as m))"
+    local = (
+        f"aggregate({v}b, struct(0 as at, cast(array() as {_SPANS}) as out), "
+        f"({v}a, {v}x) -> if({v}x.m is null, {v}a, struct({v}a.at + length({v}x.g) + length({v}x.m) as at, array_append({v}a.out, struct({v}a.at + length({v}x.g) as s, {v}x.m as m)) as out)))"
+    )
+    moved = f"if({v}c.at = 0, {v}y.out, transform({v}y.out, {v}x -> struct({v}x.s + {v}c.at as s, {v}x.m as m)))"
     return (
-        f"aggregate(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), ({v}g, {v}m) -> struct({v}g as g, {v}m as m)), "
-        f"struct(0 as at, cast(array() as array<struct<s: int, m: string>>) as out), "
-        f"({v}a, {v}x) -> if({v}x.m is null, {v}a, struct({v}a.at + length({v}x.g) + length({v}x.m) as at, array_append({v}a.out, struct({v}a.at + length({v}x.g) as s, {v}x.m as m)) as out)), {v}a -> {v}a.out)"
+        f"aggregate({_blocks(cut, v, local)}, struct(0 as at, cast(array() as array<{_SPANS}>) as out), "
+        f"({v}c, {v}y) -> struct({v}c.at + {v}y.at as at, array_append({v}c.out, {moved}) as out), {v}c -> flatten({v}c.out))"
     )
 
 
@@ -246,12 +264,23 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     df = found_spans(inner, at)
     tagged = [F.expr(f"transform(_{k}, x -> struct(x.s as s, x.s + length(x.m) as e, '{k.upper()}' as k))") for k in KINDS]
     df = df.withColumn("_all", F.array_sort(F.concat(*tagged)))
-    merged = """aggregate(_all, cast(array() as array<struct<s: int, e: int, k: string>>), (a, x) ->
+    kind = "array<struct<s: int, e: int, k: string>>"
+    joined = f"""aggregate(mb, cast(array() as {kind}), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).e > x.s,
            array_append(slice(a, 1, size(a) - 1), struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e, element_at(a, -1).k as k)),
            array_append(a, x)))"""
+    # the last span of the blocks before takes what it overlaps; a block's own spans don't overlap
+    merged = f"""aggregate({_blocks('_all', 'm', joined)}, struct(cast(array() as {kind}) as last, cast(array() as array<{kind}>) as out), (c, y) ->
+        if(size(c.last) = 0, struct(slice(y, -1, 1) as last, array_append(c.out, slice(y, 1, size(y) - 1)) as out),
+           element_at(transform(array(concat(
+               array(struct(c.last[0].s as s, greatest(c.last[0].e, array_max(transform(filter(y, x -> x.s < c.last[0].e), x -> x.e))) as e, c.last[0].k as k)),
+               filter(y, x -> x.s >= c.last[0].e))), w -> struct(slice(w, -1, 1) as last, array_append(c.out, slice(w, 1, size(w) - 1)) as out)), 1)),
+        c -> concat(flatten(c.out), c.last))"""
     df = df.withColumn("_cut", F.expr(f"if(size(_all) > 0, {merged}, _all)"))
-    pieces = """concat(array_join(transform(_cut, (x, i) -> concat(substring(_t, if(i = 0, 0, _cut[i - 1].e) + 1, x.s - if(i = 0, 0, _cut[i - 1].e)), '[', x.k, ']')), ''),
-        substring(_t, element_at(_cut, -1).e + 1))"""
+    gaps = "zip_with(_cut, slice(concat(array(0), transform(_cut, x -> x.e)), 1, size(_cut)), (x, p) -> struct(p as p, x.s as s, x.k as k))"
+    # each block's own stretch of the text is taken out first: a substring is counted from its text's beginning
+    stretch = "substring(_t, gb[0].p + 1, element_at(gb, -1).s - gb[0].p)"
+    named = f"element_at(transform(array({stretch}), w -> array_join(transform(gb, x -> concat(substring(w, x.p - gb[0].p + 1, x.s - x.p), '[', x.k, ']')), '')), 1)"
+    pieces = f"concat(array_join({_blocks(gaps, 'g', named)}, ''), substring(_t, element_at(_cut, -1).e + 1))"
     df = df.withColumn(at, F.expr(f"if(size(_cut) > 0, {pieces}, {at})"))
     return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -78,6 +78,19 @@ def test_pii(spark, docs, rows):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_pii_many_matches(spark):
+    """More matches than fit a block, with texts between that are not ASCII."""
+    n = 5 * pii.BLOCK + 1
+    text = "é ".join(f"x{i}@ab.com 10.0.0.{i % 300} " for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.find(df).first()
+    emails = [f"email:{m.start()}:{m.end()}" for m in re.finditer(pii.EMAIL, text)]
+    ips = [f"ip:{m.start()}:{m.end()}" for m in re.finditer(pii.IP, text) if int(m[0].split(".")[3]) <= 255]
+    assert (got.n_email, got.n_ip, got.spans) == (n, len(ips), ",".join(emails + ips))
+    want = re.sub(pii.IP, lambda m: "[IP]" if int(m[0].split(".")[3]) <= 255 else m[0], re.sub(pii.EMAIL, "[EMAIL]", text))
+    assert pii.redacted(df).first().text == want
+
+
 def test_tree_sql_agrees_with_trees(spark):
     x, _ = pii.examples(50, 5)
     trees, _ = pii.model()
