@@ -91,6 +91,16 @@ def test_pii_many_matches(spark):
     assert pii.redacted(df).first().text == want
 
 
+def test_pii_overlaps_across_blocks(spark):
+    """One span first, then overlapping pairs: each block's end parts a pair."""
+    n = 2 * pii.BLOCK
+    text = "a@b.com" + " x +1.2.3.4 567890123" * n
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.find(df).first()
+    assert (got.n_email, got.n_ip, got.n_phone) == (1, n, n)
+    assert pii.redacted(df).first().text == "[EMAIL]" + " x [PHONE]" * n
+
+
 def test_tree_sql_agrees_with_trees(spark):
     x, _ = pii.examples(50, 5)
     trees, _ = pii.model()
