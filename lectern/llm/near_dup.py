@@ -17,24 +17,24 @@ Groups are the connected components of the links.
    registers of the document.  Registers agree with probability J_P.
 2. Texts equal word for word become one node; copies go no further.
 3. ``bands`` bands of ``rows`` registers are hashed.  In each bucket all nodes are
-   paired with one leader, the node that meets the most others, never with each
-   other.  With 30 bands of 5, a pair at 0.8 meets in no band with a
-   probability of 7e-6.
+   first paired with one leader, the node that meets the most others.  With 30
+   bands of 5, a pair at 0.8 meets in no band with a probability of 7e-6.
 4. Pairs are verified exactly from the texts, in blocks of one leader and at
    most about ``block`` members.
-5. Two members x, y of which one is not linked to their leader L may still be
-   linked to each other.  With A = what a text has beyond L and R = what it
-   lacks of L, |x - y| >= |A_x| + |A_y| + ||R_x| - |R_y|| unless A_x and A_y
-   share a shingle.  So new buckets are made of members of different components
-   that share a shingle beyond their nearest leader, and of the pairs whose sizes
-   allow a link without one; they get leaders of their own, and so on as long as
-   a round finds links.  A group of n copies around one text so costs a few times
-   n comparisons, not n * n.  A link is missed only if neither end is linked to
-   any leader of the buckets that both are in; the README has measured figures.
-
-Counts enter these bounds through J_P <= J + w_x + w_y, where J is the Jaccard
-similarity of the counts and w a text's share of shingles whose count differs
-from the leader's, one of the two being 2 or more.
+5. Two members x, y of a bucket that are of different components may still be
+   linked to each other.  So each bucket gets further leaders, ever more a round,
+   which meet all later members of other components that they haven't met and
+   may be linked to; a leader is then through with its bucket.  This ends when no
+   bucket has members of two components left, so every two texts that share a
+   band are of one component, or verified, or excluded by the bounds below.
+
+With A = what a text has beyond the bucket's first leader L, and R = what it lacks
+of L, |x - y| >= ||A_x| - |A_y|| + ||R_x| - |R_y||, and as 1 - J_P is a metric,
+|J_P(x, L) - J_P(y, L)| > 1 - threshold excludes a link.  Counts enter the first
+through J_P <= J + w_x + w_y, where J is the Jaccard similarity of the counts and w
+a text's share of shingles whose count differs from the leader's, one of the two
+being 2 or more.  A group of copies linked to one leader costs one comparison
+each; n texts of a bucket that are alike but not linked cost up to n * n / 2.
 
 A document without words (null, empty, white space) is a group of its own.
 Repeated rows and exact copies share a group; ids that repeat with different
@@ -47,7 +47,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _spark
@@ -55,6 +55,8 @@ from . import textvec as tv
 from .graph import components
 
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
+#: Leaders that a bucket gets in its second round; each later round has so many times as many.
+LEADERS = 8
 _LOW48 = tv.U64((1 << 48) - 1)
 
 
@@ -182,32 +184,31 @@ def signatures(df: DataFrame, ids: list[str], text: str, k: int, bands: int, row
     return _spark.map_text(df, ids, text, "node long, bands array<long>", run)
 
 
-def _beyond(leader: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float, float, np.ndarray]:
-    """size, w, |A|, |R| and the shingles of A, of a text against its leader."""
+def _against(leader: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float, float]:
+    """size, w, |A| and |R| of a text against its leader."""
     (el, wl), (eo, wo) = leader, own
     _, il, io = np.intersect1d(el, eo, assume_unique=True, return_indices=True)
-    more, there = wo.astype(np.int64).copy(), np.zeros(len(eo), np.int64)
+    there = np.zeros(len(eo), np.int64)
     there[io] = wl[il]
-    more -= there
+    more = wo.astype(np.int64) - there
     size, extra = int(wo.sum()), int(more[more > 0].sum())
     lacks = int(wl.sum()) - (size - extra)
     uneven = float(wo[(more != 0) & (np.maximum(wo, there) > 1)].sum()) / size
-    return float(size), uneven, float(extra), float(lacks), eo[more > 0]
+    return float(size), uneven, float(extra), float(lacks)
 
 
-COMPARED = "a long, b long, linked boolean, size double, uneven double, more double, less double, beyond array<long>"
+COMPARED = "a long, b long, linked boolean, alike double, size double, uneven double, more double, less double"
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
-    """COMPARED of all pairs (a, b): whether they are linked, and b against a; texts: node, text, a row a node.
+    """COMPARED of all pairs (a, b): whether they are linked, J_P, and b against a; texts: node, text, a row a node.
 
-    A leader's text is sent once to each block of its members.  What is needed to compare members
-    with each other is made only where a leader has several.
+    A leader's text is sent once to each block of its members.
     """
     blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int"))
-    members = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), (F.col("n") > 1).cast("int").alias("several"))
+    members = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     leaders = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", (F.col("several") + 1).alias("role"), "b", "text")
+    rows = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
     rows = rows.unionByName(leaders.join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text"))
 
     def run(batches):
@@ -223,50 +224,53 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block
                     if role[i] == 0:
                         leader, own = (a[i], p[i]), it
                     elif (a[i], p[i]) == leader:
-                        linked = prob_jaccard(own, it) >= threshold
-                        size, uneven, more, less, beyond = _beyond(own, it) if role[i] == 2 else (0.0, 0.0, 0.0, 0.0, np.zeros(0, np.uint64))
-                        out.append((a[i], b[i], linked, size, uneven, more, less, beyond.view(np.int64)))
+                        alike = prob_jaccard(own, it)
+                        out.append((a[i], b[i], alike >= threshold, alike, *_against(own, it)))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 4, pa.list_(pa.int64())]
+                    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in COMPARED.split(", ")])
 
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return dealt.mapInArrow(_spark.tidy(run), COMPARED)
 
 
-def _next_buckets(done: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """bucket, node: members of one leader, of several components, that may be linked to each other.
+def _first_pairs(led: DataFrame) -> DataFrame:
+    """(a, b): each bucket's leader and its members."""
+    return led.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
-    Each member counts under its nearest leader.
-    """
-    nearest = F.min_by(F.struct("a", "linked", "size", "uneven", "more", "less", "beyond"), F.struct(F.col("more") + F.col("less"), "a")).alias("x")
-    done = done.where("size > 0").groupBy("b").agg(nearest).select("b", "x.*")
-    placed = done.join(comp.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
-    shared = placed.select("a", "b", "comp", F.explode("beyond").alias("e"))
-    alive = shared.groupBy("a", "e").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.shiftright(F.xxhash64("b"), 24)).alias("set")).where("lo <> hi")
-    alive = alive.groupBy("a", "n", "set").agg(F.min("e").alias("e"))  # many shingles stand in the same members: one is enough
-    by_shingle = shared.join(alive.select("a", "e"), ["a", "e"]).select(F.xxhash64("a", "e").alias("bucket"), F.col("b").alias("node"))
-    x = placed.where("not linked").select("a", *[F.col(c).alias(f"x_{c}") for c in ("b", "comp", "size", "uneven", "more", "less")])
-    y = placed.select("a", *[F.col(c).alias(f"y_{c}") for c in ("b", "comp", "size", "uneven", "more", "less")])
-    t = F.greatest(F.lit(threshold) - F.col("x_uneven") - F.col("y_uneven"), F.lit(0.0))
-    gap = F.col("x_more") + F.col("y_more") + F.abs(F.col("x_less") - F.col("y_less"))
-    near = x.join(y, (x["a"] == y["a"]) & (F.col("x_comp") != F.col("y_comp")) & (gap <= (F.col("x_size") + F.col("y_size")) * (1 - t) / (1 + t)))
-    by_size = near.select(F.xxhash64(F.least("x_b", "y_b"), F.greatest("x_b", "y_b")).alias("bucket"), F.explode(F.array("x_b", "y_b")).alias("node"))
-    return by_shingle.unionByName(by_size).distinct()
 
+def _rest(led: DataFrame, done: DataFrame, degrees: DataFrame) -> DataFrame:
+    """bucket, node, degree, and the node against its bucket's leader; one of the buckets of the same leader and members."""
+    rows = led.where("a <> node")
+    h = F.xxhash64("node")
+    sets = rows.groupBy("bucket", "a").agg(F.count("*").alias("n"), F.bit_xor(h).alias("mixed"), F.sum(F.shiftright(h, 24)).alias("summed"))
+    sets = sets.where("n > 1").groupBy("a", "n", "mixed", "summed").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(sets, "bucket").withColumnRenamed("node", "b").join(done, ["a", "b"]).join(degrees.withColumnRenamed("node", "b"), "b").select("bucket", F.col("b").alias("node"), "degree", "alike", "size", "uneven", "more", "less")
 
-def _next_pairs(buckets: DataFrame, degrees: DataFrame, comp: DataFrame | None, done: DataFrame | None) -> DataFrame:
-    """(a, b): each bucket's leader, and the members that aren't of its component yet and haven't met it."""
-    leader = F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")
-    led = buckets.join(degrees, "node").groupBy("bucket").agg(leader)
-    pairs = buckets.withColumnRenamed("node", "b").join(led, "bucket").where("a <> b").select("a", "b").distinct()
-    if done is None:
-        return pairs
-    label = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
-    met = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(met, ["a", "b"], "left_anti")
+
+def _placed(rest: DataFrame, comp: DataFrame) -> DataFrame:
+    """rest with components and nth, the order of further leaders, without the buckets of a single component."""
+    placed = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    best = [F.desc("degree"), "node"]
+    placed = placed.join(several, "bucket").withColumn("of_comp", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*best)))
+    return placed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("of_comp", *best))).drop("of_comp")
+
+
+def _further_pairs(placed: DataFrame, done: DataFrame, leaders: int, threshold: float) -> DataFrame:
+    """(a, b): the next leaders of each bucket, and its later members of other components that may be linked to them and haven't met them."""
+    names = ("node", "comp", "nth", "alike", "size", "uneven", "more", "less")
+    x = placed.where(F.col("nth") <= leaders).select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = placed.select("bucket", *[F.col(c).alias(f"y_{c}") for c in names])
+    t = F.greatest(F.lit(threshold) - F.col("x_uneven") - F.col("y_uneven"), F.lit(0.0))
+    gap = F.abs(F.col("x_more") - F.col("y_more")) + F.abs(F.col("x_less") - F.col("y_less"))
+    may = (gap <= (F.col("x_size") + F.col("y_size")) * (1 - t) / (1 + t) + 1e-6) & (F.abs(F.col("x_alike") - F.col("y_alike")) <= 1 - threshold + 1e-9)
+    pairs = x.join(y, "bucket").where((F.col("x_nth") < F.col("y_nth")) & (F.col("x_comp") != F.col("y_comp")) & may)
+    ends = [F.least("x_node", "y_node").alias("lo"), F.greatest("x_node", "y_node").alias("hi")]
+    pairs = pairs.groupBy(*ends).agg(F.min("x_node").alias("a"))
+    met = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return pairs.join(met, ["lo", "hi"], "left_anti").select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -287,18 +291,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     found = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("node", "text")
     found = _spark.materialize(spark, _right_texts(found), "dup-texts")
 
-    buckets, done = met.select("bucket", "node"), None
-    comp = nodes.select("node", F.col("node").alias("comp")).limit(0)
+    leader = F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")
+    led = met.select("bucket", "node").join(met.join(degrees, "node").groupBy("bucket").agg(leader), "bucket")
+    led = _spark.materialize(spark, led, "dup-led")
+    pairs = _spark.materialize(spark, _first_pairs(led), "dup-pairs")
+    done = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
+    comp = components(spark, done.where("linked").select("a", "b"))
+    rest, leaders = _spark.materialize(spark, _rest(led, done, degrees), "dup-rest"), LEADERS
     while True:
-        pairs = _spark.materialize(spark, _next_pairs(buckets, degrees, comp, done), "dup-pairs")
-        if not pairs.limit(1).count():
-            break
-        new = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
-        done = new if done is None else done.unionByName(new)
-        if not new.where("linked").limit(1).count():
+        placed = _spark.materialize(spark, _placed(rest, comp), "dup-placed")
+        if not placed.limit(1).count():
             break
-        comp = components(spark, done.where("linked").select("a", "b"))
-        buckets = _spark.materialize(spark, _next_buckets(done, comp, threshold), "dup-rest")
+        pairs = _spark.materialize(spark, _further_pairs(placed, done, leaders, threshold), "dup-pairs")
+        if pairs.limit(1).count():
+            new = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
+            done = done.unionByName(new)
+            if new.where("linked").limit(1).count():
+                comp = components(spark, done.where("linked").select("a", "b"))
+        rest = placed.where(F.col("nth") > leaders).select(*rest.columns)
+        leaders *= LEADERS
 
     classed = sig.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = classed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.count_distinct("node").alias("n_texts"))
@@ -338,7 +349,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                 keys.append(np.where(words > 0, key, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys))], names=[*batch.schema.names, "_node"])
 
-    from pyspark.sql import Window
     from pyspark.sql import types as T
 
     keyed = docs.mapInArrow(_spark.tidy(run), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))

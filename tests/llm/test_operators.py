@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -290,6 +291,32 @@ def test_near_duplicates(spark, docs, rows):
     assert near_dup.near_duplicates(spark, empty(spark)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def variants():
+    """Texts each derived from one of the 20 before it, and the least of each one's component by brute force."""
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(120)]]
+    while len(texts) < 300:
+        t = list(texts[rng.randrange(max(0, len(texts) - 20), len(texts))])
+        for _ in range(rng.randrange(1, 6)):
+            t[rng.randrange(120)] = f"w{rng.randrange(3000)}"
+        texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    sets = [near_dup.weighted_shingles(next(tv.of_texts([t])))[:2] for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and near_dup.prob_jaccard(sets[i], sets[j]) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    return texts, group
+
+
+def test_near_duplicates_of_variants(spark, variants):
+    texts, want = variants
+    got = near_dup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
 def test_prob_jaccard_brute():
     rng = np.random.default_rng(2)
     for _ in range(30):
