@@ -317,6 +317,12 @@ def test_near_duplicates_of_variants(spark, variants):
     assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == want
 
 
+def test_pipeline_stage_of_variants(spark, variants):
+    texts, want = variants
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, D).collect()) == sorted(set(want))
+
+
 def test_prob_jaccard_brute():
     rng = np.random.default_rng(2)
     for _ in range(30):
