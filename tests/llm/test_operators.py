@@ -323,6 +323,20 @@ def test_pipeline_stage_of_variants(spark, variants):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, D).collect()) == sorted(set(want))
 
 
+def between_two_leaders(name):
+    """Ids and texts: two groups of 8, and two texts that are linked to each other only, each nearer to the leader of another group."""
+    some = lambda p, a, b: [f"{p}{name}x{i}" for i in range(a, b)]
+    texts = [[*some(p, 0, 100), *some(f"{own}{i}", 0, i)] for p, own in (("b", "d"), ("c", "g")) for i in range(8)]
+    texts += [[*some("b", 0, 47), *some("c", 0, 43)], [*some("b", 0, 43), *some("c", 0, 47)]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_duplicates_between_two_leaders(spark):
+    df = spark.createDataFrame(between_two_leaders(1), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, df, k=1, bands=6, rows=1).collect()}
+    assert got[17] == got[16] == 16
+
+
 def test_prob_jaccard_brute():
     rng = np.random.default_rng(2)
     for _ in range(30):
