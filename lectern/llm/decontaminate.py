@@ -1,29 +1,37 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-For each length L of items, every window of L words of every document (the
-whole document if it is shorter) that shares a shingle with some item of that
-length gets a 64-bit SimHash of its shingles.  Windows without a shared shingle
-have a similarity of exactly 0 to all those items, so leaving them out loses
-nothing.  A multi-index over
-``radius + 1`` blocks of the items' fingerprints finds all items within
+For each length L of items, windows of L words of every document (the whole
+document if it is shorter) get a 64-bit SimHash of their shingles.  A multi-index
+over ``radius + 1`` blocks of the items' fingerprints finds the items within
 ``radius`` of a window's: of so many blocks one at least must be equal.
 Candidates are then verified by the exact weighted similarity of shingles,
 sum(min(count)) / sum(max(count)) >= ``threshold``.
 
+A similarity of ``threshold`` needs a share of common shingles, which bounds the
+work without losing a match: (1) an item is entered in the multi-index under each
+of its rarest shingles (as many as a match can't all lack), so a window is
+compared with items that it shares one with, not with all of its length; (2) a
+window needs that share of its places to hold shingles of some item.  Windows
+are taken in slices of at most ``SLICE`` shingles, whatever the items' length.
+
 Shingles are ``k`` consecutive words (all words of an item or window of fewer),
 words are letters and digits with A-Z lower-cased, so case, punctuation and
 line breaks don't hide a passage.  The default radius is 3.5 standard
 deviations beyond the expected distance at a similarity of 0.8.
 
-The items are sent to the workers in blocks of at most ``block_words`` words;
-with more, the documents are read once for each block.
+The items are sent to the workers in blocks of at most ``block_words`` words (a
+larger item alone); with more, the documents are read once for each block.
 
 Null and empty texts match nothing, items without words are left out; repeated
-rows match each for themselves; several items with one text all match.
+rows match each for themselves; several items with one text all match, items of
+one id count as one; of equally similar windows the first is given.  Texts of any
+length are read whole.  Extra columns are kept by ``clean`` and not read
+otherwise, whatever their names.  Empty tables, of documents or items, match nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,6 +46,7 @@ from . import textvec as tv
 K = 5
 THRESHOLD = 0.8
 RADIUS = 20
+SLICE = 1 << 18
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -65,35 +74,63 @@ def blocks_of(prints: np.ndarray, radius: int) -> np.ndarray:
 
 @dataclass
 class ItemsOfLength:
-    """The items of one length: fingerprints, the multi-index over their blocks, and shingle counts."""
+    """The items of one length: fingerprints, shingle counts, and the multi-index."""
 
     length: int
     k: int
+    threshold: float = THRESHOLD
     ids: list = field(default_factory=list)
     prints: list = field(default_factory=list)
     counts: list[Counter] = field(default_factory=list)
-    index: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    seeds: np.ndarray | None = None
+
+    @property
+    def size(self) -> int:
+        """Shingles of an item."""
+        return self.length - self.k + 1
+
+    def needed(self, have: np.ndarray | int):
+        """The least number of shingles that a window of so many must share with an item."""
+        return np.ceil(self.threshold * (have + self.size) / (1 + self.threshold) - 1e-9)
 
     def seal(self, radius: int) -> None:
         self.prints = np.array(self.prints, tv.U64)
-        self.seeds = np.unique(np.array([x for c in self.counts for x in c], tv.U64))
-        for column in blocks_of(self.prints, radius).T:
-            order = np.argsort(column, kind="stable")
-            self.index.append((column[order], order))
-
-    def within(self, prints: np.ndarray, radius: int) -> np.ndarray:
-        """(window, item) of all pairs within radius, as rows."""
-        found = []
-        for (values, items), column in zip(self.index, blocks_of(prints, radius).T, strict=True):
-            lo, hi = np.searchsorted(values, column, "left"), np.searchsorted(values, column, "right")
-            window = np.repeat(np.arange(len(prints)), hi - lo)
-            found.append(window * len(items) + items[np.repeat(lo, hi - lo) + _ramp(hi - lo)])
-        w, i = np.divmod(np.unique(np.concatenate(found)), len(self.ids))
+        common = Counter(x for c in self.counts for x in c)
+        lack = self.size - math.ceil(self.threshold * self.size - 1e-9)  # of an item's shingles, in its shortest match
+        rare: list[tuple[int, int]] = []
+        for i, c in enumerate(self.counts):
+            left = lack + 1
+            for x in sorted(c, key=lambda x: (common[x], x)):
+                if left <= 0:
+                    break
+                rare.append((x, i))
+                left -= c[x]
+        shingle, item = np.array([x for x, _ in rare], tv.U64), np.array([i for _, i in rare], np.int64)
+        keys = _block_keys(shingle, self.prints[item], radius)
+        order = np.argsort(keys.reshape(-1), kind="stable")
+        self.keys, self.items = keys.reshape(-1)[order], np.repeat(item, radius + 1)[order]
+        self.seeds, self.rare = np.unique(np.array(list(common), tv.U64)), np.unique(shingle)
+
+    def within(self, prints: np.ndarray, window: np.ndarray, shingle: np.ndarray, radius: int) -> np.ndarray:
+        """(window, item), as rows, of all pairs within radius that share one of the given rare shingles of windows."""
+        keys = _block_keys(shingle, prints[window], radius).reshape(-1)
+        of = np.repeat(window, radius + 1)
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        found = np.repeat(of, hi - lo) * len(self.ids) + self.items[np.repeat(lo, hi - lo) + _ramp(hi - lo)]
+        w, i = np.divmod(np.unique(found), len(self.ids))
         near = np.bitwise_count(prints[w] ^ self.prints[i]) <= radius
         return np.stack([w[near], i[near]], axis=1)
 
 
+def _block_keys(shingle: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """The multi-index's keys, a row for each shingle and fingerprint: a block's number and bits, and the shingle."""
+    blocks = blocks_of(prints, radius) + (np.arange(radius + 1, dtype=np.uint64) << tv.U64(58))[None, :]
+    return tv.mix(shingle[:, None] * tv.U64(0x9E3779B97F4A7C15) + tv.mix(blocks))
+
+
+def _held(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
 def similarity(a: Counter, b: Counter) -> float:
     both = sum(min(n, b[x]) for x, n in a.items() if x in b)
     return both / (sum(a.values()) + sum(b.values()) - both)
@@ -112,7 +149,7 @@ class Matcher:
             if not len(h):
                 continue
             size = min(k, len(h))
-            g = groups.setdefault(len(h), ItemsOfLength(len(h), size))
+            g = groups.setdefault(len(h), ItemsOfLength(len(h), size, threshold))
             sh = run_hashes(h, size)[: len(h) - size + 1]
             g.ids.append(item)
             g.prints.append(simhash(sh[None, :])[0])
@@ -145,31 +182,37 @@ class Matcher:
                 continue
             for g in self.groups:
                 if g.k == size:
-                    own = maybe[g.seeds[np.minimum(np.searchsorted(g.seeds, sh[maybe]), len(g.seeds) - 1)] == sh[maybe]]
+                    own = maybe[_held(g.seeds, sh[maybe])]
                     if len(own):
                         self._windows(g, sh, own, doc, w.of, best)
         return [(d, item, *found) for (d, item), found in sorted(best.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
-    def _windows(self, g: ItemsOfLength, sh, seeds, doc, of, best) -> None:
-        n, d = of[doc[seeds] + 1], doc[seeds]
-        lo = np.maximum(of[d], seeds - (g.length - g.k))
-        hi = np.maximum(np.minimum(seeds, n - g.length), of[d])  # at least one window, the whole document
-        lo = np.minimum(lo, hi)
-        starts = np.unique(np.concatenate([np.repeat(lo, hi - lo + 1) + _ramp(hi - lo + 1)]))
-        d = doc[starts]
-        short = of[d + 1] - starts < g.length
-        long = starts[~short]
-        m = g.length - g.k + 1
-        for i in range(0, len(long), 20_000):
-            part = long[i : i + 20_000]
-            self._verify(g, part, sh[part[:, None] + np.arange(m)], doc, of, best)
+    def _windows(self, g, sh, seeds, doc, of, best) -> None:
+        """seeds: the places, in order, of shingles of the group's items."""
+        rare = seeds[_held(g.rare, sh[seeds])]
+        if not len(rare):
+            return
+        d = doc[rare]
+        lo = np.maximum(of[d], rare - (g.length - g.k))
+        hi = np.maximum(np.minimum(rare, of[d + 1] - g.length), of[d])  # at least one window, the whole document
+        lo = np.maximum(np.minimum(lo, hi), np.concatenate([[0], hi[:-1] + 1]))  # each window once
+        n = np.maximum(hi - lo + 1, 0)
+        starts = np.repeat(lo, n) + _ramp(n)
+        have = np.minimum(of[doc[starts] + 1] - starts - g.k + 1, g.size)
+        shared = np.searchsorted(seeds, starts + have) - np.searchsorted(seeds, starts)
+        starts = starts[shared >= g.needed(have)]
+        short = of[doc[starts] + 1] - starts < g.length
+        long, step = starts[~short], max(1, SLICE // g.size)
+        for i in range(0, len(long), step):
+            part = long[i : i + step]
+            self._verify(g, part, sh[part[:, None] + np.arange(g.size)], doc, of, best)
         for at in starts[short]:
-            have = int(of[doc[at] + 1] - at) - g.k + 1
-            if have >= self.threshold * m:
-                self._verify(g, np.array([at]), sh[at : at + have][None, :], doc, of, best)
+            n = int(of[doc[at] + 1] - at) - g.k + 1
+            self._verify(g, np.array([at]), sh[at : at + n][None, :], doc, of, best)
 
     def _verify(self, g, starts, rows, doc, of, best) -> None:
-        for x, i in g.within(simhash(rows), self.radius).tolist():
+        window, place = np.nonzero(_held(g.rare, rows))
+        for x, i in g.within(simhash(rows), window, rows[window, place], self.radius).tolist():
             value = similarity(Counter(rows[x].tolist()), g.counts[i])
             if value >= self.threshold:
                 d = int(doc[starts[x]])
@@ -186,8 +229,8 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def item_blocks(bench: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = 400_000):
-    """Lists of (id, text) of about block_words words each at most (a single larger item alone)."""
-    rows = bench.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").distinct()
+    """Lists of (id as text, text) of about block_words words each at most (a single larger item alone)."""
+    rows = bench.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").distinct()
     size = rows.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0
     n = max(1, int(-(-size // block_words)))
     for b in range(n):
@@ -199,28 +242,25 @@ def contaminated(spark: SparkSession, docs: DataFrame, bench: DataFrame, doc_id:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document and item that match."""
     out = None
     for items in item_blocks(bench, item_id, item_text):
-        found = _scan(spark, docs, items, doc_id, text, bench.schema[item_id].dataType.simpleString(), (k, threshold, radius))
+        found = _scan(spark, docs, items, doc_id, text, (k, threshold, radius))
         out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("_item", item_id)
+    return out.select(F.col("id").alias(doc_id), F.col("item").cast(bench.schema[item_id].dataType).alias(item_id), "similarity", "first_word", "n_words")
 
 
-def _scan(spark, docs, items, doc_id, text, item_type, settings) -> DataFrame:
+def _scan(spark, docs, items, doc_id, text, settings) -> DataFrame:
     sent = spark.sparkContext.broadcast(items)
-    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    id_type = picked.schema["_id"].dataType.simpleString()
-    spark_types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    id_type = picked.schema["id"].dataType.simpleString()
 
     def run(batches):
         m = Matcher(sent.value, *settings)
-        for batch, s in _spark.text_slices(batches, "_text"):
+        for batch, s in _spark.text_slices(batches, "text"):
             found = m.matches(s)
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([f[1] for f in found], spark_types.get(item_type, pa.string())), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
-                names=["_id", "_item", "similarity", "first_word", "n_words"],
-            )
+            cols = [pa.array([f[i] for f in found], t) for i, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "item", "similarity", "first_word", "n_words"])
 
-    return picked.mapInArrow(_spark.tidy(run), f"_id {id_type}, _item {item_type}, similarity double, first_word long, n_words long").withColumnRenamed("_id", doc_id)
+    return picked.mapInArrow(_spark.tidy(run), f"id {id_type}, item string, similarity double, first_word long, n_words long")
 
 
 def clean(spark: SparkSession, docs: DataFrame, bench: DataFrame, text: str = "text", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
