@@ -8,10 +8,14 @@ what the markup allows.  Words are letters and digits, A-Z lower-cased, so
 punctuation and layout never matter.
 
 An automaton is started only where the template's first mandatory words stand;
-that is found for a whole slice of documents at once, over whole texts.
+that is found for a whole slice of documents at once, over whole texts.  Regions
+before them are matched backwards from there.  A span takes the fewest words that
+the regions before the first mandatory word need, and the most after it.
 
 Null and empty texts have no words, places or labels and a score of 0; repeated
-rows give repeated results; an empty table gives an empty result.
+rows give repeated results; spans of one start are listed by their end, then label;
+extra columns, whatever their names, play no part; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 #: Fixed wording: public license notices, with our markup.
 TEMPLATES = {
     "mit": [
-        "[[the]] mit license [[mit]] [[copyright <<holder:1-20>>]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "[[[[the]] mit license [[mit]]]] [[copyright <<holder:1-20>>]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "licensed under the [[terms of the]] mit [[open source]] license",
         "released under the [[terms of the]] mit [[open source]] license",
     ],
@@ -61,20 +65,32 @@ TEMPLATES = {
     "cc-by-sa": ["licensed under a creative commons attribution sharealike [[<<number:1-2>> international]] license", "licensed under cc by sa [[<<number:1-2>>]]"],
     "cc-by": ["licensed under a creative commons attribution <<number:1-2>> international license"],
     "cc0": ["<<author:0-6>> has waived all copyright and related or neighboring rights to this work"],
-    "all-rights-reserved": ["copyright <<holder:1-12>> all rights reserved"],
+    "all-rights-reserved": ["[[copyright <<holder:1-12>>]] all rights reserved"],
 }
 
 ANCHOR = 3
 
 
-@dataclass
 class Automaton:
-    """States are places in ``steps``; a step is ('word', hash), ('gap', min, max) or ('skip', next)."""
+    """A run of template elements: a word's hash, a gap (min, max), or an optional list of elements.
 
-    label: str
-    steps: list[tuple]
-    anchor: list[np.uint64]  # the first mandatory words
-    begin: int  # the step after which the anchor's first word stands
+    States are (place in ``steps``, words of a gap used); a step is ('word', hash), ('gap', min, max)
+    or ('skip', place to go on at instead).
+    """
+
+    def __init__(self, elements: list):
+        self.steps: list[tuple] = []
+        self._add(elements)
+
+    def _add(self, elements: list) -> None:
+        for x in elements:
+            if isinstance(x, list):
+                at = len(self.steps)
+                self.steps.append(("skip", None))
+                self._add(x)
+                self.steps[at] = ("skip", len(self.steps))
+            else:
+                self.steps.append(("gap", *x) if isinstance(x, tuple) else ("word", x))
 
     def closure(self, states: set[tuple[int, int]]) -> set[tuple[int, int]]:
         todo, seen = list(states), set(states)
@@ -93,12 +109,14 @@ class Automaton:
                     todo.append(x)
         return seen
 
-    def match(self, h: np.ndarray, start: int) -> int:
-        """The end of the longest run of words from start that is accepted, or -1."""
-        states, end = self.closure({(self.begin, 0)}), -1
+    def match(self, h: np.ndarray, start: int, longest: bool = True) -> int:
+        """The end of the longest (or shortest) run of words from start that is accepted, or -1."""
+        states, end = self.closure({(0, 0)}), -1
         for i in range(start, len(h) + 1):
             if any(at >= len(self.steps) for at, _ in states):
                 end = i
+                if not longest:
+                    break
             if i == len(h) or not states:
                 break
             word, nexts = h[i], set()
@@ -113,27 +131,48 @@ class Automaton:
         return end
 
 
-def compile_template(label: str, text: str) -> Automaton:
-    steps: list[tuple] = []
-    opened: list[int] = []
-    fixed: list[tuple[int, np.uint64]] = []
+@dataclass
+class Template:
+    """Its automaton is cut at the first mandatory words: the part before runs backwards from them."""
+
+    label: str
+    anchor: list[np.uint64]
+    before: Automaton
+    after: Automaton
+
+    def match(self, h: np.ndarray, start: int) -> tuple[int, int] | None:
+        """First word and end of the run accepted around an anchor at start: as few words before it as will do, as many after."""
+        back = self.before.match(h[:start][::-1], 0, longest=False)
+        end = self.after.match(h, start) if back >= 0 else -1
+        return (start - back, end) if end >= 0 else None
+
+
+def _reversed(elements: list) -> list:
+    return [_reversed(x) if isinstance(x, list) else x for x in reversed(elements)]
+
+
+def compile_template(label: str, text: str) -> Template:
+    open_: list[list] = [[]]
     for token in re.findall(r"\[\[|\]\]|<<\w+:\d+-\d+>>|[^\s\[\]<>]+", text):
         if token == "[[":
-            opened.append(len(steps))
-            steps.append(("skip", None))
+            open_.append([])
         elif token == "]]":
-            steps[opened.pop()] = ("skip", len(steps))
+            done = open_.pop()
+            open_[-1].append(done)
         elif token.startswith("<<"):
-            least, most = map(int, re.findall(r"\d+", token.split(":")[1]))
-            steps.append(("gap", least, most))
+            open_[-1].append(tuple(map(int, re.findall(r"\d+", token.split(":")[1]))))
         else:
-            if not opened and len(fixed) < ANCHOR and (not fixed or fixed[-1][0] == len(steps) - 1):
-                fixed.append((len(steps), tv.hash_of(token)))
-            steps.append(("word", tv.hash_of(token)))
-    return Automaton(label, steps, [h for _, h in fixed], fixed[0][0])
+            open_[-1].append(tv.hash_of(token))
+    top = open_[0]
+    mandatory = [not isinstance(x, list | tuple) for x in top]
+    if len(open_) > 1 or not any(mandatory):
+        raise ValueError(f"not a template with mandatory words: {text!r}")
+    at = mandatory.index(True)
+    size = next((i for i in range(1, ANCHOR) if at + i >= len(top) or not mandatory[at + i]), ANCHOR)
+    return Template(label, top[at : at + size], Automaton(_reversed(top[:at])), Automaton(top[at:]))
 
 
-def automata(templates: dict[str, list[str]]) -> list[Automaton]:
+def automata(templates: dict[str, list[str]]) -> list[Template]:
     return [compile_template(label, t) for label, ts in templates.items() for t in ts]
 
 
@@ -172,9 +211,9 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", phra
         for m in machines:
             for at in places(h, doc, m.anchor):
                 d = int(doc[at])
-                end = m.match(h[of[d] : of[d + 1]], int(at - of[d]))
-                if end >= 0:
-                    extra.setdefault(d, []).append((int(at - of[d]), end, m.label))
+                span = m.match(h[of[d] : of[d + 1]], int(at - of[d]))
+                if span:
+                    extra.setdefault(d, []).append((*span, m.label))
         n_words = w.counts.astype(np.int64)
         n_base, first, last = np.zeros(s.n, np.int64), [None] * s.n, [None] * s.n
         base_labels, labels, spans, score = [""] * s.n, [""] * s.n, [""] * s.n, np.zeros(s.n)
