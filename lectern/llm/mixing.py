@@ -21,9 +21,10 @@ Sources rank by code point, null last; weights repeat along the ranking.
 Targets share ``share`` of all words and stop at ``cap`` times the source's
 own words; the excess is reshared by weight until no target is above.
 
-Null and empty texts have size 0 and take 0; repeated rows are documents of
-their own; a table without words has targets 0; an empty table gives an empty
-result.  Extra columns play no part unless asked for in ``keep``.
+Null and empty texts have size 0 and take 0; a null source is a source, a null id
+an id; repeated rows are documents of their own; texts of any length are counted
+whole; a table without words has targets 0; an empty table gives an empty result.
+Extra columns, whatever their names, play no part unless asked for in ``keep``.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from pyspark.sql import types as T
 
 from . import _spark
 
+#: The largest dual, at which all documents but those far below the mean size are taken cap times.
+MOST = 60.0
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -73,13 +76,21 @@ def source_targets(spark: SparkSession, by_source: DataFrame, weights: tuple[int
     return state.select("source", "source_size", F.least(F.col("weight") * F.lit(rate), limit).alias("target"))
 
 
-def balance(spark: SparkSession, histogram: DataFrame, cap: float = 2.0, rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
-    """source, mean, tilt of each source from (source, size, n, source_size, target); sizes above 0 only."""
+def balance(spark: SparkSession, histogram: DataFrame, cap: float = 2.0, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """source, mean, tilt of each source from (source, size, n, source_size, target); sizes above 0 only.
+
+    The duals start where they would end if all of a source's documents had its mean size.  A source
+    whose target is all that its documents can give keeps the largest tilt.
+    """
     mean = (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")
-    duals = histogram.groupBy("source").agg(mean, F.first("target").alias("target"), F.first("source_size").alias("source_size")).withColumn("tilt", F.lit(0.0))
-    duals = _spark.materialize(spark, duals, "mix-duals")
+    duals = histogram.groupBy("source").agg(mean, F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+    full = F.least(F.col("target") / (cap * F.col("source_size")), F.lit(1.0))
+    start = F.when(full >= 1 - 1e-12, MOST).when(full <= 0, -MOST).otherwise(F.greatest(F.least(F.log(full / (1 - full)), F.lit(MOST)), F.lit(-MOST)))
+    duals = _spark.materialize(spark, duals.withColumn("tilt", start).withColumn("open", F.col("tilt") < MOST), "mix-duals")
     for _ in range(rounds):
-        h = histogram.select("source", "size", "n").alias("h").join(duals.alias("d"), F.expr("h.source <=> d.source"))
+        if not duals.where("open").limit(1).count():
+            return duals.select("source", "mean", "tilt")
+        h = histogram.select("source", "size", "n").alias("h").join(duals.where("open").alias("d"), F.expr("h.source <=> d.source"))
         z = F.col("size") / F.col("mean")
         p = 1 / (1 + F.exp(-F.greatest(F.least(F.col("tilt") * z, F.lit(500.0)), F.lit(-500.0))))
         step = h.groupBy("h.source", "d.mean", "d.target", "d.source_size", "d.tilt").agg(
@@ -88,10 +99,9 @@ def balance(spark: SparkSession, histogram: DataFrame, cap: float = 2.0, rounds:
         gap = F.col("target") - F.col("have")
         move = F.greatest(F.least(gap / F.greatest(F.col("slope"), F.lit(1e-300)), F.lit(4.0)), F.lit(-4.0))
         done = F.abs(gap) <= F.lit(tolerance) * F.col("source_size")
-        duals = _spark.materialize(spark, step.select("source", "mean", "target", "source_size", F.when(done, F.col("tilt")).otherwise(F.least(F.col("tilt") + move, F.lit(60.0))).alias("tilt"), (~done & (F.col("tilt") < 60.0)).alias("open")), "mix-duals")
-        if not duals.where("open").limit(1).count():
-            break
-    return duals.select("source", "mean", "tilt")
+        new = step.select("source", "mean", "target", "source_size", F.when(done, F.col("tilt")).otherwise(F.greatest(F.least(F.col("tilt") + move, F.lit(MOST)), F.lit(-MOST))).alias("tilt"), (~done & (F.abs("tilt") < MOST)).alias("open"))
+        duals = _spark.materialize(spark, duals.where("not open").unionByName(new), "mix-duals")
+    raise RuntimeError("the duals did not settle")
 
 
 def _deal(cap: float):
@@ -112,7 +122,8 @@ def _deal(cap: float):
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 256, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """id, source, size, source_size, target, copies, taken for every row, with the columns in keep.
 
-    cap is a whole number: the most copies of a document.
+    cap is a whole number: the most copies of a document.  Rows of one id are told apart by the columns
+    in keep, in their order.
     """
     keep = keep or []
     sized = sizes(docs.select(F.col(id_col).alias("_id"), F.col("source"), F.col("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])).drop("text")
@@ -130,14 +141,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1,
     dealt = _spark.materialize(spark, dealt, "mix-dealt")
 
     # blocks of one size, each given its share of the size's copies by running totals
-    part = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / block)))
+    part = F.pmod(F.xxhash64("_id", *[f"_keep_{c}" for c in keep[:1]]), F.greatest(F.lit(1), F.ceil(F.col("n") / block)))
     placed = sized.alias("s").join(dealt.alias("c"), F.expr("s.source <=> c.source and s.size = c.size"), "left")
     placed = placed.select("_id", "s.source", "s.size", "copies", "n", part.alias("part"), *[f"_keep_{c}" for c in keep])
     in_part = placed.where("size > 0").groupBy("source", "size", "part", "n", "copies").agg(F.count("*").alias("m"))
     running = F.sum("m").over(Window.partitionBy("source", "size").orderBy("part"))
     share_of = lambda upto: F.floor(upto.cast("decimal(38,0)") * F.col("copies") / F.col("n"))
     in_part = in_part.withColumn("upto", running).select("source", "size", "part", "m", (share_of(F.col("upto")) - share_of(F.col("upto") - F.col("m"))).cast("long").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("_id", F.lit(1)), "_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("_id", F.lit(1)), "_id", *[f"_keep_{c}" for c in keep])) - 1
     ranked = placed.where("size > 0").withColumn("rank", rank).alias("p").join(in_part.alias("q"), F.expr("p.source <=> q.source and p.size = q.size and p.part = q.part"))
     kept = [f"_keep_{c}" for c in keep]
     given = ranked.select("_id", "p.source", "p.size", (F.floor(F.col("k") / F.col("m")) + (F.col("rank") < F.col("k") % F.col("m")).cast("long")).alias("copies"), *kept)
@@ -147,15 +158,22 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1,
 
 
 def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it, with copy numbers from 1 in ``copy``.
+    """docs, all columns, each row as often as the mix takes it, with copy numbers from 1 in a last column.
 
-    The mix is computed without texts; they are shuffled once, to meet their copies.
+    That is named ``copy``, with as many underscores before it as make it a new name; no other name
+    matters.  The rows are numbered as they are written, the mix is computed without texts, and the
+    texts are shuffled once, to meet their copies by the row's number.  Rows that share an id are told
+    apart by a hash of all columns; rows that are equal in all of them are interchangeable.
     """
     names = docs.columns
-    keyed = lambda df: df.withColumns({"_k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_n": F.col(id_col).isNull(), "_s": F.coalesce("source", F.lit("")), "_m": F.col("source").isNull()})
-    keys = ["_k", "_n", "_s", "_m", "size"]
-    taken = keyed(mix(spark, docs, id_col=id_col, **settings)).groupBy(*keys).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    met = keyed(sizes(docs).select(*names, "size") if "size" not in names else sizes(docs)).join(taken, keys)
-    met = met.withColumn("_c", F.element_at("_copies", nth)).where("_c > 0")
-    return met.select(*names, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("copy"))
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {x: f"c{names.index(x)}" for x in (id_col, "source", "text")}
+    plain = [F.to_json(F.col(c)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(c) for c, f in zip(inner.columns, inner.schema.fields, strict=True)]
+    rows = _spark.materialize(spark, inner.withColumns({"hash": F.xxhash64(*plain), "row": F.monotonically_increasing_id()}), "mix-rows")
+    small = rows.select(F.col(at[id_col]).alias("id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"), "hash", "row")
+    taken = mix(spark, small, id_col="id", keep=["hash", "row"], **settings).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    met = rows.join(taken, "row").select(*inner.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    last = "copy"
+    while last in names:
+        last = "_" + last
+    return met.toDF(*names, last)

@@ -331,15 +331,18 @@ def _right_texts(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, **settings) -> DataFrame:
-    """docs, all columns, with one row of each group, that of its smallest id (null last).
+    """docs, all columns whatever their names, with one row of each group, that of its smallest id (null last).
 
-    Documents without words all stay.
+    Documents without words all stay.  Of several rows of that id and text, equal but for other
+    columns, the first by those columns' hash stays.
     """
-    found = near_duplicates(spark, docs, id_col, text, k, **settings).where("node is not null")
-    found = found.select(F.col(id_col).alias("_id"), "class_id", "node").where(F.col("_id").eqNullSafe(F.col("class_id")))
-    keep = found.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_k"), F.col("_id").isNull().alias("_null"), F.col("node").alias("_node"), F.lit(True).alias("_keep")).distinct()
+    from pyspark.sql import types as T
+
+    found = near_duplicates(spark, docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id", "text", k, **settings).where("node is not null")
+    keep = found.where(F.col("id").eqNullSafe(F.col("class_id"))).select("id", "node").distinct()
     names = docs.columns
     at = names.index(text)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches):
         for batch in batches:
@@ -347,12 +350,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
             for s in tv.slices(batch.column(at)):
                 key, words = text_keys(s)
                 keys.append(np.where(words > 0, key, 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys))], names=[*batch.schema.names, "_node"])
-
-    from pyspark.sql import types as T
-
-    keyed = docs.mapInArrow(_spark.tidy(run), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
-    keyed = keyed.withColumns({"_k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_null": F.col(id_col).isNull()})
-    joined = keyed.join(keep, ["_k", "_null", "_node"], "left")
-    first = F.row_number().over(Window.partitionBy("_k", "_null", "_node").orderBy(F.lit(1)))
-    return joined.withColumn("_nth", first).where("_node = 0 or (_keep and _nth = 1)").select(*names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys))], names=[*batch.schema.names, "node"])
+
+    keyed = inner.mapInArrow(_spark.tidy(run), T.StructType([*inner.schema.fields, T.StructField("node", T.LongType())]))
+    plain = [F.to_json(F.col(c)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(c) for c, f in zip(inner.columns, inner.schema.fields, strict=True)]
+    told = lambda c: {"id_text": F.coalesce(F.col(c).cast("string"), F.lit("")), "id_null": F.col(c).isNull()}
+    # documents without words are keys of their own; the join's partitioning serves the aggregate too
+    key = F.when(F.col("node") == 0, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("node"))
+    keyed = keyed.withColumns({"hash": F.xxhash64(*plain), "key": key, **told(f"c{names.index(id_col)}")})
+    keep = keep.withColumns({"key": F.col("node"), "kept": F.lit(True), **told("id")}).drop("id", "node")
+    on = ["key", "id_text", "id_null"]
+    met = keyed.join(keep, on, "left").where("node = 0 or kept")
+    one = met.groupBy(*on).agg(F.min_by(F.struct(*inner.columns), "hash").alias("one"))
+    return one.select(*[F.col(f"one.{c}") for c in inner.columns]).toDF(*names)
