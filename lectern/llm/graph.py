@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import materialize, release
 
 
 def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -19,13 +19,17 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
     labels = materialize(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        new = materialize(spark, new, "labels")
-        jump = new.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = new.join(jump, "comp").select("node", "old", F.least("comp", "further").alias("comp"))
-        labels = materialize(spark, new, "labels")
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        lower = materialize(spark, lower, "labels")
+        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        new = materialize(spark, lower.join(jump, "comp").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        release(lower, labels)
+        labels = new
         if not labels.where("comp <> old").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels.select("node", "comp")
+    release(both)
+    out = labels.select("node", "comp")
+    out.stored_at = labels.stored_at
+    return out

@@ -17,24 +17,33 @@ Groups are the connected components of the links.
    registers of the document.  Registers agree with probability J_P.
 2. Texts equal word for word become one node; copies go no further.
 3. ``bands`` bands of ``rows`` registers are hashed.  In each bucket all nodes are
-   first paired with one leader, the node that meets the most others.  With 30
-   bands of 5, a pair at 0.8 meets in no band with a probability of 7e-6.
+   paired with one leader, the node that meets the most others.  With 30 bands of
+   5, a pair at 0.8 meets in no band with a probability of 7e-6.
 4. Pairs are verified exactly from the texts, in blocks of one leader and at
    most about ``block`` members.
-5. Two members x, y of a bucket that are of different components may still be
-   linked to each other.  So each bucket gets further leaders, ever more a round,
-   which meet all later members of other components that they haven't met and
-   may be linked to; a leader is then through with its bucket.  This ends when no
-   bucket has members of two components left, so every two texts that share a
-   band are of one component, or verified, or excluded by the bounds below.
-
-With A = what a text has beyond the bucket's first leader L, and R = what it lacks
-of L, |x - y| >= ||A_x| - |A_y|| + ||R_x| - |R_y||, and as 1 - J_P is a metric,
-|J_P(x, L) - J_P(y, L)| > 1 - threshold excludes a link.  Counts enter the first
-through J_P <= J + w_x + w_y, where J is the Jaccard similarity of the counts and w
-a text's share of shingles whose count differs from the leader's, one of the two
-being 2 or more.  A group of copies linked to one leader costs one comparison
-each; n texts of a bucket that are alike but not linked cost up to n * n / 2.
+5. Two members x, y of a leader a that are of different components may still be
+   linked to each other.  Then they must share much of what tells them from a:
+   with A_x what x has beyond a, R_x what it lacks of it, and h = t / (1 + t),
+
+       |A_x & A_y| + |R_x & R_y| >= cost(x) + cost(y) - (1 - 2 h) |a|,
+       cost(x) = h |A_x| + (1 - h) |R_x|,
+
+   while x is linked to a only if cost(x) <= (1 - 2 h) |a|.  As at least one of
+   the two isn't, the other shares more than its cost, so (prefix filtering) both
+   hold one of each other's rarest differences.  Members that share such a
+   difference get a leader of their own, and so on until nothing is left to meet.
+   Copies of one text with changes of their own share no rare difference, so a
+   group of n of them costs about n comparisons, not n * n.
+
+Every two texts that share a band are so of one component, or verified, or proven
+apart.  The bound is for sets; for counts, J_P <= J + w_x + w_y, where J is the
+Jaccard similarity of the counts and w a text's share of shingles whose count
+differs from the leader's, one of the two being 2 or more: t is lowered by the
+group's largest w up to ``LIGHT``; a member beyond that (a passage repeated another
+number of times), or one that needs no shared difference, meets all members
+of other components that two weaker bounds allow.  Rarity only orders the
+differences; it is taken from a sample of a leader's members, and no result
+depends on it.
 
 A document without words (null, empty, white space) is a group of its own.
 Repeated rows and exact copies share a group; ids that repeat with different
@@ -47,7 +56,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark
@@ -55,8 +64,10 @@ from . import textvec as tv
 from .graph import components
 
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
-#: Leaders that a bucket gets in its second round; each later round has so many times as many.
-LEADERS = 8
+#: The largest share of differing counts by which a group's bound is lowered.
+LIGHT = 0.05
+#: Members that a leader's order of differences is taken from, members a block of that work, and differences a part.
+SAMPLE, MEMBERS, PART = 512, 1024, 1 << 18
 _LOW48 = tv.U64((1 << 48) - 1)
 
 
@@ -184,20 +195,28 @@ def signatures(df: DataFrame, ids: list[str], text: str, k: int, bands: int, row
     return _spark.map_text(df, ids, text, "node long, bands array<long>", run)
 
 
-def _against(leader: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float, float]:
-    """size, w, |A| and |R| of a text against its leader."""
+def _against(leader: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, float, int, int, bytes, bytes]:
+    """Sizes of a text and its leader, w, |A| and |R|, and its differences: shingle * 2 + (whether it's one more), and by how much."""
     (el, wl), (eo, wo) = leader, own
-    _, il, io = np.intersect1d(el, eo, assume_unique=True, return_indices=True)
-    there = np.zeros(len(eo), np.int64)
-    there[io] = wl[il]
-    more = wo.astype(np.int64) - there
-    size, extra = int(wo.sum()), int(more[more > 0].sum())
-    lacks = int(wl.sum()) - (size - extra)
-    uneven = float(wo[(more != 0) & (np.maximum(wo, there) > 1)].sum()) / size
-    return float(size), uneven, float(extra), float(lacks)
+    both, where = np.unique(np.concatenate([el, eo]), return_inverse=True)
+    have, lead = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
+    lead[where[: len(el)]], have[where[len(el) :]] = wl, wo
+    more = have - lead
+    at = np.flatnonzero(more)
+    size = int(wo.sum())
+    uneven = float(have[at][np.maximum(have, lead)[at] > 1].sum()) / size
+    extra = int(more[more > 0].sum())
+    elements = both[at].astype(np.int64) * 2 + (more[at] > 0)
+    return size, int(wl.sum()), uneven, extra, int(wl.sum()) - (size - extra), elements.tobytes(), np.abs(more[at]).astype(np.int32).tobytes()
 
 
-COMPARED = "a long, b long, linked boolean, alike double, size double, uneven double, more double, less double"
+COMPARED = "a long, b long, linked boolean, alike double, size long, lead long, uneven double, more long, less long, elements binary, times binary"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[k]) for i, (_, k) in enumerate(fields)], names=[f for f, _ in fields])
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
@@ -227,50 +246,178 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block
                         alike = prob_jaccard(own, it)
                         out.append((a[i], b[i], alike >= threshold, alike, *_against(own, it)))
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in COMPARED.split(", ")])
+                    yield _batch(COMPARED, out)
 
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return dealt.mapInArrow(_spark.tidy(run), COMPARED)
 
 
-def _first_pairs(led: DataFrame) -> DataFrame:
-    """(a, b): each bucket's leader and its members."""
+def _first_pairs(entries: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(a, b): each bucket's leader and its other members."""
+    leader = F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")
+    led = entries.join(entries.join(degrees, "node").groupBy("bucket").agg(leader), "bucket")
     return led.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _rest(led: DataFrame, done: DataFrame, degrees: DataFrame) -> DataFrame:
-    """bucket, node, degree, and the node against its bucket's leader; one of the buckets of the same leader and members."""
-    rows = led.where("a <> node")
-    h = F.xxhash64("node")
-    sets = rows.groupBy("bucket", "a").agg(F.count("*").alias("n"), F.bit_xor(h).alias("mixed"), F.sum(F.shiftright(h, 24)).alias("summed"))
-    sets = sets.where("n > 1").groupBy("a", "n", "mixed", "summed").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return rows.join(sets, "bucket").withColumnRenamed("node", "b").join(done, ["a", "b"]).join(degrees.withColumnRenamed("node", "b"), "b").select("bucket", F.col("b").alias("node"), "degree", "alike", "size", "uneven", "more", "less")
-
+def _groups(done: DataFrame, leaders: DataFrame, comp: DataFrame, degrees: DataFrame, threshold: float) -> DataFrame:
+    """The members of leaders(a) that have members of several components.
 
-def _placed(rest: DataFrame, comp: DataFrame) -> DataFrame:
-    """rest with components and nth, the order of further leaders, without the buckets of a single component."""
-    placed = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    best = [F.desc("degree"), "node"]
-    placed = placed.join(several, "bucket").withColumn("of_comp", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*best)))
-    return placed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("of_comp", *best))).drop("of_comp")
-
-
-def _further_pairs(placed: DataFrame, done: DataFrame, leaders: int, threshold: float) -> DataFrame:
-    """(a, b): the next leaders of each bucket, and its later members of other components that may be linked to them and haven't met them."""
-    names = ("node", "comp", "nth", "alike", "size", "uneven", "more", "less")
-    x = placed.where(F.col("nth") <= leaders).select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = placed.select("bucket", *[F.col(c).alias(f"y_{c}") for c in names])
+    inside: of the leader's component. short, long: how many differences a member must share with one of another
+    component, not inside, and (if it isn't inside itself) with one inside. wide: where that says nothing.
+    """
+    of = comp.withColumnRenamed("node", "b").withColumnRenamed("comp", "of")
+    rows = done.join(leaders, "a", "left_semi").join(of, "b", "left").withColumn("of", F.coalesce("of", "b"))
+    lead_of = comp.withColumnRenamed("node", "a").withColumnRenamed("comp", "lead_of")
+    rows = rows.join(lead_of, "a", "left").withColumn("inside", F.col("of") == F.coalesce("lead_of", "a"))
+    light = F.col("uneven") <= LIGHT
+    stats = rows.groupBy("a").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("n"), F.sum(F.length("elements") / 8).alias("total"), F.coalesce(F.max(F.when(light, F.col("uneven"))), F.lit(0.0)).alias("w"))
+    rows = rows.join(stats.where("lo <> hi").drop("lo", "hi"), "a")
+    t = F.lit(threshold) - 2 * F.col("w")
+    rows = rows.withColumn("h", t / (1 + t)).withColumn("cost", F.col("h") * F.col("more") + (1 - F.col("h")) * F.col("less"))
+    rows = rows.withColumn("beyond", F.col("cost") - (1 - 2 * F.col("h")) * F.col("lead"))
+    least = rows.where(light).groupBy("a").agg(F.min(F.when(~F.col("inside"), F.col("beyond"))).alias("least_beyond"), F.min(F.when(F.col("inside"), F.col("cost"))).alias("least_cost"))
+    rows = rows.join(least, "a", "left").join(degrees.withColumnRenamed("node", "b"), "b")
+    short = F.ceil(F.col("cost") + F.coalesce("least_beyond", F.lit(0.0)) - 1e-6)
+    long = F.when(F.col("inside") | F.col("least_cost").isNull(), short).otherwise(F.least(short, F.ceil(F.col("beyond") + F.col("least_cost") - 1e-6)))
+    rows = rows.withColumns({"short": short.cast("long"), "long": long.cast("long")})
+    return rows.withColumn("wide", ~light | (F.col("long") <= 0)).drop("least_beyond", "least_cost", "lead_of", "h", "cost", "beyond")
+
+
+def _wide_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): members for which shared differences say nothing, and those of other components that may be linked to them.
+
+    |x - y| >= ||A_x| - |A_y|| + ||R_x| - |R_y||, and as 1 - J_P is a metric, |J_P(x, a) - J_P(y, a)| > 1 - threshold excludes a link.
+    """
+    names = ("b", "of", "inside", "alike", "size", "uneven", "more", "less")
+    x = rows.where("wide").select("a", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = rows.select("a", "wide", *[F.col(c).alias(f"y_{c}") for c in names])
     t = F.greatest(F.lit(threshold) - F.col("x_uneven") - F.col("y_uneven"), F.lit(0.0))
     gap = F.abs(F.col("x_more") - F.col("y_more")) + F.abs(F.col("x_less") - F.col("y_less"))
     may = (gap <= (F.col("x_size") + F.col("y_size")) * (1 - t) / (1 + t) + 1e-6) & (F.abs(F.col("x_alike") - F.col("y_alike")) <= 1 - threshold + 1e-9)
-    pairs = x.join(y, "bucket").where((F.col("x_nth") < F.col("y_nth")) & (F.col("x_comp") != F.col("y_comp")) & may)
-    ends = [F.least("x_node", "y_node").alias("lo"), F.greatest("x_node", "y_node").alias("hi")]
-    pairs = pairs.groupBy(*ends).agg(F.min("x_node").alias("a"))
-    met = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    return pairs.join(met, ["lo", "hi"], "left_anti").select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    pairs = x.join(y, "a").where((F.col("x_of") != F.col("y_of")) & may & (~F.col("wide") | (F.col("x_b") < F.col("y_b"))))
+    return pairs.select(F.col("x_b").alias("a"), F.col("y_b").alias("b"))
+
+
+def _order(rows: DataFrame) -> DataFrame:
+    """a, elements, times: differences that several of a sample of a leader's members have, sorted, and how many have them."""
+
+    def run(batches):
+        at, held = None, []
+
+        def done():
+            e, n = np.unique(np.concatenate(held), return_counts=True)
+            return at, e[n > 1].tobytes(), n[n > 1].astype(np.int32).tobytes()
+
+        for batch in batches:
+            out = []
+            for a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if a != at:
+                    if at is not None:
+                        out.append(done())
+                    at, held = a, []
+                held.append(np.frombuffer(x, np.int64))
+            if out:
+                yield _batch("a long, elements binary, times binary", out)
+        if at is not None:
+            yield _batch("a long, elements binary, times binary", [done()])
+
+    some = rows.where(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SAMPLE)) == 0).select("a", "elements")
+    return some.repartition("a").sortWithinPartitions("a").mapInArrow(_spark.tidy(run), "a long, elements binary, times binary")
+
+
+ENTRIES = "a long, part int, b long, of long, degree long, elements binary, kinds binary"
+INSIDE, SHORT, LONG = 0, 1, 2
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """ENTRIES: for each member that isn't wide its rarest differences, by part; kinds: INSIDE, SHORT or LONG for each.
+
+    So many that what is left is less than it must share; rarity comes in one row for each block of members.
+    """
+    blocks = F.ceil(F.col("n") / MEMBERS)
+    parts = F.ceil(F.col("total") / PART).cast("int")
+    members = rows.where("not wide").select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), "b", "of", "degree", "inside", "short", "long", parts.alias("parts"), "elements", "times")
+    known = _order(rows).join(rows.groupBy("a").agg(F.first(blocks).alias("blocks")), "a")
+    known = known.select("a", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.lit(0).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in (("b", "long"), ("of", "long"), ("degree", "long"), ("inside", "boolean"), ("short", "long"), ("long", "long"), ("parts", "int"))], "elements", "times")
+
+    def run(batches):
+        at, common, often = None, None, None
+        for batch in batches:
+            out = []
+            for a, block, role, b, of, degree, inside, short, long, parts, elements, times in zip(*(batch.column(i).to_pylist() for i in range(12)), strict=True):
+                e, n = np.frombuffer(elements, np.int64), np.frombuffer(times, np.int32)
+                if role == 0:
+                    at, common, often = (a, block), e, n
+                    continue
+                seen = np.zeros(len(e), np.int64)
+                if (a, block) == at and len(common):
+                    i = np.minimum(np.searchsorted(common, e), len(common) - 1)
+                    seen = np.where(common[i] == e, often[i], 0)
+                order = np.lexsort((e, seen))
+                e, left = e[order], int(n.sum()) - np.cumsum(n[order])
+                # the first place after which less is left than must be shared
+                upto = lambda need: int(np.searchsorted(-left, -(need - 1))) + 1  # noqa: E731, B023
+                first, last = min(upto(short), len(e)), min(upto(long), len(e))
+                last = max(first, last)
+                kinds = np.full(last, INSIDE, np.int8) if inside else np.where(np.arange(last) < first, SHORT, LONG).astype(np.int8)
+                e = e[:last]
+                of_part = (tv.mix(e.view(tv.U64)) % tv.U64(parts)).astype(np.int64) if parts > 1 else np.zeros(last, np.int64)
+                for p in np.unique(of_part):
+                    own = of_part == p
+                    out.append((a, int(p), b, of, degree, e[own].tobytes(), kinds[own].tobytes()))
+            if out:
+                yield _batch(ENTRIES, out)
+
+    dealt = members.unionByName(known).repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    return dealt.mapInArrow(_spark.tidy(run), ENTRIES)
+
+
+def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """(leader, member) rows for each difference whose holders may be linked across components; entries in any order."""
+    order = np.lexsort((node, -degree, element))
+    element, kind, node, of = element[order], kind[order], node[order], of[order]
+    start = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(element))))
+    holds = lambda k: np.bincount(run, kind == k, minlength=len(start))
+    inside = holds(INSIDE) > 0
+    # without a member inside, those that hold it among their less rare differences only needn't meet
+    keep = (inside[run] | (kind == SHORT)) & ((inside & (holds(SHORT) + holds(LONG) > 0)) | (~inside & (holds(SHORT) > 1)))[run]
+    run, node, of = run[keep], node[keep], of[keep]
+    if not len(run):
+        return np.zeros((0, 2), np.int64)
+    first = np.concatenate([[True], run[1:] != run[:-1]])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    several = np.zeros(len(start), bool)
+    several[run[of != of[lead]]] = True
+    take = several[run] & (node != node[lead])
+    return np.unique(np.stack([node[lead[take]], node[take]], axis=1), axis=0)
+
+
+def _further_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): for each of a leader's members' rare differences that others share, a leader and the others."""
+
+    def run(batches):
+        at, held = None, []
+
+        def done():
+            node, of, degree, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
+            e, kinds = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+            found = _meetings(e, kinds, np.repeat(node, n), np.repeat(of, n), np.repeat(degree, n))
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for a, part, b, of, degree, elements, kinds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (a, part) != at:
+                    if at is not None:
+                        yield done()
+                    at, held = (a, part), []
+                e = np.frombuffer(elements, np.int64)
+                held.append((b, of, degree, len(e), e, np.frombuffer(kinds, np.int8)))
+        if at is not None:
+            yield done()
+
+    dealt = _entries(rows).repartition("a", "part").sortWithinPartitions("a", "part")
+    return dealt.mapInArrow(_spark.tidy(run), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -290,27 +437,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     wanted = degrees.join(nodes.select("node", "id"), "node")
     found = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("node", "text")
     found = _spark.materialize(spark, _right_texts(found), "dup-texts")
+    _spark.release(nodes)
 
-    leader = F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")
-    led = met.select("bucket", "node").join(met.join(degrees, "node").groupBy("bucket").agg(leader), "bucket")
-    led = _spark.materialize(spark, led, "dup-led")
-    pairs = _spark.materialize(spark, _first_pairs(led), "dup-pairs")
-    done = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
+    pairs = _spark.materialize(spark, _first_pairs(met.select("bucket", "node"), degrees), "dup-pairs")
+    done = fresh = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
     comp = components(spark, done.where("linked").select("a", "b"))
-    rest, leaders = _spark.materialize(spark, _rest(led, done, degrees), "dup-rest"), LEADERS
+    _spark.release(shared, met)
     while True:
-        placed = _spark.materialize(spark, _placed(rest, comp), "dup-placed")
-        if not placed.limit(1).count():
+        rows = _spark.materialize(spark, _groups(done, fresh.select("a").distinct(), comp, degrees, threshold), "dup-groups")
+        wanted = _further_pairs(rows).unionByName(_wide_pairs(rows, threshold)).distinct()
+        new = _spark.materialize(spark, wanted.join(done, ["a", "b"], "left_anti"), "dup-pairs")
+        _spark.release(rows, pairs)
+        pairs = new
+        if not pairs.limit(1).count():
             break
-        pairs = _spark.materialize(spark, _further_pairs(placed, done, leaders, threshold), "dup-pairs")
-        if pairs.limit(1).count():
-            new = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
-            done = done.unionByName(new)
-            if new.where("linked").limit(1).count():
-                comp = components(spark, done.where("linked").select("a", "b"))
-        rest = placed.where(F.col("nth") > leaders).select(*rest.columns)
-        leaders *= LEADERS
+        fresh = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
+        done = done.unionByName(fresh)
+        if fresh.where("linked").limit(1).count():
+            old, comp = comp, components(spark, done.where("linked").select("a", "b"))
+            _spark.release(old)
 
+    _spark.release(found, degrees)
     classed = sig.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = classed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.count_distinct("node").alias("n_texts"))
     out = classed.join(classes, "comp", "left")
