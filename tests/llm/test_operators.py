@@ -430,30 +430,64 @@ def test_near_duplicates(spark, docs, rows):
     assert near_dup.near_duplicates(spark, empty(spark)).count() == 0
 
 
-@pytest.fixture(scope="module")
-def variants():
-    """Texts each derived from one of the 20 before it, and the least of each one's component by brute force."""
-    rng = random.Random(3)
-    texts = [[f"w{rng.randrange(3000)}" for _ in range(120)]]
-    while len(texts) < 300:
-        t = list(texts[rng.randrange(max(0, len(texts) - 20), len(texts))])
-        for _ in range(rng.randrange(1, 6)):
-            t[rng.randrange(120)] = f"w{rng.randrange(3000)}"
-        texts.append(t)
-    texts = [" ".join(t) for t in texts]
+def family(kind, n, seed, size=120):
+    """Variants of one text: each derived from one of the 20 before it, or all from the first, by edits, cuts or repeated lines."""
+    rng = random.Random(seed)
+    word = lambda: f"{kind}{rng.randrange(3000)}"
+    base, out = [word() for _ in range(size)], []
+    for i in range(n):
+        t = list(base)
+        if kind == "chain":
+            t = list(out[rng.randrange(max(0, i - 20), i)]) if i else t
+            for _ in range(rng.randrange(1, 6)):
+                t[rng.randrange(size)] = word()
+        elif kind == "star":
+            for _ in range(rng.randrange(1, 8)):
+                t[rng.randrange(size)] = word()
+        elif kind == "cut":
+            at = rng.randrange(size - 20)
+            del t[at : at + rng.randrange(1, 25)]
+            if rng.random() < 0.5:
+                t.insert(rng.randrange(len(t)), word())
+        else:
+            t += base[10:20] * rng.randrange(0, 6)
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(size - 20)] = word()
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+def classes_of(texts):
+    """The least place of each text's component, by comparing all pairs."""
     sets = [near_dup.weighted_shingles(next(tv.of_texts([t])))[:2] for t in texts]
-    group = list(range(len(texts)))
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
     for i in range(len(texts)):
         for j in range(i):
-            if group[i] != group[j] and near_dup.prob_jaccard(sets[i], sets[j]) >= 0.8:
-                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
-    return texts, group
+            if find(i) != find(j) and near_dup.prob_jaccard(sets[i], sets[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
 
+@pytest.fixture(scope="module")
+def variants():
+    texts = family("chain", 200, 3) + family("star", 150, 4) + family("cut", 120, 5) + family("repeat", 80, 6)
+    return texts, classes_of(texts)
 
-def test_near_duplicates_of_variants(spark, variants):
+
+def test_near_duplicates_of_variants(spark, variants, monkeypatch):
     texts, want = variants
+    met, inner = [], near_dup.compared
+    monkeypatch.setattr(near_dup, "compared", lambda pairs, *a, **k: met.append(pairs.count()) or inner(pairs, *a, **k))
     got = near_dup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == want
+    assert sum(met) < 30 * len(texts)
 
 
 def test_pipeline_stage_of_variants(spark, variants):
@@ -462,6 +496,83 @@ def test_pipeline_stage_of_variants(spark, variants):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, D).collect()) == sorted(set(want))
 
 
+def test_meetings():
+    """Every pair that must meet over a shared difference stands with one leader."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = 12
+        of, degree = rng.integers(0, 4, n), rng.integers(0, 3, n)
+        inside = of == 0
+        held = [(x, i) for i in range(n) for x in rng.choice(8, 3, replace=False)]
+        element, node = (np.array(c, np.int64) for c in zip(*held, strict=True))
+        kind = np.where(inside[node], near_dup.INSIDE, rng.integers(1, 3, len(node))).astype(np.int8)
+        got = near_dup._meetings(element, kind, node, of[node], degree[node])
+        led = {}
+        for a, b in got.tolist():
+            led.setdefault(a, {a}).add(b)
+        for x in range(8):
+            here = np.flatnonzero(element == x)
+            for i in here:
+                for j in here:
+                    rare = near_dup.LONG not in (kind[i], kind[j])
+                    if of[node[i]] != of[node[j]] and (rare or near_dup.INSIDE in (kind[i], kind[j])):
+                        assert any({node[i], node[j]} <= s for s in led.values())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["text", "copy", "_copy", "size", "_k", "_n", "_node", "node", "hash", "row", "key", "id", "id_text", "kept", "source", "lang", "_id", "c0", "_t", "_runs", "similarity", "n_chars", "doc_id"]
+    text = "one two three four five six seven eight"
+    rows = [(i if i % 7 else None, [text, text + " nine", None, "", "a b@c.de f g h i"][i % 5]) for i in range(30)]
+    df = spark.createDataFrame([(*[x if n == "text" else i if n in ("doc_id", "n_chars") else f"{n}-{i}" for n in names],) for i, x in rows], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    whole = Counter(map(tuple, df.collect()))
+    bench = spark.createDataFrame([(1, "not in any text of these")], "item_id long, text string")
+    for out in (toxicity.keep_clean(spark, df, labels.limit(0)), decontaminate.clean(spark, df, bench)):
+        assert out.columns == names and Counter(map(tuple, out.collect())) == whole
+    kept = near_dup.one_of_each(spark, df)
+    got = Counter(map(tuple, kept.collect()))
+    assert kept.columns == names and not got - whole
+    assert sorted(r.text or "" for r in kept.collect() if not words(r.text) or "b@" in r.text or "nine" in r.text or r.text == text) == sorted([*[r[0] or "" for r in whole.elements() if not words(r[0])], *{r[0] for r in whole if words(r[0])}])
+    clean = pii.redacted(df)
+    assert clean.columns == names and Counter(tuple(r)[1:] for r in clean.collect()) == Counter({k[1:]: 0 for k in whole} | Counter(x[1:] for x in whole.elements()))
+    mix = mixing.mixed(spark, df)
+    taken = Counter(tuple(r)[:-1] for r in mix.collect())
+    assert mix.columns == [*names, "__copy"] and not set(taken) - set(whole) and all(n <= 2 * whole[r] for r, n in taken.items())
+    assert taken == Counter(tuple(r)[:-1] for r in mixing.mixed(spark, df.repartition(3)).collect())
+    want = mixing.mix(spark, df.select("doc_id", "source", "text")).agg(F.sum("copies")).first()[0]
+    assert abs(sum(taken.values()) - want) <= 1
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, D)
+        assert docs.count() == 0
+
+
+def test_mixing_solves_the_balance(spark):
+    """The rates against a bisection of each source's tilt."""
+    rng = random.Random(2)
+    rows = [(i, "abc"[i % 3] if i % 11 else None, " ".join(["w"] * rng.randrange(1, 400))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = mixing.sizes(df).groupBy("source", "size").agg(F.count("*").alias("n"))
+    targets = mixing.source_targets(spark, sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    histogram = sized.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "size", "n", "source_size", "target").cache()
+    got = {r.source: r for r in mixing.balance(spark, histogram).collect()}
+    for source in {r[1] for r in rows}:
+        h = [(r["size"], r.n, r.target) for r in histogram.where(F.col("source").eqNullSafe(source)).collect()]
+        target, mean = h[0][2], sum(s * n for s, n, _ in h) / sum(n for _, n, _ in h)
+        have = lambda tilt: sum(2 * n * s / (1 + math.exp(-tilt * s / mean)) for s, n, _ in h)  # noqa: E731, B023
+        if target < 2 * sum(s * n for s, n, _ in h) * (1 - 1e-9):
+            lo, hi = -60.0, 60.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if have(mid) < target else (lo, mid)
+            assert got[source].tilt == pytest.approx(lo, abs=1e-5)
+        else:
+            assert got[source].tilt == mixing.MOST
+
+
 def between_two_leaders(name):
     """Ids and texts: two groups of 8, and two texts that are linked to each other only, each nearer to the leader of another group."""
     some = lambda p, a, b: [f"{p}{name}x{i}" for i in range(a, b)]
