@@ -522,7 +522,7 @@ def test_meetings():
 def test_stages_keep_columns_of_any_name(spark):
     names = ["text", "copy", "_copy", "size", "_k", "_n", "_node", "node", "hash", "row", "key", "id", "id_text", "kept", "source", "lang", "_id", "c0", "_t", "_runs", "similarity", "n_chars", "doc_id"]
     text = "one two three four five six seven eight"
-    rows = [(i if i % 7 else None, [text, text + " nine", None, "", "a b@c.de f g h i"][i % 5]) for i in range(30)]
+    rows = [(i if i % 7 else None, [text, "nine " + text[::-1], None, "", "a b@c.de f g h i"][i % 5]) for i in range(30)]
     df = spark.createDataFrame([(*[x if n == "text" else i if n in ("doc_id", "n_chars") else f"{n}-{i}" for n in names],) for i, x in rows], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
     whole = Counter(map(tuple, df.collect()))
@@ -532,7 +532,7 @@ def test_stages_keep_columns_of_any_name(spark):
     kept = near_dup.one_of_each(spark, df)
     got = Counter(map(tuple, kept.collect()))
     assert kept.columns == names and not got - whole
-    assert sorted(r.text or "" for r in kept.collect() if not words(r.text) or "b@" in r.text or "nine" in r.text or r.text == text) == sorted([*[r[0] or "" for r in whole.elements() if not words(r[0])], *{r[0] for r in whole if words(r[0])}])
+    assert sorted(r[0] or "" for r in got.elements()) == sorted([*[r[0] or "" for r in whole.elements() if not words(r[0])], *{r[0] for r in whole if words(r[0])}])
     clean = pii.redacted(df)
     assert clean.columns == names and Counter(tuple(r)[1:] for r in clean.collect()) == Counter({k[1:]: 0 for k in whole} | Counter(x[1:] for x in whole.elements()))
     mix = mixing.mixed(spark, df)
