@@ -13,23 +13,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"""/\*[\s\S]*?\*/|//[^\n]*|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\[\s\S]|[^`\\])*`|[A-Za-z_$][\w$]*|\S""")
-_HASH = re.compile(r"""\b(?:from|import)\s*\(?\s*((['"])#([^'"]*)\2)""")
-_BLOCK = re.compile(r"<script\b([^>]*)>([\s\S]*?)</script>")
+#: A script block as the text scan takes it (in this letter case, any tag whose name begins so), and its
+#: double-quoted attributes: white space may stand round the equals sign, and id begins at a word's border.
+BLOCK = r"<script([^>]*)>([\s\S]*?)</script>"
+TYPE, ID = r'type\s*=\s*"([^"]*)"', r'\bid\s*=\s*"([^"]*)"'
+
+
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+#: After these a slash begins a regular expression; after anything else it divides.
+_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ return typeof case in of void delete throw new else do".split())
+
+
+def tokens(source: str | None) -> list[re.Match]:
+    """Comments, strings, templates, regular expressions, words and other characters, in order."""
+    source, at, last, out = source or "", 0, "(", []
+    while m := _TOKEN.search(source, at):
+        if m.group() == "/" and last in _BEFORE_REGEX:
+            m = _REGEX.match(source, m.start()) or m
+        out.append(m)
+        at = m.end()
+        if not m.group().startswith(("/*", "//")):
+            last = m.group()
+    return out
 
 
 def comments(source: str | None) -> list[dict]:
     """Block comments outside strings, in order."""
-    return [{"start": m.start(), "raw": m.group()} for m in _TOKEN.finditer(source or "") if m.group().startswith("/*")]
+    return [{"start": m.start(), "raw": m.group()} for m in tokens(source) if m.group().startswith("/*")]
 
 
 def _code(source: str | None) -> list[re.Match]:
-    return [m for m in _TOKEN.finditer(source or "") if not m.group().startswith(("/*", "//"))]
+    return [m for m in tokens(source) if not m.group().startswith(("/*", "//"))]
 
 
 def imports(source: str | None) -> list[dict]:
     """Specifiers of import declarations, between their quotes; calls of import() and exports are none."""
     out, inside = [], False
-    for m, after in zip(tokens := _code(source), [*tokens[1:], None], strict=False):
+    for m, after in zip(code := _code(source), [*code[1:], None], strict=False):
         x = m.group()
         if x == "import" and after is not None:
             inside = after.group() not in ("(", ".")
@@ -43,15 +63,15 @@ def imports(source: str | None) -> list[dict]:
 
 def commands(source: str | None) -> list[dict]:
     """name ('' for the default export) and raw comment of each exported function or table, in order."""
-    source, out, depth = source or "", [], 0
-    tokens = list(_TOKEN.finditer(source))
-    for i, m in enumerate(tokens):
+    out, depth = [], 0
+    found = tokens(source)
+    for i, m in enumerate(found):
         x = m.group()
         depth += (x in "{([") - (x in "})]") if len(x) == 1 else 0
         if x != "export" or depth:
             continue
-        doc = tokens[i - 1].group() if i and tokens[i - 1].group().startswith("/*") else ""
-        rest = [t.group() for t in tokens[i + 1 : i + 7] if not t.group().startswith(("/*", "//"))]
+        doc = found[i - 1].group() if i and found[i - 1].group().startswith("/*") else ""
+        rest = [t.group() for t in found[i + 1 : i + 7] if not t.group().startswith(("/*", "//"))]
         default = rest[:1] == ["default"]
         words = [w for w in rest[default:] if w not in ("async", "*")]
         if default:
@@ -62,15 +82,50 @@ def commands(source: str | None) -> list[dict]:
 
 
 def hash_imports(source: str | None) -> list[dict]:
-    """Specifiers that name a sibling script by '#locator': their place with quotes, quote and locator."""
-    return [{"start": m.start(1), "end": m.end(1), "quote": m.group(2), "locator": m.group(3)} for m in _HASH.finditer(source or "")]
+    """Specifiers that name a sibling script by '#locator': their place with quotes, quote and locator.
+
+    A specifier is the string after ``from`` or ``import``, with an opening parenthesis or without.
+    """
+    out, after = [], False
+    for m in _code(source):
+        x = m.group()
+        if after and x[0] in "'\"" and x[1:2] == "#" and not re.search("['\"]", x[1:-1]):
+            out.append({"start": m.start(), "end": m.end(), "quote": x[0], "locator": x[2:-1]})
+        after = x in ("from", "import") or after and x == "("
+    return out
 
 
 def blocks(html: str | None) -> list[dict]:
     """Script blocks as the text scan sees them, with the place of their text in the document."""
-    attr = lambda a, name: m.group(1) if (m := re.search(name + '="([^"]*)"', a)) else ""
-    found = enumerate(_BLOCK.finditer(html or ""))
-    return [{"idx": i, "type": attr(m.group(1), "type"), "id": attr(m.group(1), "id"), "start": m.start(2), "source": m.group(2)} for i, m in found]
+    found = enumerate(re.finditer(BLOCK, html or ""))
+    value = lambda p, attrs: m.group(1) if (m := re.search(p, attrs)) else ""
+    return [{"idx": i, "type": value(TYPE, m.group(1)), "id": value(ID, m.group(1)), "start": m.start(2), "source": m.group(2)} for i, m in found]
+
+
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": ""}
+
+
+def _cooked(literal: str) -> str:
+    """The text that a quoted literal stands for."""
+    one = lambda m: chr(int(m[2] or m[3] or m[4], 16)) if m[2] or m[3] or m[4] else _ESCAPES.get(m[1], m[1])
+    return re.sub(r"\\(u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|[\s\S])", one, literal[1:-1])
+
+
+def literals(source: str | None) -> list[str]:
+    """Texts of string literals, and of templates without parts to fill in."""
+    return [_cooked(m.group()) for m in _code(source) if m.group()[0] in "'\"" and len(m.group()) > 1 or m.group()[0] == "`" and len(m.group()) > 1 and "${" not in m.group()]
+
+
+def trouble(source: str | None) -> str | None:
+    """Why a source's commands can't be read: a bracket that doesn't close what is open; None if nothing is wrong."""
+    pairs, open_ = {")": "(", "]": "[", "}": "{"}, []
+    for m in _code(source):
+        x = m.group()
+        if x in "([{":
+            open_.append(x)
+        elif x in pairs and (not open_ or open_.pop() != pairs[x]):
+            return f"unexpected {x} at {m.start()}"
+    return f"{open_[-1]} is not closed" if open_ else None
 
 
 def _column(fn, kind: str):
@@ -87,3 +142,8 @@ imports_of = _column(imports, "start: int, end: int, spec: string")
 commands_of = _column(commands, "name: string, raw: string")
 hash_imports_of = _column(hash_imports, "start: int, end: int, quote: string, locator: string")
 blocks_of = _column(blocks, "idx: int, type: string, id: string, start: int, source: string")
+
+
+@F.pandas_udf(T.StringType())
+def trouble_of(s: pd.Series) -> pd.Series:
+    return s.map(trouble)

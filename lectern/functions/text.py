@@ -103,7 +103,7 @@ def rel_href(src: Column | str, dst: Column | str) -> Column:
 
 def host_id(path: Column | str) -> Column:
     """The id in <id>.template.html or <id>.command.html, null for other names."""
-    return F.nullif(F.regexp_extract(basename(path), r"^(.*?)\.(?:template|command)\.html", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(basename(path), r"^(.*?)\.(?:template|command)\.html$", 1), F.lit(""))
 
 
 def touches_collapse(touches: Column | str) -> Column:
@@ -140,6 +140,23 @@ def real_path(url: Column | str, marker: str = "lectern-script") -> Column:
     return F.nullif(F.regexp_extract(_c(url), rf"^file://([\s\S]*)\.{marker}\.[\s\S]*\.mjs$", 1), F.lit(""))
 
 
+def real_locator(url: Column | str, marker: str = "lectern-script") -> Column:
+    """The decoded locator in such an address; null for other addresses."""
+    raw = F.nullif(F.regexp_extract(_c(url), rf"^file://[\s\S]*\.{marker}\.([\s\S]*)\.mjs$", 1), F.lit(""))
+    return F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+
+
+def opening(title: Column | str, default: str = "the documents are the source of truth") -> Column:
+    """A title as a sentence's continuation: first letter lower, one full stop at the end dropped; the default without one."""
+    x = F.nullif(F.trim(F.regexp_replace(_c(title), r"^\s+|\s+$", "")), F.lit(""))
+    return F.coalesce(F.concat(F.lower(F.substring(x, 1, 1)), F.regexp_replace(F.substring(x, 2, 1 << 20), r"\.$", "")), F.lit(default))
+
+
+def count_label(n: Column | str) -> Column:
+    """'3 docs', or 'no docs'."""
+    return F.when(F.coalesce(_c(n), F.lit(0)) == 0, "no docs").otherwise(F.concat(_c(n).cast("string"), F.lit(" docs")))
+
+
 def parse_args(argv: Column | str) -> Column:
     """struct<pos: array<string>, flags: array<struct<k, v: array<string>>>> of command-line tokens.
 

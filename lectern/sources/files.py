@@ -1,13 +1,17 @@
-"""File listings: which paths belong to a corpus."""
+"""File listings: which paths belong to a corpus, and their contents."""
 
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+IGNORE_FILE = ".gitignore"
+
 
 def visible(path: Column | str) -> Column:
     """No part of the path starts with a dot or is node_modules."""
@@ -15,48 +19,143 @@ def visible(path: Column | str) -> Column:
     return ~F.exists(F.split(x, "/"), lambda p: p.startswith(".") | (p == "node_modules"))
 
 
-def ignore_regex(lines: list[str]) -> str:
-    """One regular expression for an ignore file: * ? ** globs, a leading / anchors, a trailing / means folders."""
+def _translated(body: str) -> str:
+    """The regular expression of one glob; ** stands for folders, * ? [..] stay inside a name, \\ quotes."""
+    out, i = "", 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i) and i + 2 == len(body) and i and body[i - 1] == "/":
+            out, i = out + ".+", i + 2
+        elif c == "*" and (i == 0 or body[i - 1] == "/") and body[i + 1 : i + 2] in ("", "/"):
+            out, i = out + "[^/]+", i + 1  # a whole name isn't empty
+        elif c == "*":
+            out, i = out + ("" if out.endswith("[^/]*") else "[^/]*"), i + 1
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (end := body.find("]", i + 2 + (body[i + 1 : i + 2] in ("!", "^")))) > 0:
+            inner = body[i + 1 : end]
+            negated = inner[:1] in ("!", "^")
+            out += "[" + "^/" * negated + re.sub(r"([\\\[&^])", r"\\\1", inner[negated:]) + "]"
+            i = end + 1
+        elif c == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(c), i + 1
+    return out
+
+
+def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
+    """(ignores, regular expression) of each line of an ignore file, in order; folders are matched with a last slash.
+
+    A # at the beginning is a comment, ! takes back what earlier lines ignore, a slash before the end anchors, one at
+    the end means folders. Letter case plays no part.
+    """
     out = []
-    for line in (x.strip() for x in lines):
+    for line in lines:
+        line = re.sub(r"(?<!\\)[ \t\r]+$", "", line)
         if not line or line.startswith("#"):
             continue
-        folder, rooted = line.endswith("/"), "/" in line.rstrip("/")
-        body = re.escape(line.strip("/")).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        out.append(("^" if rooted else "(^|/)") + body + ("/" if folder else "(/|$)"))
-    return "|".join(out) or r"^\b$"
+        back = line.startswith("!")
+        body = line[back:]
+        folder, body = body.endswith("/"), body.rstrip("/")
+        if not body:
+            continue
+        start = "^" if "/" in body else "^(?:.*/)?"
+        out.append((not back, "(?i)" + start + _translated(body.removeprefix("/")) + ("/$" if folder else "/?$")))
+    return out
+
+
+def is_ignored(path: str, rules: list[tuple[bool, str]]) -> bool:
+    """The last rule that matches a path decides; what lies in an ignored folder can't be taken back."""
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        part = "/".join(parts[:n]) + ("/" if n < len(parts) else "")
+        if next((ignores for ignores, p in reversed(rules) if re.search(p, part)), False):
+            return True
+    return False
+
+
+def _folder_ignored(path: str, rules: list[tuple[bool, str]]) -> bool:
+    return next((ignores for ignores, p in reversed(rules) if re.search(p, path + "/")), False)
 
 
 def ignored(path: Column | str, lines: list[str]) -> Column:
-    return (F.col(path) if isinstance(path, str) else path).rlike(ignore_regex(lines))
+    """``is_ignored`` as an expression."""
+    x = F.col(path) if isinstance(path, str) else path
+    rules = ignore_rules(lines)
+    if not rules:
+        return F.lit(False)
+    parts = F.split(x, "/")
 
+    def decided(n: Column) -> Column:
+        part = F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n < F.size(parts), "/").otherwise(""))
+        hits = [F.when(part.rlike(p), F.lit(ignores)) for ignores, p in reversed(rules)]
+        return F.coalesce(*hits, F.lit(False))
 
-def walk(root: str, suffix: str = "") -> list[str]:
-    """Paths below root, sorted; the nearest ignore file at or above root counts, alone."""
-    at, lines = os.path.abspath(root), []
+    return F.exists(F.sequence(F.lit(1), F.size(parts)), decided)
+
+
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _ignore_file(store: fs.FileSystem, top: str) -> tuple[str, list[tuple[bool, str]]]:
+    """The folder of the nearest ignore file at or above top, and its rules; no file ignores nothing."""
+    at = top
     while True:
-        if os.path.isfile(os.path.join(at, ".gitignore")):
-            with open(os.path.join(at, ".gitignore")) as f:
-                lines = f.read().splitlines()
-            break
-        if os.path.dirname(at) == at:
-            break
-        at = os.path.dirname(at)
-    bad, found = re.compile(ignore_regex(lines)), []
-    for here, folders, names in os.walk(root, followlinks=True):
-        rel = lambda n: os.path.relpath(os.path.join(here, n), at).replace(os.sep, "/")  # noqa: E731, B023
-        folders[:] = sorted(d for d in folders if not d.startswith(".") and d != "node_modules" and not bad.search(rel(d) + "/"))
-        found += [os.path.join(here, n) for n in names if not n.startswith(".") and n.endswith(suffix) and not bad.search(rel(n))]
+        name = posixpath.join(at, IGNORE_FILE)
+        if store.get_file_info(name).type == fs.FileType.File:
+            with store.open_input_stream(name) as f:
+                return at, ignore_rules(f.read().decode().splitlines())
+        if posixpath.dirname(at) == at:
+            return top, []
+        at = posixpath.dirname(at)
+
+
+def walk(root: str, suffix: str = "") -> list[str]:
+    """Paths below root, sorted; the nearest ignore file at or above root counts, alone.
+
+    Names that start with a dot and node_modules are left out, but for root itself. Links are followed, but not to a
+    folder that they lie in. A missing root holds nothing.
+    """
+    store, top = _open(root)
+    if store.get_file_info(top).type != fs.FileType.Directory:
+        return []
+    base, rules = _ignore_file(store, top)
+    real = os.path.realpath if isinstance(store, fs.LocalFileSystem) else (lambda p: p)
+    found, todo = [], [(top, (real(top),))]
+    while todo:
+        here, above = todo.pop()
+        for x in store.get_file_info(fs.FileSelector(here)):
+            rel = posixpath.relpath(x.path, base)
+            if x.base_name.startswith(".") or x.base_name == "node_modules":
+                continue
+            if x.type == fs.FileType.Directory:
+                if real(x.path) not in above and not _folder_ignored(rel, rules):
+                    todo.append((x.path, (*above, real(x.path))))
+            elif x.type == fs.FileType.File and x.base_name.endswith(suffix) and not is_ignored(rel, rules):
+                found.append(x.path)
     return sorted(found)
 
 
 def files(spark: SparkSession, root: str, suffix: str = ".html") -> DataFrame:
-    """path (relative to root), content; the listing is made on the driver, files are read by the tasks."""
-    top = os.path.abspath(root)
-    paths = spark.createDataFrame([(p,) for p in walk(top, suffix)], "path string")
+    """path (relative to root), content; root is a local folder or any URI that all machines reach.
+
+    The listing is made on the driver, 64 bytes or so a file; files are read by the tasks.
+    """
+    found = walk(root, suffix)
+    paths = spark.createDataFrame([(p,) for p in found], "path string").repartition(max(1, min(len(found) // 64, 4096)))
 
     def load(batches):
+        store, top = _open(root)
         for pdf in batches:
-            yield pdf.assign(content=[open(p, encoding="utf-8").read() for p in pdf["path"]], path=[os.path.relpath(p, top) for p in pdf["path"]])
+            texts = []
+            for p in pdf["path"]:
+                with store.open_input_stream(p) as f:
+                    texts.append(f.read().decode())
+            yield pdf.assign(content=texts, path=[posixpath.relpath(p, top) for p in pdf["path"]])
 
     return paths.mapInPandas(load, "path string, content string")
