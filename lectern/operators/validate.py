@@ -1,82 +1,108 @@
-"""Schema validation as one relational plan: instances' fields against declared fields."""
+"""Schema validation as one relational plan: instances' fields against declared fields, all rules in one pass."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VIOLATION = ["instance", "rule", "field", "message"]
+_OUT = "array<struct<rule: string, field: string, message: string>>"
+_FIELD = {"required": "boolean", "pattern": "string", "enum": "string", "repeatable": "boolean", "attrs": "map<string,string>"}
+
+#: Each rule's fields with a violation, as an array of names over the arrays ``found`` and ``declared``.
+_RULES = {
+    "required": "transform(filter(declared, d -> d.required and not exists(found, f -> f.field = d.field and not f.blank)), d -> d.field)",
+    "pattern": "flatten(transform(filter(declared, d -> d.pattern is not null), d -> transform(filter(found, f -> f.field = d.field and not f.text rlike d.pattern), f -> f.field)))",
+    "enum": r"flatten(transform(filter(declared, d -> d.enum is not null), d -> transform(filter(found, f -> f.field = d.field and not array_contains(split(d.enum, '\\s+'), f.text)), f -> f.field)))",
+    "empty": "transform(filter(found, f -> f.blank), f -> f.field)",
+    "undeclared": "transform(filter(found, f -> not exists(declared, d -> d.field = f.field)), f -> f.field)",
+    "repeated": "transform(filter(declared, d -> not d.repeatable and size(filter(found, f -> f.field = d.field)) > 1), d -> d.field)",
+    "attribute": "flatten(transform(declared, d -> flatten(transform(map_entries(d.attrs), a -> transform(filter(found, f -> f.field = d.field and not f.attrs[a.key] rlike a.value), f -> concat(f.field, '@', a.key))))))",
+}
+RULES = tuple(_RULES)
+
+
+def _filled(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """df with columns that it lacks as nulls."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in df.columns})
+
+
+def checked(instances: DataFrame, found: DataFrame, fields: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """instances, all columns, with ``violations``: what the rules find in each, in the rules' order.
+
+    instances(instance, type, ...), a row an instance; found(instance, field, text, attrs), a row an element;
+    fields(type, field, required, pattern, enum, repeatable, attrs); columns left out don't restrict. A field's text
+    must be found by its pattern (unanchored); an attribute that stands must match the one declared. Instances of
+    types without fields have only undeclared ones. The elements of one instance meet in one row.
+    """
+    blank = F.coalesce("text", F.lit("")).rlike(r"^\s*$").alias("blank")
+    some = _filled(found, {"text": "string", "attrs": "map<string,string>"})
+    some = some.groupBy("instance").agg(F.collect_list(F.struct("field", F.coalesce("text", F.lit("")).alias("text"), blank, "attrs")).alias("found"))
+    repeatable = F.coalesce("repeatable", F.lit("repeatable" not in fields.columns)).alias("repeatable")
+    attrs = F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")
+    declared = _filled(fields, _FIELD).groupBy("type").agg(F.collect_list(F.struct("field", F.coalesce("required", F.lit(False)).alias("required"), "pattern", "enum", repeatable, attrs)).alias("declared"))
+    rows = instances.join(some, "instance", "left").join(declared, "type", "left")
+    for c in ("found", "declared"):
+        rows = rows.withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    each = [F.expr(f"transform({_RULES[r]}, x -> struct('{r}' as rule, x as field, concat(x, ': {r}') as message))").cast(_OUT) for r in rules]
+    return rows.select(*instances.columns, F.concat(*each).alias("violations"))
 
 
-def _violations(rows: DataFrame, rule: str) -> DataFrame:
-    return rows.select("instance", F.lit(rule).alias("rule"), "field", F.concat_ws(": ", "field", F.lit(rule)).alias("message"))
-
-
-def _blank(c: str):
-    return F.coalesce(F.col(c), F.lit("")).rlike(r"^\s*$")
+def violations(instances: DataFrame, found: DataFrame, fields: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """VIOLATION of everything that the rules find."""
+    return checked(instances, found, fields, rules).select("instance", F.inline("violations"))
 
 
 def required(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
-    """Declared required fields that an instance lacks or leaves blank.
-
-    instances(instance, type), found(instance, field, text), fields(type, field, required, pattern, enum).
-    """
-    wanted = instances.join(F.broadcast(fields.where("required").select("type", "field")), "type")
-    filled = found.where(~_blank("text")).select("instance", "field").distinct()
-    return _violations(wanted.join(filled, ["instance", "field"], "left_anti"), "required")
-
-
-def _declared(instances, found, fields):
-    return found.join(instances, "instance").join(F.broadcast(fields), ["type", "field"])
+    """Declared required fields that an instance lacks or leaves blank."""
+    return violations(instances, found, fields, ("required",))
 
 
 def pattern(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
     """Texts that their field's pattern does not find (unanchored)."""
-    return _violations(_declared(instances, found, fields).where(F.col("pattern").isNotNull()).where("not text rlike pattern"), "pattern")
+    return violations(instances, found, fields, ("pattern",))
 
 
 def enum(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
     """Texts outside their field's list."""
-    return _violations(_declared(instances, found, fields).where(F.col("enum").isNotNull()).where(~F.expr(r"array_contains(split(enum, '\\s+'), text)")), "enum")
+    return violations(instances, found, fields, ("enum",))
 
 
 def empty(found: DataFrame) -> DataFrame:
-    """Blank elements, required or not."""
-    return _violations(found.where(_blank("text")), "empty")
+    """Blank elements, required or not; needs no types, so each element is judged by itself."""
+    blank = found.where(F.coalesce("text", F.lit("")).rlike(r"^\s*$"))
+    return blank.select("instance", F.lit("empty").alias("rule"), "field", F.concat_ws(": ", "field", F.lit("empty")).alias("message"))
 
 
 def undeclared(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields that the instance's type does not declare."""
-    return _violations(found.join(instances, "instance").join(F.broadcast(fields.select("type", "field")), ["type", "field"], "left_anti"), "undeclared")
+    return violations(instances, found, fields, ("undeclared",))
 
 
 def repeated(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields that stand several times though not declared repeatable."""
-    many = found.groupBy("instance", "field").count().where("count > 1")
-    return _violations(many.join(instances, "instance").join(F.broadcast(fields.where("not repeatable").select("type", "field")), ["type", "field"]), "repeated")
+    return violations(instances, found, fields, ("repeated",))
+
+
+def attribute(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
+    """Attributes of fields that the declared regular expression does not find."""
+    return violations(instances, found, fields, ("attribute",))
 
 
-def validate(instances: DataFrame, found: DataFrame, fields: DataFrame) -> DataFrame:
-    """All violations of all rules."""
-    out = required(instances, found, fields)
-    for rows in (pattern(instances, found, fields), enum(instances, found, fields), empty(found), undeclared(instances, found, fields)):
-        out = out.unionByName(rows)
-    return out
+validate = violations
 
 
-def report(instances: DataFrame, violations: DataFrame) -> DataFrame:
-    """checked, fail: instances, and those with a violation."""
-    bad = violations.select("instance").distinct().withColumn("bad", F.lit(1))
-    joined = instances.select("instance").distinct().join(bad, "instance", "left")
-    return joined.agg(F.count("*").alias("checked"), F.count("bad").alias("fail"))
+def report(rows: DataFrame, ok: Column | None = None) -> DataFrame:
+    """checked, fail: the rows of ``checked`` (or others, with ok saying whether a row passes), and those that fail."""
+    fine = F.size("violations") == 0 if ok is None else ok
+    return rows.agg(F.count("*").alias("checked"), F.count_if(~fine).alias("fail"))
 
 
-def verdicts(instances: DataFrame, generic: DataFrame, custom: DataFrame) -> DataFrame:
-    """instance, ok, errors: the generic rules' messages, then those of custom checks."""
-    listed = lambda df, name: df.groupBy("instance").agg(F.array_sort(F.collect_list("message")).alias(name))
-    none = F.array().cast("array<string>")
-    joined = instances.select("instance").join(listed(generic, "g"), "instance", "left").join(listed(custom, "c"), "instance", "left")
-    errors = F.concat(F.coalesce("g", none), F.coalesce("c", none))
+def verdicts(rows: DataFrame, custom: DataFrame) -> DataFrame:
+    """instance, ok, errors: the messages of ``checked`` rows, sorted, then those of custom checks (instance, message)."""
+    more = custom.groupBy("instance").agg(F.array_sort(F.collect_list("message")).alias("more"))
+    joined = rows.join(more, "instance", "left")
+    errors = F.concat(F.array_sort(F.col("violations")["message"]), F.coalesce("more", F.array().cast("array<string>")))
     return joined.select("instance", (F.size(errors) == 0).alias("ok"), errors.alias("errors"))
 
 
