@@ -28,11 +28,12 @@ def help_text(name: Column | str, doc: Column | str) -> Column:
 
 
 def audit_roster(scripts: DataFrame) -> DataFrame:
-    """name, line, touches_line of scripts(audit, touches, source); names are padded to the widest."""
-    width = scripts.agg(F.max(F.length("audit"))).first()[0] or 0
-    line = F.concat(F.lit("  "), F.rpad("audit", width + 2, " "), leading_comment("source"))
+    """name, line, touches_line of scripts(audit, touches, source), by the names' collation; names are padded to the widest."""
+    rows = scripts.join(F.broadcast(scripts.agg(F.max(F.length("audit")).alias("width"))), F.lit(True))  # a single row by construction
+    line = F.rtrim(F.concat(F.lit("  "), F.rpad("audit", F.col("width") + 2, F.lit(" ")), leading_comment("source")))
     touches = t.touches_collapse(F.coalesce("touches", F.lit("")))
-    return scripts.select(F.col("audit").alias("name"), F.rtrim(line).alias("line"), F.when(touches != "", F.concat(F.lit(" " * (width + 4) + "touches "), touches)).otherwise("").alias("touches_line"))
+    under = F.when(touches != "", F.concat(F.repeat(F.lit(" "), F.col("width") + 4), F.lit("touches "), touches)).otherwise("")
+    return rows.select(F.col("audit").alias("name"), line.alias("line"), under.alias("touches_line")).orderBy(F.collate("name", "UNICODE"), "name")
 
 
 def dispatch(requests: DataFrame, hosts: DataFrame, commands: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def without_cause(outcomes: DataFrame, edges: DataFrame) -> DataFrame:
     return outcomes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def _store(spark: SparkSession, df: DataFrame) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written to the folder that all machines share, and read back; only a local master may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -41,10 +42,10 @@ def closure(spark: SparkSession, roots: DataFrame, edges: DataFrame) -> DataFram
 
     Only the frontier is joined in each round, and each round is written, so plans stay short.
     """
-    frontier = _store(spark, roots.select("node").distinct())
+    frontier = stored(spark, roots.select("node").distinct())
     seen = frontier
     while frontier.limit(1).count():
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _store(spark, reached.join(seen, "node", "left_anti"))
+        frontier = stored(spark, reached.join(seen, "node", "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
