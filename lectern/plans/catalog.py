@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import markup, script
+from lectern import registry
+from lectern.functions import script
 from lectern.functions import text as t
-from lectern.operators import commands, graph, overlay, rewrite, validate
+from lectern.operators import commands, graph, overlay, validate
 from lectern.sources import html
 from lectern.sources.files import ignored, visible
 
@@ -37,8 +38,8 @@ def _links(spark, d) -> DataFrame:
 
 
 LINKS = r"""(SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) AS href FROM pages)"""
-SCRIPT = r"<script\b([^>]*)>([\s\S]*?)</script>"
-SCRIPTS = rf"""(SELECT page_id, i - 1 AS idx, coalesce(nullif(regexp_extract(a, 'type="([^"]*)"', 1), ''), '') AS type, regexp_extract(a, 'id="([^"]*)"', 1) AS id, source
+SCRIPT = script.BLOCK
+SCRIPTS = rf"""(SELECT page_id, i - 1 AS idx, regexp_extract(a, '{script.TYPE}', 1) AS type, regexp_extract(a, '{script.ID}', 1) AS id, source
   FROM (SELECT page_id, unnest(generate_series(1, len(aa))) AS i, unnest(aa) AS a, unnest(ss) AS source
         FROM (SELECT page_id, regexp_extract_all(html, '{SCRIPT}', 1) AS aa, regexp_extract_all(html, '{SCRIPT}', 2) AS ss FROM pages)))"""
 
@@ -47,12 +48,12 @@ def _scripts(spark, d) -> DataFrame:
     p = SCRIPT.replace("\\", "\\\\")
     rows = _read(spark, d, "pages").select("page_id", F.expr(f"posexplode(arrays_zip(regexp_extract_all(html, '{p}', 1), regexp_extract_all(html, '{p}', 2)))").alias("idx", "s"))
     a = F.col("s.0")
-    return rows.select("page_id", F.col("idx").cast("long").alias("idx"), F.regexp_extract(a, 'type="([^"]*)"', 1).alias("type"), F.regexp_extract(a, 'id="([^"]*)"', 1).alias("id"), F.col("s.1").alias("source"))
+    return rows.select("page_id", F.col("idx").cast("long").alias("idx"), F.regexp_extract(a, script.TYPE, 1).alias("type"), F.regexp_extract(a, script.ID, 1).alias("id"), F.col("s.1").alias("source"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Links of parsed pages by kind."""
-    nodes = html.nodes(_read(spark, d, "pages"), "page_id", "html").where("tag = 'a' and tpl_root is null")
+    nodes = html.nodes(_read(spark, d, "pages"), "page_id", "html", tags=["a"], columns=["attrs", "tpl_root"]).where("tpl_root is null")
     return nodes.select(t.link_class(F.col("attrs")["href"]).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -105,11 +106,6 @@ def script_blocks(spark, d):
     return _scripts(spark, d)
 
 
-@_query(f"SELECT page_id, idx, CASE WHEN type LIKE 'node/%' THEN '.ts' ELSE '.js' END AS ext FROM {SCRIPTS}")
-def script_lang(spark, d):
-    return _scripts(spark, d).select("page_id", "idx", t.script_lang("type").alias("ext"))
-
-
 @_query(f"SELECT page_id, coalesce(nullif(id, ''), '@' || idx) AS locator FROM {SCRIPTS}")
 def script_locator(spark, d):
     return _scripts(spark, d).select("page_id", t.locator("id", "idx").alias("locator"))
@@ -126,13 +122,6 @@ def script_totals(spark, d):
     return _scripts(spark, d).agg(F.count("*").alias("blocks"), F.count_distinct("page_id").alias("documents"))
 
 
-@_query(f"SELECT l.page_id, l.wanted, coalesce(s.idx, -1) AS idx FROM (SELECT page_id, '@0' AS wanted FROM pages UNION ALL SELECT page_id, '@7' FROM pages) l LEFT JOIN {SCRIPTS} s ON s.page_id = l.page_id AND coalesce(nullif(s.id, ''), '@' || s.idx) = l.wanted")
-def locator_join(spark, d):
-    wanted = _read(spark, d, "pages").select("page_id", F.explode(F.array(F.lit("@0"), F.lit("@7"))).alias("wanted"))
-    found = _scripts(spark, d).select("page_id", t.locator("id", "idx").alias("wanted"), "idx")
-    return wanted.join(found, ["page_id", "wanted"], "left").select("page_id", "wanted", F.coalesce("idx", F.lit(-1)).cast("long").alias("idx"))
-
-
 PATHS = ["a.html", ".x/a.html", "n/node_modules/b.html", "n/b.html", "_u.html", "build/z.html", "c.htm", "a/.b", "x/tmp1.html"]
 PATHS_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") v(path)"
 
@@ -156,45 +145,6 @@ def html_files(spark, d):
     return _read(spark, d, "pages").where(t.link_target("url").endswith(".html")).select("page_id")
 
 
-@_query("SELECT url FROM pages WHERE url LIKE 'https://%' AND length(url) > 30")
-def corpus_list(spark, d):
-    return _read(spark, d, "pages").where(F.col("url").startswith("https://") & (F.length("url") > 30)).select("url")
-
-
-@_query("SELECT page_id, length(html) AS n FROM pages WHERE page_id = 7")
-def corpus_read(spark, d):
-    return _read(spark, d, "pages").where("page_id = 7").select("page_id", F.length("html").cast("long").alias("n"))
-
-
-@_query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def corpus_exists(spark, d):
-    return _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels"), "doc_id", "left_semi")
-
-
-@_query("SELECT page_id, split_part(url, '#', 1) AS template, CASE WHEN strpos(url, '#') = 0 THEN 'undefined' ELSE split_part(url, '#', 2) END AS type, (strpos(url, '#') > 0) AS resolved FROM pages")
-def resolve_ref(spark, d):
-    pages = _read(spark, d, "pages")
-    parts = F.split("url", "#")
-    refs = pages.select("page_id", parts[0].alias("template"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("undefined")).alias("type"))
-    types = refs.where("type <> 'undefined'").select("template", "type").distinct().withColumn("there", F.lit(True))
-    return refs.join(types, ["template", "type"], "left").select("page_id", "template", "type", F.coalesce("there", F.lit(False)).alias("resolved"))
-
-
-@_query("SELECT * FROM (VALUES ('list','t/list.template.html'),('note','t/note.template.html'),('run','c/run.command.html')) v(id, path)")
-def host_resolve(spark, d):
-    rows = spark.createDataFrame([("c/list.command.html",), ("t/list.template.html",), ("t/note.template.html",), ("z/note.template.html",), ("c/run.command.html",), ("x.html",)], "path string")
-    rank = F.struct(F.col("path").endswith(".command.html"), F.col("path"))
-    return rows.select(t.host_id("path").alias("id"), "path").where("id is not null").groupBy("id").agg(F.min_by("path", rank).alias("path"))
-
-
-@_query(r"SELECT h.id, count(DISTINCT p.page_id) AS n FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS id FROM pages UNION SELECT 'nobody.example') h LEFT JOIN pages p ON regexp_extract(p.url, '^[a-z]+://([^/]*)', 1) = h.id GROUP BY h.id")
-def instances_per_host(spark, d):
-    pages = _read(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("id"), "page_id")
-    counts = pages.groupBy("id").agg(F.count_distinct("page_id").alias("n"))
-    hosts = pages.select("id").union(spark.createDataFrame([("nobody.example",)], "id string")).distinct()
-    return hosts.join(counts, "id", "left").fillna(0, ["n"])
-
-
 FIELD_ROWS = [("order", "status", True, None, "F O", False), ("order", "priority", True, "^[1-3]-", None, False), ("order", "clerk", True, None, None, False), ("order", "note", False, None, None, True)]
 
 
@@ -253,24 +203,15 @@ def undeclared_fields(spark, d):
     return validate.undeclared(found.select("instance", F.lit("event").alias("type")).distinct(), found, fields)
 
 
-@_query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https://[a-z0-9.]*\\.org/')")
-def validate_attr(spark, d):
-    rules = spark.createDataFrame([("url", r"^https://[a-z0-9.]*\.org/")], "attr string, rule string")
-    found = _read(spark, d, "pages").select("page_id", "url", F.lit("url").alias("attr"))
-    return found.join(F.broadcast(rules), "attr").where("not url rlike rule").select("page_id", "url")
-
-
 @_query(f"SELECT (SELECT count(DISTINCT o_orderkey) FROM orders) AS checked, count(DISTINCT instance) AS fail FROM {ALL_RULES}")
 def validate_report(spark, d):
-    instances, found, fields = _orders(spark, d)
-    return validate.report(instances, validate.validate(instances, found, fields))
+    return validate.report(validate.checked(*_orders(spark, d)))
 
 
 @_query(f"SELECT o.o_orderkey AS instance, count(e.message) = 0 AS ok, coalesce(string_agg(e.message, ',' ORDER BY e.k, e.message), '') AS errors FROM orders o LEFT JOIN (SELECT instance, message, 0 AS k FROM {ALL_RULES} UNION ALL SELECT o_orderkey, 'dear', 1 FROM orders WHERE o_totalprice > 200000) e ON e.instance = o.o_orderkey GROUP BY o.o_orderkey")
 def validate_matrix(spark, d):
-    instances, found, fields = _orders(spark, d)
     custom = _read(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("instance"), F.lit("dear").alias("message"))
-    return validate.verdicts(instances, validate.validate(instances, found, fields), custom).withColumn("errors", F.array_join("errors", ","))
+    return validate.verdicts(validate.checked(*_orders(spark, d)), custom).withColumn("errors", F.array_join("errors", ","))
 
 
 @_query(f"SELECT coalesce(f.instance, e.instance) AS instance, CASE WHEN e.instance IS NULL THEN 'unexpected' WHEN f.instance IS NULL THEN 'missing' ELSE 'expected' END AS state FROM (SELECT DISTINCT instance FROM {ALL_RULES}) f FULL JOIN (SELECT o_orderkey AS instance FROM orders WHERE o_orderkey % 3 = 0) e ON e.instance = f.instance")
@@ -280,12 +221,6 @@ def expected_violations(spark, d):
     return validate.reconciled(found, expected, ["instance"])
 
 
-@_query("SELECT a.name, p.p_brand AS type, count(*) AS n FROM (VALUES ('x', 'Brand#1%'), ('y', 'Brand#22')) a(name, touches) JOIN part p ON p.p_brand LIKE a.touches GROUP BY ALL")
-def audit_touches(spark, d):
-    audits = spark.createDataFrame([("x", "Brand#1*"), ("y", "Brand#22")], "name string, touches string")
-    return _read(spark, d, "part").join(F.broadcast(audits), F.expr("p_brand like replace(touches, '*', '%')")).groupBy("name", F.col("p_brand").alias("type")).agg(F.count("*").alias("n"))
-
-
 @_query("SELECT o_orderkey AS node FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def orphans(spark, d):
     nodes = _read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "P").alias("goal"))
@@ -314,13 +249,6 @@ def seed_closure(spark, d):
     return graph.closure(spark, spark.createDataFrame([("r0",)], "node string"), edges)
 
 
-@_query("SELECT c.c_custkey AS node, 2 AS depth FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey")
-def instance_depth(spark, d):
-    nation, region = _read(spark, d, "nation"), _read(spark, d, "region")
-    up = F.broadcast(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.col("r_regionkey").isNotNull().cast("int").alias("above")))
-    return _read(spark, d, "customer").join(up, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("node"), (F.col("n_nationkey").isNotNull().cast("int") + F.col("above")).alias("depth"))
-
-
 @_query(r"""SELECT doc_id, CASE WHEN length(c) > 76 THEN regexp_replace(substr(c, 1, 75), ' +$', '') || '…' ELSE c END AS s FROM (SELECT doc_id, coalesce(nullif(regexp_extract(l, '^(.*?\.)(?:\s|$)', 1), ''), l) AS c
   FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS l FROM documents))""")
 def first_sentence(spark, d):
@@ -357,13 +285,6 @@ def parse_args(spark, d):
     return rows.select("i", F.array_join("a.pos", " ").alias("pos"), flags.alias("flags"))
 
 
-@_query("SELECT * FROM (VALUES ('a', '3'), ('b', '1'), ('c', '2')) v(name, version)")
-def importmap_merge(spark, d):
-    maps = spark.createDataFrame([(1, '{"imports": {"a": "1", "b": "1"}}'), (2, '{"imports": {"c": "2"}}'), (3, '{"imports": {"a": "3"}}'), (4, "{}")], "ord int, js string")
-    each = maps.select("ord", F.explode(F.from_json("js", "imports map<string,string>")["imports"]).alias("name", "version"))
-    return each.groupBy("name").agg(F.max_by("version", "ord").alias("version"))
-
-
 def _store(spark, d):
     docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels")
     changes = labels.select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 0, "delete").otherwise("put").alias("op"), F.when(F.col("toxic") == 1, "new").otherwise("same").alias("content"), F.lit("same").alias("original"))
@@ -397,62 +318,21 @@ def touches_collapse(spark, d):
     return rows.select("touches", t.touches_collapse("touches").alias("shown"))
 
 
-@_query("SELECT r_name AS host, lower(r_name) || '  ' || CASE WHEN n = 0 THEN 'no docs' ELSE n || ' docs' END AS line, row_number() OVER (ORDER BY lower(r_name)) AS ord FROM (SELECT r.r_name, count(n.n_nationkey) FILTER (n.n_name < 'J') AS n FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name)")
-def roster_lines(spark, d):
-    from pyspark.sql import Window
-
-    counts = _read(spark, d, "nation").where("n_name < 'J'").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-    hosts = _read(spark, d, "region").join(counts, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    label = F.when(F.col("n").isNull(), "no docs").otherwise(F.concat(F.col("n").cast("string"), F.lit(" docs")))
-    return hosts.select(F.col("r_name").alias("host"), F.concat_ws("  ", F.lower("r_name"), label).alias("line"), F.row_number().over(Window.orderBy(F.lower("r_name"))).cast("long").alias("ord"))
-
-
 @_query(r"SELECT doc_id, rule FROM documents JOIN (VALUES ('shout', '[A-Z]{4,}!!'), ('symbols', '[#$%&*]{3}'), ('double', '\b(the the|and and)\b')) r(rule, p) ON regexp_matches(text, p)")
 def prose_rules(spark, d):
-    rules = {"shout": "[A-Z]{4,}!!", "symbols": "[#$%&*]{3}", "double": r"\b(the the|and and)\b"}
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(r)) for r, p in rules.items()]))
-    return _read(spark, d, "documents").select("doc_id", F.explode(hits).alias("rule"))
-
-
-# ---- over parsed pages: rows only, tested against fixtures ----
-
-
-def _nodes(spark, d) -> DataFrame:
-    return html.nodes(_read(spark, d, "pages"), "page_id", "html")
-
+    known = registry.Registry()
+    for name, pattern in (("shout", "[A-Z]{4,}!!"), ("symbols", "[#$%&*]{3}"), ("double", r"\b(the the|and and)\b")):
+        known.rule(name, pattern)
+    return registry.prose(_read(spark, d, "documents"), "doc_id", "text", known.rules)
 
-@_query()
-def nodes_scan(spark, d):
-    return _nodes(spark, d).drop("attrs")
 
-
-@_query()
-def attr_spans(spark, d):
-    return _nodes(spark, d).where("kind = 'element'").select("page_id", "node_id", F.explode("attrs").alias("attr", "value"), "start", "end")
-
-
-@_query()
-def explore_list(spark, d):
-    return _nodes(spark, d).where("tpl_root is null and map_contains_key(attrs, 'class')").select("page_id", "node_id", "tag", F.col("attrs")["class"].alias("type"))
+# ---- over parsed pages ----
 
 
 @_query(f"SELECT page_id, count(*) AS n FROM {LINKS} GROUP BY page_id")
 def parsed_links(spark, d):
-    return _nodes(spark, d).where("tag = 'a' and map_contains_key(attrs, 'href')").groupBy("page_id").agg(F.count("*").alias("n"))
-
-
-@_query()
-def local_refs(spark, d):
-    refs = _nodes(spark, d).where("tag in ('link', 'script', 'img') and (map_contains_key(attrs, 'href') or map_contains_key(attrs, 'src'))")
-    return refs.select("page_id", F.coalesce(F.col("attrs")["href"], F.col("attrs")["src"]).alias("target")).distinct()
-
-
-@_query()
-def outside_type(spark, d):
-    n = _nodes(spark, d)
-    spans = n.where("tag = 'article'").select(F.col("page_id").alias("p"), F.col("node_id").alias("lo"), F.col("last_id").alias("hi"))
-    texts = n.where(r"kind = 'text' and text rlike '\\S'")
-    return texts.join(spans, F.expr("page_id = p and node_id between lo and hi"), "left_anti").select("page_id", "node_id", "text")
+    nodes = html.nodes(_read(spark, d, "pages"), "page_id", "html", tags=["a"], columns=["attrs"])
+    return nodes.where("map_contains_key(attrs, 'href')").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 # ---- rewrites and commands; fixtures of our own, the answers stated in SQL ----
@@ -465,49 +345,6 @@ def locator_url(spark, d):
     return rows.select("locator", url.alias("url"), t.real_path(url).alias("path"))
 
 
-SOURCES = [
-    (1, "/** Lists. More.\n * @x\n */\nexport function list() {}\nimport a from './a.js'\nimport './b.js'; const s = \"/* no */\"\nexport { q } from './c.js'"),
-    (2, "// no\nexport default async function () { import('./d.js') }\n/* Adds. */ export const add = () => 1"),
-    (3, ""),
-]
-
-
-def _sources(spark):
-    return spark.createDataFrame(SOURCES, "page_id int, source string")
-
-
-@_query("SELECT * FROM (VALUES (1, 'Lists.'), (2, 'Adds.'), (3, '')) v(page_id, summary)")
-def leading_comment(spark, d):
-    return _sources(spark).select("page_id", commands.leading_comment("source").alias("summary"))
-
-
-@_query("SELECT * FROM (VALUES (1, 0, 'list', ' Lists. More.' || chr(10) || '@x'), (2, 0, '', ''), (2, 1, 'add', ' Adds.')) v(page_id, ord, name, doc)")
-def command_list(spark, d):
-    return commands.command_list(_sources(spark), "page_id")
-
-
-@_query("SELECT * FROM (VALUES ('list', '  list' || chr(10) || '     Lists. More.' || chr(10) || '    @x'), ('', '  ' || chr(10) || '    (no comment)'), ('add', '  add' || chr(10) || '     Adds.')) v(name, help)")
-def help_lines(spark, d):
-    return commands.command_list(_sources(spark), "page_id").select("name", commands.help_text("name", "doc").alias("help"))
-
-
-@_query("SELECT * FROM (VALUES (1, './a.js'), (1, './b.js')) v(page_id, spec)")
-def import_edges(spark, d):
-    return _sources(spark).select("page_id", F.explode(script.imports_of("source")).alias("i")).select("page_id", "i.spec")
-
-
-@_query("SELECT page_id, replace(source, './a.js', './z.js') AS source FROM (VALUES " + ", ".join("(%d, '%s')" % (i, x.replace("'", "''")) for i, x in SOURCES) + ") v(page_id, source)")
-def import_rewrite(spark, d):
-    table = spark.createDataFrame([("./a.js", "./z.js")], "spec string, new string")
-    return rewrite.rewrite_imports(_sources(spark), table, ["page_id"])
-
-
-@_query("SELECT * FROM (VALUES ('a-one', '  a-one   First.', '          touches x-*'), ('longer', '  longer', '')) v(name, line, touches_line)")
-def audit_roster(spark, d):
-    rows = spark.createDataFrame([("a-one", "x-a x-b", "/* First. */ 1"), ("longer", None, "1")], "audit string, touches string, source string")
-    return commands.audit_roster(rows)
-
-
 @_query("SELECT * FROM (VALUES (1, 1, 'unknown-host'), (2, 1, 'no-commands'), (3, 0, 'run:default'), (4, 0, 'run:default'), (5, 0, 'help'), (6, 0, 'run:list'), (7, 1, 'unknown-command'), (8, 1, 'help'), (9, 1, 'unknown-command')) v(request, status, outcome)")
 def verb_resolve(spark, d):
     requests = spark.createDataFrame([(1, "none", None), (2, "bare", "x"), (3, "both", None), (4, "both", "-v"), (5, "both", "--help"), (6, "both", "list"), (7, "both", "x"), (8, "named", None), (9, "named", "-v")], "request int, id string, word string")
@@ -516,34 +353,4 @@ def verb_resolve(spark, d):
     return commands.dispatch(requests, hosts, known)
 
 
-@_query("SELECT * FROM (VALUES ('b.css', 'copy'), ('c.html', 'rewrite')) v(path, action)")
-def seed_plan(spark, d):
-    links = spark.createDataFrame([("a.html", "b.css"), ("a.html", "c.html"), ("c.html", "a.html")], "src string, dst string")
-    paths = graph.closure(spark, spark.createDataFrame([("a.html",)], "node string"), links).withColumnRenamed("node", "path")
-    return commands.seed_plan(paths, spark.createDataFrame([("a.html",)], "path string"))
-
-
-@_query("""SELECT 'd/a.html' AS path, '<a HREF=b.html>&</a><a href="https://s.example/d/c.html#x">1</a><template><a href=".+"></a></template><img src="https://s.example/e.png">' AS content""")
-def repoint_links(spark, d):
-    files = spark.createDataFrame([("d/a.html", "<a HREF=b.html>&</a><a href='c.html#x'>1</a><template><a href=\".+\"></a></template><img src=../e.png>")], "path string, content string")
-    return rewrite.repoint(files, spark.createDataFrame([("d/b.html",)], "path string"), "https://s.example/")
-
-
-@_query(r"""SELECT '<html><body><x-a data-conforms-to="t#a">' || chr(10) || '  <x-b>1</x-b>' || chr(10) || '  <x-c data-conforms-to="t#c">' || chr(10) || '    <i></i>' || chr(10) || '  </x-c>' || chr(10) || '</x-a></body></html>' AS html""")
-def reindent(spark, d):
-    rows = spark.createDataFrame([('<html><body><x-a data-conforms-to="t#a"> <x-b>1</x-b>\n\n\n<x-c data-conforms-to="t#c"><i></i></x-c></x-a></body></html>',)], "html string")
-    return rows.select(markup.reindented("html").alias("html"))
-
-
-@_query("SELECT page_id, true AS stable FROM pages")
-def serialize_roundtrip(spark, d):
-    once = _read(spark, d, "pages").select("page_id", markup.serialized("html").alias("once"))
-    return once.select("page_id", (markup.serialized("once") == F.col("once")).alias("stable"))
-
-
-@_query("SELECT * FROM (VALUES (0, 0, 8, 0, 13, 13), (0, 1, 21, 13, 4, 10), (0, 2, 25, 23, 5, 5), (1, 0, 54, 0, 1, 1)) v(idx, seg, source_offset, generated_offset, length, generated_length)")
-def block_mapping(spark, d):
-    html_ = "<script>import x from\"#b\";'#b'</script><script id=\"b\">1</script>"
-    files = spark.createDataFrame([(1, "p", html_)], "page_id int, base string, html string")
-    b = files.select("page_id", "base", F.explode(script.blocks_of("html")).alias("b")).select("page_id", "base", "b.*")
-    return rewrite.block_mapping(b, "page_id", "base").drop("page_id")
+from lectern.plans import documents  # noqa: E402, F401  registers its queries

@@ -29,9 +29,8 @@ def test_oracle(spark, con, name):
     assert rows(ours, cols) == rows(theirs, cols)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, D).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):
