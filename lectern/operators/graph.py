@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.storage import release, stored
+
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges(src, dst) whose target is no node."""
@@ -25,27 +24,18 @@ def without_cause(outcomes: DataFrame, edges: DataFrame) -> DataFrame:
     return outcomes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written to the folder that all machines share, and read back; only a local master may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/lectern-closure/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(spark: SparkSession, roots: DataFrame, edges: DataFrame) -> DataFrame:
     """node of everything reachable from roots(node) over edges(src, dst); cycles are no problem.
 
-    Only the frontier is joined in each round, and each round is written, so plans stay short.
+    Only the frontier is joined in each round, and each round is written, so plans stay short. The edges are written
+    once, as every round reads them.
     """
-    frontier = stored(spark, roots.select("node").distinct())
+    edges = stored(spark, edges.select("src", "dst"), "closure-edges")
+    frontier = stored(spark, roots.select("node").distinct(), "closure")
     seen = frontier
     while frontier.limit(1).count():
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = stored(spark, reached.join(seen, "node", "left_anti"))
+        frontier = stored(spark, reached.join(seen, "node", "left_anti"), "closure")
         seen = seen.unionByName(frontier)
+    release(edges)
     return seen

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lectern import registry
 from lectern.functions import markup
-from lectern.operators import corpus, graph, overlay
+from lectern.operators import corpus, overlay
 from lectern.sources import html
 from lectern.sources.files import _open
+from lectern.storage import stored
 
 DOCTYPE = "<!DOCTYPE html>\n"
 
@@ -93,7 +94,7 @@ def commit(spark: SparkSession, changes: DataFrame, root: str) -> DataFrame:
     """
     todo = overlay.last(changes).join(overlay.commit_diff(changes), "path").select("path", "action", "content")
 
-    return graph.stored(spark, write_files(todo, root, DOCTYPE, "\n"))
+    return stored(spark, write_files(todo, root, DOCTYPE, "\n"), "commit")
 
 
 def write_files(todo: DataFrame, root: str, before: str = "", after: str = "") -> DataFrame:
