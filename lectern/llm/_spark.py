@@ -3,56 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textvec as tv
-
-_own: dict[str, str] = {}
+from lectern import storage
 
+from . import textvec as tv
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local master, where there is one machine, gets a folder of its own when that is unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "")
-        if not base:
-            base = _own[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return base.rstrip("/")
-
-
-def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def release(*frames: DataFrame | None) -> None:
-    """Delete what ``materialize`` has written for frames that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "stored_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+#: Write to the shared folder and read back; delete what has been written so.
+materialize, release = storage.stored, storage.release
 
 
 def give_back() -> None:
