@@ -31,7 +31,7 @@ Groups are the connected components of the links.
    while x is linked to a only if cost(x) <= (1 - 2 h) |a|.  As at least one of
    the two isn't, the other shares more than its cost, so (prefix filtering) both
    hold one of each other's rarest differences.  Members that share such a
-   difference get a leader of their own, and so on until nothing is left to meet.
+   difference get a leader of their own, later ones several, until nothing is left to meet.
    Copies of one text with changes of their own share no rare difference, so a
    group of n of them costs about n comparisons, not n * n.
 
@@ -39,11 +39,12 @@ Every two texts that share a band are so of one component, or verified, or prove
 apart.  The bound is for sets; for counts, J_P <= J + w_x + w_y, where J is the
 Jaccard similarity of the counts and w a text's share of shingles whose count
 differs from the leader's, one of the two being 2 or more: t is lowered by the
-group's largest w up to ``LIGHT``; a member beyond that (a passage repeated another
-number of times), or one that needs no shared difference, meets all members
-of other components that two weaker bounds allow.  Rarity only orders the
-differences; it is taken from a sample of a leader's members, and no result
-depends on it.
+group's largest w up to ``LIGHT``.  A member beyond that (a passage repeated another
+number of times), or one that needs no shared difference, is wide.  For it, as
+J_P <= sum_d min(x_d / |x|, y_d / |y|), two linked texts hold one of each other's
+rarest shingles that make up more than 1 - t of each, and those are what members
+of its group meet over.  Rarity only orders differences and shingles; it is taken
+from a sample of a leader's members, and no result depends on it.
 
 A document without words (null, empty, white space) is a group of its own.
 Repeated rows and exact copies share a group; ids that repeat with different
@@ -54,6 +55,8 @@ Fingerprints have 64 bits: two different texts share one with a probability of
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +67,8 @@ from . import textvec as tv
 from .graph import components
 
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
+#: Rounds after which what is left to meet gets more than one leader: four times as many each round, so rounds stay few.
+EARLY = 2
 #: The largest share of differing counts by which a group's bound is lowered.
 LIGHT = 0.05
 #: Members that a leader's order of differences is taken from, members a block of that work, and differences a part.
@@ -283,21 +288,6 @@ def _groups(done: DataFrame, leaders: DataFrame, comp: DataFrame, degrees: DataF
     return rows.withColumn("wide", ~light | (F.col("long") <= 0)).drop("least_beyond", "least_cost", "lead_of", "h", "cost", "beyond")
 
 
-def _wide_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): members for which shared differences say nothing, and those of other components that may be linked to them.
-
-    |x - y| >= ||A_x| - |A_y|| + ||R_x| - |R_y||, and as 1 - J_P is a metric, |J_P(x, a) - J_P(y, a)| > 1 - threshold excludes a link.
-    """
-    names = ("b", "of", "inside", "alike", "size", "uneven", "more", "less")
-    x = rows.where("wide").select("a", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = rows.select("a", "wide", *[F.col(c).alias(f"y_{c}") for c in names])
-    t = F.greatest(F.lit(threshold) - F.col("x_uneven") - F.col("y_uneven"), F.lit(0.0))
-    gap = F.abs(F.col("x_more") - F.col("y_more")) + F.abs(F.col("x_less") - F.col("y_less"))
-    may = (gap <= (F.col("x_size") + F.col("y_size")) * (1 - t) / (1 + t) + 1e-6) & (F.abs(F.col("x_alike") - F.col("y_alike")) <= 1 - threshold + 1e-9)
-    pairs = x.join(y, "a").where((F.col("x_of") != F.col("y_of")) & may & (~F.col("wide") | (F.col("x_b") < F.col("y_b"))))
-    return pairs.select(F.col("x_b").alias("a"), F.col("y_b").alias("b"))
-
-
 def _order(rows: DataFrame) -> DataFrame:
     """a, elements, times: differences that several of a sample of a leader's members have, sorted, and how many have them."""
 
@@ -326,42 +316,79 @@ def _order(rows: DataFrame) -> DataFrame:
 
 
 ENTRIES = "a long, part int, b long, of long, degree long, elements binary, kinds binary"
-INSIDE, SHORT, LONG = 0, 1, 2
-
-
-def _entries(rows: DataFrame) -> DataFrame:
-    """ENTRIES: for each member that isn't wide its rarest differences, by part; kinds: INSIDE, SHORT or LONG for each.
-
-    So many that what is left is less than it must share; rarity comes in one row for each block of members.
+#: Of differences: held by a member of the leader's component, or by another among its rarest or less rare ones.
+#: Of shingles (their numbers are negative): held by a wide member or another.
+INSIDE, SHORT, LONG, WIDE, OTHER = range(5)
+
+
+def _rarest(differences: np.ndarray, times: np.ndarray, often: np.ndarray, short: int, long: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest differences, so many that what is left is less than must be shared, and their kinds."""
+    order = np.lexsort((differences, often))
+    left = int(times.sum()) - np.cumsum(times[order])
+    upto = lambda need: min(int(np.searchsorted(-left, -(need - 1))) + 1, len(order))
+    first = upto(short)
+    last = max(first, upto(long))
+    kinds = np.full(last, INSIDE, np.int8) if inside else np.where(np.arange(last) < first, SHORT, LONG).astype(np.int8)
+    return differences[order[:last]], kinds
+
+
+def _rarest_shingles(leader: tuple[np.ndarray, np.ndarray], differences: np.ndarray, times: np.ndarray, rarity, threshold: float) -> np.ndarray:
+    """The rarest shingles of a text that make up more than 1 - threshold of it, as negative numbers."""
+    shingle, sign = differences >> 1, np.where(differences & 1, 1, -1)
+    keys, back = np.unique(np.concatenate([leader[0], shingle]), return_inverse=True)
+    count, led = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    np.add.at(count, back, np.concatenate([leader[1], sign * times]))
+    led[back[: len(leader[0])]] = True
+    keys, count, led = keys[count > 0], count[count > 0], led[count > 0]
+    often = np.where(led, (1 << 40) - rarity(keys * 2), rarity(keys * 2 + 1))
+    order = np.lexsort((keys, often))
+    mass = np.cumsum(count[order])
+    last = int(np.searchsorted(mass, (1 - threshold) * mass[-1] - 1e-9, side="right")) + 1
+    return -1 - keys[order[:last]]
+
+
+def _entries(rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """ENTRIES: for each member its rarest differences, if it isn't wide, and its rarest shingles, if its group has wide members.
+
+    Rarity, and the leader's text where it is needed, come in one row for each block of members.
     """
+    some = rows.where("wide").select("a").distinct().withColumn("full", F.lit(True))
+    rows = rows.join(some, "a", "left").withColumn("full", F.coalesce("full", F.lit(False)))
     blocks = F.ceil(F.col("n") / MEMBERS)
-    parts = F.ceil(F.col("total") / PART).cast("int")
-    members = rows.where("not wide").select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), "b", "of", "degree", "inside", "short", "long", parts.alias("parts"), "elements", "times")
-    known = _order(rows).join(rows.groupBy("a").agg(F.first(blocks).alias("blocks")), "a")
-    known = known.select("a", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.lit(0).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in (("b", "long"), ("of", "long"), ("degree", "long"), ("inside", "boolean"), ("short", "long"), ("long", "long"), ("parts", "int"))], "elements", "times")
+    parts = F.greatest(F.lit(1), F.ceil((F.col("total") + F.when(F.col("full"), F.col("n") * F.col("lead")).otherwise(0)) / PART)).cast("int")
+    own = ("b", "of", "degree", "inside", "short", "long", "wide", "full")
+    kinds = [f.dataType for f in rows.select(*own).schema]
+    none = F.lit(None).cast("string").alias("text")
+    members = rows.select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), *own, parts.alias("parts"), "elements", "times", none)
+    groups = rows.groupBy("a").agg(F.first(blocks).cast("int").alias("blocks"), F.first("full").alias("full"))
+    known = groups.join(_order(rows), "a", "left").join(texts.withColumnRenamed("node", "a"), "a")
+    known = known.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in zip(own, kinds, strict=True)], F.lit(None).cast("int").alias("parts"), "elements", "times", F.when(F.col("full"), F.col("text")).alias("text"))
 
     def run(batches):
-        at, common, often = None, None, None
+        common, often, leader = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def rarity(x: np.ndarray) -> np.ndarray:
+            if not len(common):
+                return np.ones(len(x), np.int64)
+            i = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            return np.where(common[i] == x, often[i], 1)
+
         for batch in batches:
             out = []
-            for a, block, role, b, of, degree, inside, short, long, parts, elements, times in zip(*(batch.column(i).to_pylist() for i in range(12)), strict=True):
-                e, n = np.frombuffer(elements, np.int64), np.frombuffer(times, np.int32)
+            for a, _, role, b, of, degree, inside, short, long, wide, full, parts, elements, times, text in zip(*(batch.column(i).to_pylist() for i in range(15)), strict=True):
+                e, n = np.frombuffer(elements or b"", np.int64), np.frombuffer(times or b"", np.int32).astype(np.int64)
                 if role == 0:
-                    at, common, often = (a, block), e, n
+                    common, often = e, n
+                    if text is not None:
+                        el, count, *_ = weighted_shingles(next(tv.of_texts([text])), k)
+                        leader = (el.astype(np.int64), count.astype(np.int64))
                     continue
-                seen = np.zeros(len(e), np.int64)
-                if (a, block) == at and len(common):
-                    i = np.minimum(np.searchsorted(common, e), len(common) - 1)
-                    seen = np.where(common[i] == e, often[i], 0)
-                order = np.lexsort((e, seen))
-                e, left = e[order], int(n.sum()) - np.cumsum(n[order])
-                # the first place after which less is left than must be shared
-                upto = lambda need: int(np.searchsorted(-left, -(need - 1))) + 1  # noqa: E731, B023
-                first, last = min(upto(short), len(e)), min(upto(long), len(e))
-                last = max(first, last)
-                kinds = np.full(last, INSIDE, np.int8) if inside else np.where(np.arange(last) < first, SHORT, LONG).astype(np.int8)
-                e = e[:last]
-                of_part = (tv.mix(e.view(tv.U64)) % tv.U64(parts)).astype(np.int64) if parts > 1 else np.zeros(last, np.int64)
+                held = [] if wide else [_rarest(e, n, rarity(e), short, long, inside)]
+                if full:
+                    x = _rarest_shingles(leader, e, n, rarity, threshold)
+                    held.append((x, np.full(len(x), WIDE if wide else OTHER, np.int8)))
+                e, kinds = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                of_part = (tv.mix(e.view(tv.U64)) % tv.U64(parts)).astype(np.int64)
                 for p in np.unique(of_part):
                     own = of_part == p
                     out.append((a, int(p), b, of, degree, e[own].tobytes(), kinds[own].tobytes()))
@@ -372,8 +399,11 @@ def _entries(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_spark.tidy(run), ENTRIES)
 
 
-def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.ndarray, degree: np.ndarray) -> np.ndarray:
-    """(leader, member) rows for each difference whose holders may be linked across components; entries in any order."""
+def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.ndarray, degree: np.ndarray, leaders: int = 1) -> np.ndarray:
+    """(leader, member) rows for each difference or shingle whose holders may be linked across components; entries in any order.
+
+    A leader meets all after it, so the first one meets all others.
+    """
     order = np.lexsort((node, -degree, element))
     element, kind, node, of = element[order], kind[order], node[order], of[order]
     start = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
@@ -381,7 +411,8 @@ def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.nd
     holds = lambda k: np.bincount(run, kind == k, minlength=len(start))
     inside = holds(INSIDE) > 0
     # without a member inside, those that hold it among their less rare differences only needn't meet
-    keep = (inside[run] | (kind == SHORT)) & ((inside & (holds(SHORT) + holds(LONG) > 0)) | (~inside & (holds(SHORT) > 1)))[run]
+    meet = (inside & (holds(SHORT) + holds(LONG) > 0)) | (~inside & (holds(SHORT) > 1)) | (holds(WIDE) > 0)
+    keep = (inside[run] | (kind == SHORT) | (kind >= WIDE)) & meet[run]
     run, node, of = run[keep], node[keep], of[keep]
     if not len(run):
         return np.zeros((0, 2), np.int64)
@@ -389,12 +420,15 @@ def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.nd
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     several = np.zeros(len(start), bool)
     several[run[of != of[lead]]] = True
-    take = several[run] & (node != node[lead])
-    return np.unique(np.stack([node[lead[take]], node[take]], axis=1), axis=0)
+    place, found = np.arange(len(run)) - lead, []
+    for i in range(min(leaders, int(place.max()) + 1)):
+        take = np.flatnonzero(several[run] & (place > i))
+        found.append(np.stack([node[lead[take] + i], node[take]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
-def _further_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): for each of a leader's members' rare differences that others share, a leader and the others."""
+def _further_pairs(rows: DataFrame, texts: DataFrame, k: int, threshold: float, leaders: int) -> DataFrame:
+    """(a, b): for each of a leader's members' rare differences or shingles that others share, a leader and the others."""
 
     def run(batches):
         at, held = None, []
@@ -402,7 +436,7 @@ def _further_pairs(rows: DataFrame) -> DataFrame:
         def done():
             node, of, degree, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
             e, kinds = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
-            found = _meetings(e, kinds, np.repeat(node, n), np.repeat(of, n), np.repeat(degree, n))
+            found = _meetings(e, kinds, np.repeat(node, n), np.repeat(of, n), np.repeat(degree, n), leaders)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -416,7 +450,7 @@ def _further_pairs(rows: DataFrame) -> DataFrame:
         if at is not None:
             yield done()
 
-    dealt = _entries(rows).repartition("a", "part").sortWithinPartitions("a", "part")
+    dealt = _entries(rows, texts, k, threshold).repartition("a", "part").sortWithinPartitions("a", "part")
     return dealt.mapInArrow(_spark.tidy(run), "a long, b long")
 
 
@@ -443,9 +477,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     done = fresh = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
     comp = components(spark, done.where("linked").select("a", "b"))
     _spark.release(shared, met)
-    while True:
+    for turn in itertools.count():
         rows = _spark.materialize(spark, _groups(done, fresh.select("a").distinct(), comp, degrees, threshold), "dup-groups")
-        wanted = _further_pairs(rows).unionByName(_wide_pairs(rows, threshold)).distinct()
+        wanted = _further_pairs(rows, found, k, threshold, 4 ** max(0, turn - EARLY)).distinct()
         new = _spark.materialize(spark, wanted.join(done, ["a", "b"], "left_anti"), "dup-pairs")
         _spark.release(rows, pairs)
         pairs = new
