@@ -11,9 +11,10 @@ The machine is fitted on the driver on at most ``train_rows`` labelled
 documents; scoring is one map over whole texts with the model (about 0.3 MB)
 sent along.
 
-Null and empty texts get the score of a text without words; repeated rows give
-repeated results; without labels every score is 0.5; an empty table gives an
-empty result.
+Null and empty texts get the score of a text without words; texts of any length
+are read whole; repeated rows give repeated results; a null id is dealt as the
+empty text and takes no label; extra columns, whatever their names, play no part;
+without labels every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations

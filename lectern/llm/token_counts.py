@@ -10,8 +10,10 @@ Byte-level BPE never merges over the border of a pre-token, so a text's token
 count is the sum over its pre-tokens; strings of special tokens are taken out
 first, as the tokenizer does by default, and count one token each.
 
-Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated
-results; an empty table gives an empty result.
+Null and empty texts have 0 bytes and 0 tokens; texts of any length are counted
+whole; of equally heavy pre-tokens the smaller one goes into the table (which
+changes no count); repeated rows give repeated results; extra columns, whatever
+their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

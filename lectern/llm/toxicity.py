@@ -10,11 +10,15 @@ Words with a weight are those whose document frequency differs between the two
 labels by more than ``least_z`` standard errors; all other words weigh nothing.
 They are held by their 64-bit hashes, so no other word shares their weight.
 The fit uses at most ``train_rows`` labelled documents: their words are counted
-on the executors, the driver gets the places of words with a weight only.
-Scoring is one map over whole texts.
-
-Null and empty texts have no sentence and score 0; repeated rows give repeated
-results; without labels every score is 0; an empty table gives an empty result.
+on the executors, the driver gets the places of words with a weight only, and the
+``most_words`` (the size of the model) of the strongest difference get a weight.
+Scoring is one map over whole texts of any length.
+
+Null and empty texts have no sentence and score 0; of equally bad sentences the
+first is the worst; repeated rows give repeated results; a null id is dealt as the
+empty text and takes no label; extra columns, whatever their names, are kept by
+``keep_clean`` and not read otherwise; without labels every score is 0; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,7 +70,7 @@ class Model:
         return self.bias + np.bincount(sentence, np.where(self.words[at] == h, self.weights[at], 0.0), minlength=n)
 
     def scores(self, s: tv.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each document; and the probability and first byte of its worst sentence (-1: none)."""
+        """Of each document; and the probability and first code point of its worst sentence (-1: none)."""
         h, sentence, doc, start = sentences(s)
         z = self.logits(h, sentence, len(doc))
         total = np.bincount(doc, softplus(z), minlength=s.n) if len(doc) else np.zeros(s.n)
@@ -75,7 +79,8 @@ class Model:
         if len(doc):
             np.maximum.at(worst, doc, p)
             top = np.flatnonzero(p == worst[doc])[::-1]
-            where[doc[top]] = (start - s.off[doc])[top]
+            begins = np.concatenate([[0], np.cumsum((s.buf & 0xC0) != 0x80)])  # bytes to code points
+            where[doc[top]] = (begins[start] - begins[s.off[doc]])[top]
         return -np.expm1(-total), worst, where
 
 
@@ -178,7 +183,7 @@ def score_with(model: Model, docs: DataFrame, ids: list[str], text: str = "text"
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 5, excluded: int = 0, threshold: float = 0.5, train_rows: int = 16000) -> DataFrame:
-    """doc_id, held_out, score, predicted; worst_start is the first byte of the worst sentence, -1 without one."""
+    """doc_id, held_out, score, predicted; worst_start is the first code point of the worst sentence, -1 without one."""
     out = score_with(train(docs, labels, modulus, excluded, train_rows), docs, ["doc_id"])
     return out.select("doc_id", (_spark.crc_mod("doc_id", modulus) == excluded).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_score", "worst_start")
 
