@@ -618,6 +618,51 @@ def test_nearest(spark):
     assert ann.nearest(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [4])
+def test_nearest_with_trees_of_leaves(spark, dim):
+    """Far more vectors than the sample and the leaves' bound: three levels of trees, and one frequent vector."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, dim))
+    x[1000:1600] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumns({"leaf": F.lit(1), "id": F.lit("x"), "v": F.lit(b"")})
+    grown, inner = [], ann._fitted
+    ann._fitted = lambda *a: grown.append(1) or inner(*a)
+    try:
+        rows = ann.nearest(spark, df, sample=200, most=40, block=16, leaf=16, branch=4).collect()
+    finally:
+        ann._fitted = inner
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got, hit = {}, 0
+    for r in rows:
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert len(grown) >= 3 and set(got) == set(range(0, 4000, 50))
+    for q, found in got.items():
+        near = unit @ unit[q]
+        near[q] = -2
+        true = np.lexsort((np.arange(4000), -near.round(12)))[:5]
+        hit += len({i for i, _ in found.values()} & set(true.tolist()))
+        assert sorted(found) == [1, 2, 3, 4, 5] and all(s == pytest.approx(near[i]) for i, s in found.values())
+    assert hit / (5 * len(got)) >= 0.9
+    assert [got[1050][i][0] for i in range(1, 6)] == [0, 1000, 1001, 1002, 1003] and [got[1000][i][0] for i in range(1, 6)] == [0, 1001, 1002, 1003, 1004]
+
+
+def test_noisy_or():
+    """A document's score from its sentences', and the first of the worst in code points."""
+    model = toxicity.Model(*(lambda w: (w[np.argsort(w)], np.array([2.0, 3.0])[np.argsort(w)]))(np.array([tv.hash_of(x) for x in ("bad", "worse")])), -4.0)
+    texts = ["Größe. Bad one! worse bad? é. worse BAD", "fine", None, "...", "bad\nbad\nbad"]
+    score, worst, where = model.scores(next(tv.of_texts(texts)))
+    p = lambda z: 1 / (1 + math.exp(-z))
+    assert score == pytest.approx([1 - (1 - p(-4)) ** 2 * (1 - p(-2)) * (1 - p(1)) ** 2, p(-4), 0, 0, 1 - (1 - p(-2)) ** 3])
+    assert where.tolist() == [texts[0].index("worse"), 0, -1, -1, 0] and worst == pytest.approx([p(1), p(-4), 0, 0, p(-2)])
+
+
+def test_classifiers_without_labels_or_rows(spark, docs, labels):
+    none = labels.limit(0)
+    assert {r.score for r in quality.quality_scores(spark, docs, none).collect()} == {0.5}
+    assert toxicity.toxicity_scores(spark, empty(spark), labels).count() == 0
+    assert toxicity.keep_clean(spark, docs, none).count() == docs.count()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     out = corpus_pipeline.run(spark, D)
