@@ -21,6 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 materialize, release = storage.stored, storage.release
 
 
+def extend(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """A materialized frame with more rows, written beside its own, so that it stays one scan."""
+    rows.write.mode("append").parquet(stored.stored_at)
+    out = stored.sparkSession.read.schema(stored.schema).parquet(stored.stored_at)
+    out.stored_at = stored.stored_at
+    return out
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: workers stay, and share their executor's room."""
     pa.default_memory_pool().release_unused()

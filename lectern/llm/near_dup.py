@@ -36,11 +36,9 @@ Groups are the connected components of the links.
    group of n of them costs about n comparisons, not n * n.
 
 Every two texts that share a band are so of one component, or verified, or proven
-apart.  The bound is for sets; for counts, J_P <= J + w_x + w_y, where J is the
-Jaccard similarity of the counts and w a text's share of shingles whose count
-differs from the leader's, one of the two being 2 or more: t is lowered by the
-group's largest w up to ``LIGHT``.  A member beyond that (a passage repeated another
-number of times), or one that needs no shared difference, is wide.  For it, as
+apart.  The bound is for members that have each shingle as often as the leader, or
+once where the other has none, for which J_P is the Jaccard similarity.  Any
+other member (a passage repeated another number of times) is wide.  For it, as
 J_P <= sum_d min(x_d / |x|, y_d / |y|), two linked texts hold one of each other's
 rarest shingles that make up more than 1 - t of each, and those are what members
 of its group meet over.  Rarity only orders differences and shingles; it is taken
@@ -69,8 +67,6 @@ from .graph import components
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
 #: Rounds after which what is left to meet gets more than one leader: four times as many each round, so rounds stay few.
 EARLY = 2
-#: The largest share of differing counts by which a group's bound is lowered.
-LIGHT = 0.05
 #: Members that a leader's order of differences is taken from, members a block of that work, and differences a part.
 SAMPLE, MEMBERS, PART = 512, 1024, 1 << 18
 _LOW48 = tv.U64((1 << 48) - 1)
@@ -264,28 +260,40 @@ def _first_pairs(entries: DataFrame, degrees: DataFrame) -> DataFrame:
     return led.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _groups(done: DataFrame, leaders: DataFrame, comp: DataFrame, degrees: DataFrame, threshold: float) -> DataFrame:
-    """The members of leaders(a) that have members of several components.
+def _of(done: DataFrame, comp: DataFrame) -> DataFrame:
+    """done with of, the component of b."""
+    return done.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("of")), "b", "left").withColumn("of", F.coalesce("of", "b"))
+
+
+def _groups(done: DataFrame, leaders: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """a, of_a (its component), n, total (differences), lead (its size), full (whether members are wide), least_beyond, least_cost
+    of those leaders(a) that have members of several components."""
+    h = threshold / (1 + threshold)
+    own = comp.select(F.col("node").alias("a"), F.col("comp").alias("of_a"))
+    rows = _of(done.select("a", "b", "uneven", "more", "less", "lead", F.length("elements").alias("bytes")).join(leaders, "a", "left_semi"), comp)
+    rows = rows.join(own, "a", "left").withColumn("of_a", F.coalesce("of_a", "a"))
+    even, inside = F.col("uneven") == 0, F.col("of") == F.col("of_a")
+    cost = h * F.col("more") + (1 - h) * F.col("less")
+    stats = rows.groupBy("a", "of_a").agg(
+        F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("n"), F.sum(F.col("bytes") / 8).alias("total"), F.max("lead").alias("lead"), F.max(~even).alias("full"),
+        F.min(F.when(even & ~inside, cost - (1 - 2 * h) * F.col("lead"))).alias("least_beyond"), F.min(F.when(even & inside, cost)).alias("least_cost"),
+    )
+    return stats.where("lo <> hi").drop("lo", "hi")
+
+
+def _members(done: DataFrame, groups: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """The members of groups: a, b, of, near (more for those more like a), wide, inside, short, long, elements, times.
 
     inside: of the leader's component. short, long: how many differences a member must share with one of another
-    component, not inside, and (if it isn't inside itself) with one inside. wide: where that says nothing.
+    component, not inside, and (if it isn't inside itself) with one inside.
     """
-    of = comp.withColumnRenamed("node", "b").withColumnRenamed("comp", "of")
-    rows = done.join(leaders, "a", "left_semi").join(of, "b", "left").withColumn("of", F.coalesce("of", "b"))
-    lead_of = comp.withColumnRenamed("node", "a").withColumnRenamed("comp", "lead_of")
-    rows = rows.join(lead_of, "a", "left").withColumn("inside", F.col("of") == F.coalesce("lead_of", "a"))
-    light = F.col("uneven") <= LIGHT
-    stats = rows.groupBy("a").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("n"), F.sum(F.length("elements") / 8).alias("total"), F.coalesce(F.max(F.when(light, F.col("uneven"))), F.lit(0.0)).alias("w"))
-    rows = rows.join(stats.where("lo <> hi").drop("lo", "hi"), "a")
-    t = F.lit(threshold) - 2 * F.col("w")
-    rows = rows.withColumn("h", t / (1 + t)).withColumn("cost", F.col("h") * F.col("more") + (1 - F.col("h")) * F.col("less"))
-    rows = rows.withColumn("beyond", F.col("cost") - (1 - 2 * F.col("h")) * F.col("lead"))
-    least = rows.where(light).groupBy("a").agg(F.min(F.when(~F.col("inside"), F.col("beyond"))).alias("least_beyond"), F.min(F.when(F.col("inside"), F.col("cost"))).alias("least_cost"))
-    rows = rows.join(least, "a", "left").join(degrees.withColumnRenamed("node", "b"), "b")
-    short = F.ceil(F.col("cost") + F.coalesce("least_beyond", F.lit(0.0)) - 1e-6)
-    long = F.when(F.col("inside") | F.col("least_cost").isNull(), short).otherwise(F.least(short, F.ceil(F.col("beyond") + F.col("least_cost") - 1e-6)))
-    rows = rows.withColumns({"short": short.cast("long"), "long": long.cast("long")})
-    return rows.withColumn("wide", ~light | (F.col("long") <= 0)).drop("least_beyond", "least_cost", "lead_of", "h", "cost", "beyond")
+    h = threshold / (1 + threshold)
+    rows = _of(done.select("a", "b", "uneven", "alike", "more", "less", "elements", "times").join(groups, "a"), comp)
+    cost = h * F.col("more") + (1 - h) * F.col("less")
+    beyond = cost - (1 - 2 * h) * F.col("lead")
+    rows = rows.withColumns({"inside": F.col("of") == F.col("of_a"), "short": F.ceil(cost + F.coalesce("least_beyond", F.lit(0.0)) - 1e-6)})
+    long = F.when(F.col("inside") | F.col("least_cost").isNull(), F.col("short")).otherwise(F.least("short", F.ceil(beyond + F.col("least_cost") - 1e-6)))
+    return rows.select("a", "b", "of", (F.col("alike") * 1e6).cast("long").alias("near"), (F.col("uneven") > 0).alias("wide"), "inside", F.greatest("short", F.lit(1)).alias("short"), F.greatest(long, F.lit(1)).alias("long"), "elements", "times", "n", "total", "lead", "full")
 
 
 def _order(rows: DataFrame) -> DataFrame:
@@ -315,7 +323,7 @@ def _order(rows: DataFrame) -> DataFrame:
     return some.repartition("a").sortWithinPartitions("a").mapInArrow(_spark.tidy(run), "a long, elements binary, times binary")
 
 
-ENTRIES = "a long, part int, b long, of long, degree long, elements binary, kinds binary"
+ENTRIES = "a long, part int, b long, of long, near long, elements binary, kinds binary"
 #: Of differences: held by a member of the leader's component, or by another among its rarest or less rare ones.
 #: Of shingles (their numbers are negative): held by a wide member or another.
 INSIDE, SHORT, LONG, WIDE, OTHER = range(5)
@@ -347,22 +355,17 @@ def _rarest_shingles(leader: tuple[np.ndarray, np.ndarray], differences: np.ndar
     return -1 - keys[order[:last]]
 
 
-def _entries(rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _entries(rows: DataFrame, groups: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """ENTRIES: for each member its rarest differences, if it isn't wide, and its rarest shingles, if its group has wide members.
 
     Rarity, and the leader's text where it is needed, come in one row for each block of members.
     """
-    some = rows.where("wide").select("a").distinct().withColumn("full", F.lit(True))
-    rows = rows.join(some, "a", "left").withColumn("full", F.coalesce("full", F.lit(False)))
-    blocks = F.ceil(F.col("n") / MEMBERS)
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
     parts = F.greatest(F.lit(1), F.ceil((F.col("total") + F.when(F.col("full"), F.col("n") * F.col("lead")).otherwise(0)) / PART)).cast("int")
-    own = ("b", "of", "degree", "inside", "short", "long", "wide", "full")
-    kinds = [f.dataType for f in rows.select(*own).schema]
-    none = F.lit(None).cast("string").alias("text")
-    members = rows.select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), *own, parts.alias("parts"), "elements", "times", none)
-    groups = rows.groupBy("a").agg(F.first(blocks).cast("int").alias("blocks"), F.first("full").alias("full"))
-    known = groups.join(_order(rows), "a", "left").join(texts.withColumnRenamed("node", "a"), "a")
-    known = known.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in zip(own, kinds, strict=True)], F.lit(None).cast("int").alias("parts"), "elements", "times", F.when(F.col("full"), F.col("text")).alias("text"))
+    own = {"b": "long", "of": "long", "near": "long", "inside": "boolean", "short": "long", "long": "long", "wide": "boolean", "full": "boolean"}
+    members = rows.select("a", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), *own, parts.alias("parts"), "elements", "times", F.lit(None).cast("string").alias("text"))
+    known = groups.select("a", "full", blocks.alias("blocks")).join(_order(rows), "a", "left").join(texts.withColumnRenamed("node", "a"), "a")
+    known = known.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), *[F.lit(None).cast(t).alias(c) for c, t in own.items()], F.lit(None).cast("int").alias("parts"), "elements", "times", F.when(F.col("full"), F.col("text")).alias("text"))
 
     def run(batches):
         common, often, leader = np.zeros(0, np.int64), np.zeros(0, np.int64), None
@@ -375,7 +378,7 @@ def _entries(rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
 
         for batch in batches:
             out = []
-            for a, _, role, b, of, degree, inside, short, long, wide, full, parts, elements, times, text in zip(*(batch.column(i).to_pylist() for i in range(15)), strict=True):
+            for a, _, role, b, of, near, inside, short, long, wide, full, parts, elements, times, text in zip(*(batch.column(i).to_pylist() for i in range(15)), strict=True):
                 e, n = np.frombuffer(elements or b"", np.int64), np.frombuffer(times or b"", np.int32).astype(np.int64)
                 if role == 0:
                     common, often = e, n
@@ -391,7 +394,7 @@ def _entries(rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
                 of_part = (tv.mix(e.view(tv.U64)) % tv.U64(parts)).astype(np.int64)
                 for p in np.unique(of_part):
                     own = of_part == p
-                    out.append((a, int(p), b, of, degree, e[own].tobytes(), kinds[own].tobytes()))
+                    out.append((a, int(p), b, of, near, e[own].tobytes(), kinds[own].tobytes()))
             if out:
                 yield _batch(ENTRIES, out)
 
@@ -399,12 +402,12 @@ def _entries(rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return dealt.mapInArrow(_spark.tidy(run), ENTRIES)
 
 
-def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.ndarray, degree: np.ndarray, leaders: int = 1) -> np.ndarray:
+def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.ndarray, near: np.ndarray, leaders: int = 1) -> np.ndarray:
     """(leader, member) rows for each difference or shingle whose holders may be linked across components; entries in any order.
 
     A leader meets all after it, so the first one meets all others.
     """
-    order = np.lexsort((node, -degree, element))
+    order = np.lexsort((node, -near, element))
     element, kind, node, of = element[order], kind[order], node[order], of[order]
     start = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
     run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(element))))
@@ -427,30 +430,30 @@ def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.nd
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _further_pairs(rows: DataFrame, texts: DataFrame, k: int, threshold: float, leaders: int) -> DataFrame:
+def _further_pairs(rows: DataFrame, groups: DataFrame, texts: DataFrame, k: int, threshold: float, leaders: int) -> DataFrame:
     """(a, b): for each of a leader's members' rare differences or shingles that others share, a leader and the others."""
 
     def run(batches):
         at, held = None, []
 
         def done():
-            node, of, degree, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
+            node, of, near, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
             e, kinds = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
-            found = _meetings(e, kinds, np.repeat(node, n), np.repeat(of, n), np.repeat(degree, n), leaders)
+            found = _meetings(e, kinds, np.repeat(node, n), np.repeat(of, n), np.repeat(near, n), leaders)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for a, part, b, of, degree, elements, kinds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for a, part, b, of, near, elements, kinds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (a, part) != at:
                     if at is not None:
                         yield done()
                     at, held = (a, part), []
                 e = np.frombuffer(elements, np.int64)
-                held.append((b, of, degree, len(e), e, np.frombuffer(kinds, np.int8)))
+                held.append((b, of, near, len(e), e, np.frombuffer(kinds, np.int8)))
         if at is not None:
             yield done()
 
-    dealt = _entries(rows, texts, k, threshold).repartition("a", "part").sortWithinPartitions("a", "part")
+    dealt = _entries(rows, groups, texts, k, threshold).repartition("a", "part").sortWithinPartitions("a", "part")
     return dealt.mapInArrow(_spark.tidy(run), "a long, b long")
 
 
@@ -474,24 +477,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     _spark.release(nodes)
 
     pairs = _spark.materialize(spark, _first_pairs(met.select("bucket", "node"), degrees), "dup-pairs")
-    done = fresh = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
-    comp = components(spark, done.where("linked").select("a", "b"))
-    _spark.release(shared, met)
+    done = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
+    comp, links = components(spark, done.where("linked").select("a", "b")), done.where("linked").count()
+    _spark.release(shared, met, degrees)
     for turn in itertools.count():
-        rows = _spark.materialize(spark, _groups(done, fresh.select("a").distinct(), comp, degrees, threshold), "dup-groups")
-        wanted = _further_pairs(rows, found, k, threshold, 4 ** max(0, turn - EARLY)).distinct()
-        new = _spark.materialize(spark, wanted.join(done, ["a", "b"], "left_anti"), "dup-pairs")
-        _spark.release(rows, pairs)
+        groups = _spark.materialize(spark, _groups(done, pairs.select("a").distinct(), comp, threshold), "dup-groups")
+        rows = _members(done, groups, comp, threshold)
+        wanted = _further_pairs(rows, groups, found, k, threshold, 4 ** max(0, turn - EARLY)).distinct()
+        new = _spark.materialize(spark, wanted.join(done.select("a", "b"), ["a", "b"], "left_anti"), "dup-pairs")
+        _spark.release(groups, pairs)
         pairs = new
         if not pairs.limit(1).count():
             break
-        fresh = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
-        done = done.unionByName(fresh)
-        if fresh.where("linked").limit(1).count():
-            old, comp = comp, components(spark, done.where("linked").select("a", "b"))
-            _spark.release(old)
+        done = _spark.extend(done, compared(pairs, found, k, threshold))
+        now = done.where("linked").count()
+        if now > links:
+            _spark.release(comp)
+            comp, links = components(spark, done.where("linked").select("a", "b")), now
 
-    _spark.release(found, degrees)
+    _spark.release(found, done, pairs)
     classed = sig.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = classed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.count_distinct("node").alias("n_texts"))
     out = classed.join(classes, "comp", "left")
