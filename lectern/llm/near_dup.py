@@ -65,8 +65,9 @@ from . import textvec as tv
 from .graph import components
 
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
-#: Rounds after which what is left to meet gets more than one leader: four times as many each round, so rounds stay few.
-EARLY = 2
+#: Holders of one difference that are so few meet all at once; more get a leader, and after ``EARLY`` rounds several: four times
+#: as many each round, so rounds stay few.
+FEW, EARLY = 8, 2
 #: Members that a leader's order of differences is taken from, members a block of that work, and differences a part.
 SAMPLE, MEMBERS, PART = 512, 1024, 1 << 18
 _LOW48 = tv.U64((1 << 48) - 1)
@@ -211,7 +212,7 @@ def _against(leader: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.nd
     return size, int(wl.sum()), uneven, extra, int(wl.sum()) - (size - extra), elements.tobytes(), np.abs(more[at]).astype(np.int32).tobytes()
 
 
-COMPARED = "a long, b long, linked boolean, alike double, size long, lead long, uneven double, more long, less long, elements binary, times binary"
+COMPARED = "a long, b long, again long, linked boolean, alike double, size long, lead long, uneven double, more long, less long, elements binary, times binary"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
@@ -221,14 +222,14 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
-    """COMPARED of all pairs (a, b): whether they are linked, J_P, and b against a; texts: node, text, a row a node.
+    """COMPARED of all pairs (a, b, again): whether they are linked, J_P, and b against a; texts: node, text, a row a node.
 
     A leader's text is sent once to each block of its members.
     """
     blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int"))
-    members = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = pairs.join(blocks, "a").select("a", "b", "again", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     leaders = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
+    rows = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", (F.col("again") + 1).cast("int").alias("role"), "b", "text")
     rows = rows.unionByName(leaders.join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text"))
 
     def run(batches):
@@ -245,7 +246,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block
                         leader, own = (a[i], p[i]), it
                     elif (a[i], p[i]) == leader:
                         alike = prob_jaccard(own, it)
-                        out.append((a[i], b[i], alike >= threshold, alike, *_against(own, it)))
+                        out.append((a[i], b[i], role[i] - 1, alike >= threshold, alike, *_against(own, it)))
                 if out:
                     yield _batch(COMPARED, out)
 
@@ -254,10 +255,10 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block
 
 
 def _first_pairs(entries: DataFrame, degrees: DataFrame) -> DataFrame:
-    """(a, b): each bucket's leader and its other members."""
+    """(a, b, again): each bucket's leader and its other members."""
     leader = F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")
     led = entries.join(entries.join(degrees, "node").groupBy("bucket").agg(leader), "bucket")
-    return led.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return led.where("a <> node").select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("again")).distinct()
 
 
 def _of(done: DataFrame, comp: DataFrame) -> DataFrame:
@@ -405,7 +406,8 @@ def _entries(rows: DataFrame, groups: DataFrame, texts: DataFrame, k: int, thres
 def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.ndarray, near: np.ndarray, leaders: int = 1) -> np.ndarray:
     """(leader, member) rows for each difference or shingle whose holders may be linked across components; entries in any order.
 
-    A leader meets all after it, so the first one meets all others.
+    Columns: leader, member, and 1 if the two are to be members of a group again. A leader meets all after it, so the
+    first one meets all others. Few holders meet all at once, smaller node first, and are through with each other.
     """
     order = np.lexsort((node, -near, element))
     element, kind, node, of = element[order], kind[order], node[order], of[order]
@@ -418,20 +420,25 @@ def _meetings(element: np.ndarray, kind: np.ndarray, node: np.ndarray, of: np.nd
     keep = (inside[run] | (kind == SHORT) | (kind >= WIDE)) & meet[run]
     run, node, of = run[keep], node[keep], of[keep]
     if not len(run):
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 3), np.int64)
     first = np.concatenate([[True], run[1:] != run[:-1]])
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     several = np.zeros(len(start), bool)
     several[run[of != of[lead]]] = True
-    place, found = np.arange(len(run)) - lead, []
-    for i in range(min(leaders, int(place.max()) + 1)):
-        take = np.flatnonzero(several[run] & (place > i))
-        found.append(np.stack([node[lead[take] + i], node[take]], axis=1))
-    return np.unique(np.concatenate(found), axis=0)
+    place, found = np.arange(len(run)) - lead, [np.zeros((0, 3), np.int64)]
+    size = np.bincount(run, minlength=len(start))
+    few = size <= max(FEW, leaders + 1)
+    most = np.where(few, size, leaders)
+    for i in range(int(most.max())):
+        take = np.flatnonzero(several[run] & (place > i) & (i < most[run]))
+        a, b, once = node[lead[take] + i], node[take], few[run[take]]
+        found.append(np.stack([np.where(once, np.minimum(a, b), a), np.where(once, np.maximum(a, b), b), ~once], axis=1))
+    out = np.unique(np.concatenate(found), axis=0)
+    return out[out[:, 0] != out[:, 1]]
 
 
 def _further_pairs(rows: DataFrame, groups: DataFrame, texts: DataFrame, k: int, threshold: float, leaders: int) -> DataFrame:
-    """(a, b): for each of a leader's members' rare differences or shingles that others share, a leader and the others."""
+    """(a, b, again): for each of a leader's members' rare differences or shingles that others share, a leader and the others."""
 
     def run(batches):
         at, held = None, []
@@ -440,7 +447,7 @@ def _further_pairs(rows: DataFrame, groups: DataFrame, texts: DataFrame, k: int,
             node, of, near, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
             e, kinds = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
             found = _meetings(e, kinds, np.repeat(node, n), np.repeat(of, n), np.repeat(near, n), leaders)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["a", "b", "again"])
 
         for batch in batches:
             for a, part, b, of, near, elements, kinds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -454,7 +461,7 @@ def _further_pairs(rows: DataFrame, groups: DataFrame, texts: DataFrame, k: int,
             yield done()
 
     dealt = _entries(rows, groups, texts, k, threshold).repartition("a", "part").sortWithinPartitions("a", "part")
-    return dealt.mapInArrow(_spark.tidy(run), "a long, b long")
+    return dealt.mapInArrow(_spark.tidy(run), "a long, b long, again long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -481,10 +488,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     comp, links = components(spark, done.where("linked").select("a", "b")), done.where("linked").count()
     _spark.release(shared, met, degrees)
     for turn in itertools.count():
-        groups = _spark.materialize(spark, _groups(done, pairs.select("a").distinct(), comp, threshold), "dup-groups")
+        groups = _spark.materialize(spark, _groups(done, pairs.where("again = 1").select("a").distinct(), comp, threshold), "dup-groups")
         rows = _members(done, groups, comp, threshold)
         wanted = _further_pairs(rows, groups, found, k, threshold, 4 ** max(0, turn - EARLY)).distinct()
-        new = _spark.materialize(spark, wanted.join(done.select("a", "b"), ["a", "b"], "left_anti"), "dup-pairs")
+        # to be members again, two must have been so under the same leader; to have met, under either
+        met = done.select("a", "b", "again")
+        met = met.unionByName(met.select("a", "b", F.lit(0).cast("long").alias("again"))).unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).cast("long").alias("again")))
+        new = _spark.materialize(spark, wanted.join(met, ["a", "b", "again"], "left_anti"), "dup-pairs")
         _spark.release(groups, pairs)
         pairs = new
         if not pairs.limit(1).count():

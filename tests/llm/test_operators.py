@@ -496,8 +496,10 @@ def test_pipeline_stage_of_variants(spark, variants):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, D).collect()) == sorted(set(want))
 
 
-def test_meetings():
-    """Every pair that must meet over a shared difference stands with one leader."""
+@pytest.mark.parametrize("few", [1, 3, 8])
+def test_meetings(monkeypatch, few):
+    """Every pair that must meet over a shared difference stands with one leader, or meets."""
+    monkeypatch.setattr(near_dup, "FEW", few)
     rng = np.random.default_rng(4)
     for _ in range(50):
         n = 12
@@ -508,7 +510,7 @@ def test_meetings():
         kind = np.where(inside[node], near_dup.INSIDE, rng.integers(1, 3, len(node))).astype(np.int8)
         got = near_dup._meetings(element, kind, node, of[node], degree[node])
         led = {}
-        for a, b in got.tolist():
+        for a, b, _ in got.tolist():
             led.setdefault(a, {a}).add(b)
         for x in range(8):
             here = np.flatnonzero(element == x)
