@@ -123,6 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], bits: int, r
     d, rng = 1 << bits, np.random.Generator(np.random.PCG64(7))
     m = Machine(bits, 0.0, np.zeros(d + N_STATS, np.float32), (rng.standard_normal((d + N_STATS, rank)) * 0.03).astype(np.float32), np.zeros(N_STATS), np.ones(N_STATS))
     if not rows:
+        m.v[:] = 0.0
         return m
     stats, y = np.stack([r[2] for r in rows]), np.array([r[3] for r in rows], float)
     m.mean, m.scale = stats.mean(0), stats.std(0) + 1e-3
