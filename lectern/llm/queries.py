@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, decontaminate, language_model, licenses, mixing, near_dup, pii, quality, token_counts, toxicity
+from . import ann, decontaminate, divergence, language_model, lexical, licenses, mixing, near_dup, pii, quality, sharding, token_counts, toxicity
 from ._spark import read
 
 
@@ -51,6 +51,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, read(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark, read(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(spark, read(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_pii": op1_pii,
@@ -63,6 +75,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_nearest": op10_nearest,
+    "op11_sharding": op11_sharding,
+    "op12_divergence": op12_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_divergence": divergence.SQL, "op13_lexical_search": lexical.SQL}

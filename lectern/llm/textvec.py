@@ -44,6 +44,13 @@ NONSPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+#: Bytes of a word of letters, with every non-ASCII character: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``.
+LETTERS = ALNUM.copy()
+LETTERS[0x30:0x3A] = False
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -138,6 +145,14 @@ def words(s: Slice, table: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, s.off))
 
 
+def spelled(s: Slice, w: Words, table: np.ndarray) -> pa.LargeStringArray:
+    """The words that ``words(s, table)`` gives as strings, A-Z in lower case, without an object for each."""
+    offsets = np.zeros(len(w.start) + 1, np.int64)
+    np.cumsum(w.end - w.start, out=offsets[1:])
+    letters = _LOWER[s.buf[table[s.buf]]]
+    return pa.LargeStringArray.from_buffers(len(w.start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
 def prefix(s: Slice, lower: bool = True) -> np.ndarray:
     p = np.zeros(len(s.buf) + 1, dtype=U64)
     v = (BYTE_VALUES_LOWER if lower else BYTE_VALUES)[s.buf]
