@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,35 @@ def report(rows: DataFrame, ok: Column | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("checked"), F.count_if(~fine).alias("fail"))
 
 
+_FAILURE = "array<struct<path: string, node_id: int, errors: array<string>>>"
+
+
+def summary(verdicts: DataFrame, k: int) -> DataFrame:
+    """One row checked, fail, failures of verdicts(path, node_id, ok, errors): the counts, and the first k failures by path, place and errors.
+
+    Each task sends its counts and its own first k, and those are put together, so nothing unbounded meets anywhere.
+    """
+
+    def first(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("path", "ascending"), ("node_id", "ascending")])
+        return rows.take(order[:k])
+
+    def partial(batches):
+        checked, fail, held = 0, 0, None
+        for batch in batches:
+            ok = batch.column("ok")
+            bad = pa.Table.from_batches([batch.filter(pc.invert(pc.fill_null(ok, False)))]).select(["path", "node_id", "errors"])
+            checked, fail = checked + batch.num_rows, fail + bad.num_rows
+            held = first(bad if held is None else pa.concat_tables([held, bad]))
+        rows = held.to_pylist() if held is not None else []
+        kind = pa.list_(pa.struct([("path", pa.string()), ("node_id", pa.int32()), ("errors", pa.list_(pa.string()))]))
+        yield pa.RecordBatch.from_arrays([pa.array([checked], pa.int64()), pa.array([fail], pa.int64()), pa.array([rows], kind)], names=["checked", "fail", "failures"])
+
+    parts = verdicts.select("path", "node_id", "ok", "errors").mapInArrow(partial, f"checked long, fail long, failures {_FAILURE}")
+    held = F.slice(F.array_sort(F.flatten(F.collect_list("failures"))), 1, k)
+    return parts.agg(F.coalesce(F.sum("checked"), F.lit(0)).alias("checked"), F.coalesce(F.sum("fail"), F.lit(0)).alias("fail"), held.alias("failures"))
+
+
 def verdicts(rows: DataFrame, custom: DataFrame) -> DataFrame:
     """instance, ok, errors: the messages of ``checked`` rows, sorted, then those of custom checks (instance, message)."""
     more = custom.groupBy("instance").agg(F.array_sort(F.collect_list("message")).alias("more"))

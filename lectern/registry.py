@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus, validate
+from lectern.sources.store import NodeStore, session_store
 
 
 @dataclass
@@ -91,17 +92,26 @@ def run_audits(registry: Registry, tables: dict[str, DataFrame], audits: DataFra
     return validate.reconciled(found.join(named, "name", "left_semi"), declared.join(missing.select("name"), "name", "left_anti"), ["name", "violation"]).unionByName(missing)
 
 
-def whole(spark, files: DataFrame, registry: Registry) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The check of a whole corpus: every instance's verdict, every audit's violations, and one row checked, fail, ok.
+#: Failures that a report names.
+FAILURES = 20
 
-    ok is whether neither an instance nor an audit fails.
+
+def whole(spark, files: DataFrame, registry: Registry, store: NodeStore | None = None, failures: int = FAILURES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The check of a whole corpus: every instance's verdict, every audit's violations, and one row checked, fail, ok, failures.
+
+    ok is whether neither an instance nor an audit fails. failures has the first ones by path, then place, so many at
+    most: path, node_id and errors of an instance; audits' come after all of those, by name, then violation, without a
+    node_id. The nodes come from the store, so a text is parsed once, and not again while the store has it.
     """
-    nodes = corpus.nodes(files).persist()
+    nodes = (store or session_store(spark)).nodes(files)
     verdicts = corpus.verdicts(files, nodes, registry.checks)
     found = run_audits(registry, {"files": files, "nodes": nodes, "instances": corpus.instances(nodes)}, corpus.audits(nodes))
-    bad = found.agg(F.count_if(F.col("state") != "expected").alias("audits"))
-    report = validate.report(verdicts, F.col("ok")).join(F.broadcast(bad), F.lit(True))  # both are a single row
-    return verdicts, found, report.select("checked", "fail", ((F.col("fail") == 0) & (F.col("audits") == 0)).alias("ok"))
+    named = F.concat_ws(": ", "name", "state", "violation")
+    broken = validate.summary(found.select(named.alias("path"), F.lit(None).cast("int").alias("node_id"), (F.col("state") == "expected").alias("ok"), F.array(named).alias("errors")), failures)
+    unplaced = F.transform("failures", lambda f: F.struct(F.lit(None).cast("string").alias("path"), f["node_id"].alias("node_id"), f["errors"].alias("errors")))
+    broken = broken.select(F.col("fail").alias("audits"), unplaced.alias("more"))
+    report = validate.summary(verdicts, failures).join(F.broadcast(broken), F.lit(True))  # both are a single row
+    return verdicts, found, report.select("checked", "fail", ((F.col("fail") == 0) & (F.col("audits") == 0)).alias("ok"), F.slice(F.concat("failures", "more"), 1, failures).alias("failures"))
 
 
 def read_stdin() -> str:

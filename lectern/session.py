@@ -137,13 +137,16 @@ class Context:
 
 
 def validate_document(spark: SparkSession, files: DataFrame, known: registry.Registry, source: str, path: str) -> dict:
-    """{ok, errors} of the instances in a document that isn't stored (yet) at path; nothing raises."""
+    """{ok, errors} of the instances in a document that isn't stored (yet) at path; nothing raises.
+
+    Only the document and the template files that it names are read and parsed.
+    """
     mine = spark.createDataFrame([(path, source)], "path string, content string")
-    others = files.where(F.col("path") != path)
-    all_ = others.select("path", "content").unionByName(mine)
-    rows = corpus.verdicts(all_, corpus.nodes(all_), known.checks).where(F.col("path") == path).orderBy("node_id").collect()
-    if not rows:
+    named = [r.template_path for r in corpus.instances(corpus.nodes(mine)).select("template_path").distinct().collect()]
+    if not named:
         return {"ok": False, "errors": ["missing data-conforms-to attribute"]}
+    all_ = mine.unionByName(files.where(F.col("path").isin(*named) & (F.col("path") != path)).select("path", "content"))
+    rows = corpus.verdicts(all_, corpus.nodes(all_), known.checks).where(F.col("path") == path).orderBy("node_id").collect()
     return {"ok": all(r.ok for r in rows), "errors": [e for r in rows for e in r.errors]}
 
 

@@ -21,6 +21,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
 #: What belongs in the head as long as the body hasn't begun.
 HEAD = frozenset("base link meta noscript script style template title".split())
 
+#: Nodes that leave the parser at once, about.
+BATCH_ROWS = 4096
+
 NODES = "node_id int, parent_id int, ord int, depth int, kind string, tag string, attrs map<string,string>, text string, last_id int, tpl_root int, in_pre boolean, start int, end int, owner int, content string"
 
 
@@ -168,17 +171,27 @@ def nodes(files: DataFrame, key: str, html: str, whole: bool = False, tags: Iter
     at = [i for i, (n, _) in enumerate(fields) if n in wanted]
     kept = frozenset(tags) if tags is not None else None
 
+    names, types = ["_key", *(fields[i][0] for i in at)], [_ARROW[fields[i][1]] for i in at]
+
+    def made(batch: pa.RecordBatch, of: list[int], rows: list[list]) -> pa.RecordBatch:
+        cols = [pa.array([list(r[j].items()) if isinstance(r[j], dict) else r[j] for r in rows], t) for j, t in zip(at, types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *cols], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["_key", *(fields[i][0] for i in at)], [_ARROW[fields[i][1]] for i in at]
         for batch in batches:
+            of, held = [], []
             for i, source in enumerate(batch.column(1).to_pylist()):
                 rows = parse(source, whole)
                 if "content" in wanted:
                     rows = with_content(rows)
                 if kept is not None:
                     rows = [r for r in rows if r[4] == "element" and r[5] in kept]
-                if rows:
-                    cols = [pa.array([list(r[j].items()) if isinstance(r[j], dict) else r[j] for r in rows], t) for j, t in zip(at, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), *cols], names=names)
+                of += [i] * len(rows)
+                held += rows
+                if len(held) >= BATCH_ROWS:
+                    yield made(batch, of, held)
+                    of, held = [], []
+            if held:
+                yield made(batch, of, held)
 
     return picked.mapInArrow(run, ", ".join([f"_key {kind}", *(" ".join(fields[i]) for i in at)])).withColumnRenamed("_key", key)

@@ -30,11 +30,27 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def listing(spark: SparkSession, path: str, whole: bool = False) -> list[str]:
+    """Names of what is at path: of a folder's entries, or with ``whole`` of the path itself; none where nothing is."""
+    at, store = _path(spark, path)
+    if not store.exists(at):
+        return []
+    return [at.getName()] if whole else [x.getPath().getName() for x in store.listStatus(at)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, store = _path(spark, path)
+    store.delete(at, True)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete what ``stored`` has written for frames that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "stored_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if getattr(df, "stored_at", None):
+            delete(df.sparkSession, df.stored_at)
