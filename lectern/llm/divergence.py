@@ -34,7 +34,7 @@ from . import _spark
 from . import textvec as tv
 
 #: Bytes of texts whose terms are added up before they leave the parser.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Terms of one part that a kernel holds at once.
 CHUNK = 1024
 
@@ -128,7 +128,7 @@ def _pairs_of(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFra
     return out if one == other else pd.concat([out, out.rename(columns={"source": "item", "item": "source"})])
 
 
-def pairs(kept: DataFrame, groups: DataFrame, tile: int = 256, part_rows: int = 500_000) -> DataFrame:
+def pairs(kept: DataFrame, groups: DataFrame, tile: int = 256, part_rows: int = 100_000) -> DataFrame:
     """lang, source, item (another source of the language), value: f summed over all kept terms."""
     parts = max(1, -(-kept.count() // part_rows))
     of_tile = F.expr(f"sid div {tile}")
