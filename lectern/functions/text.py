@@ -30,7 +30,7 @@ def first_sentence(doc: Column | str, width: int = 76) -> Column:
 def format_comment(raw: Column | str) -> Column:
     """A block comment's text: marks and leading stars off, lines right-trimmed, a blank first or last line dropped."""
     inner = F.regexp_replace(F.regexp_replace(_c(raw), r"^/\*+", ""), r"\*+/$", "")
-    lines = F.transform(F.split(inner, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*\* ?", ""), r"\s+$", ""))
+    lines = F.transform(F.split(inner, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*\*\s?", ""), r"\s+$", ""))
     lines = F.when((F.size(lines) > 1) & (F.element_at(lines, 1) == ""), F.slice(lines, 2, F.size(lines) - 1)).otherwise(lines)
     lines = F.when((F.size(lines) > 1) & (F.element_at(lines, -1) == ""), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     return F.array_join(lines, "\n")
@@ -146,7 +146,7 @@ def real_locator(url: Column | str, marker: str = "lectern-script") -> Column:
     return F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
 
 
-def opening(title: Column | str, default: str = "the documents are the source of truth") -> Column:
+def opening(title: Column | str, default: str = "documents, and what they may say") -> Column:
     """A title as a sentence's continuation: first letter lower, one full stop at the end dropped; the default without one."""
     x = F.nullif(F.trim(F.regexp_replace(_c(title), r"^\s+|\s+$", "")), F.lit(""))
     return F.coalesce(F.concat(F.lower(F.substring(x, 1, 1)), F.regexp_replace(F.substring(x, 2, 1 << 20), r"\.$", "")), F.lit(default))

@@ -1,4 +1,4 @@
-"""Commands of hosts: listing, help, audit roster and dispatch, as rows."""
+"""Commands of hosts: listing, help and resolution of command lines, as rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import script
 from lectern.functions import text as t
+from lectern.operators import selectors as sel
 
 
 def leading_comment(source: Column | str) -> Column:
@@ -15,46 +16,60 @@ def leading_comment(source: Column | str) -> Column:
 
 
 def command_list(scripts: DataFrame, key: str) -> DataFrame:
-    """key, ord, name ('' for the default export), doc of scripts(key, source)."""
+    """key (of another name than these), ord, path (the words that call it, none for the default export), label, doc of scripts(key, source)."""
     c = scripts.select(key, F.posexplode(script.commands_of("source")).alias("ord", "c"))
-    return c.select(key, "ord", F.col("c.name").alias("name"), t.format_comment("c.raw").alias("doc"))
+    return c.select(key, "ord", F.col("c.path").alias("path"), sel.label("c.path").alias("label"), t.format_comment("c.raw").alias("doc"))
 
 
-def help_text(name: Column | str, doc: Column | str) -> Column:
-    """A command's lines of help: its name, and its comment set in."""
-    name, doc = (F.col(x) if isinstance(x, str) else x for x in (name, doc))
+def help_text(label: Column | str, doc: Column | str) -> Column:
+    """A command's lines of help: its words, and its comment set in."""
+    label, doc = (F.col(x) if isinstance(x, str) else x for x in (label, doc))
     lines = F.transform(F.split(doc, "\n"), lambda x: F.regexp_replace(F.concat(F.lit("    "), x), r"\s+$", ""))
-    return F.concat(F.lit("  "), name, F.lit("\n"), F.when(F.coalesce(doc, F.lit("")) == "", F.lit("    (no comment)")).otherwise(F.array_join(lines, "\n")))
+    return F.concat(F.lit("  "), label, F.lit("\n"), F.when(F.coalesce(doc, F.lit("")) == "", F.lit("    (no comment)")).otherwise(F.array_join(lines, "\n")))
 
 
-def audit_roster(scripts: DataFrame) -> DataFrame:
-    """name, line, touches_line of scripts(audit, touches, source), by the names' collation; names are padded to the widest."""
-    rows = scripts.join(F.broadcast(scripts.agg(F.max(F.length("audit")).alias("width"))), F.lit(True))  # a single row by construction
-    line = F.rtrim(F.concat(F.lit("  "), F.rpad("audit", F.col("width") + 2, F.lit(" ")), leading_comment("source")))
-    touches = t.touches_collapse(F.coalesce("touches", F.lit("")))
-    under = F.when(touches != "", F.concat(F.repeat(F.lit(" "), F.col("width") + 4), F.lit("touches "), touches)).otherwise("")
-    return rows.select(F.col("audit").alias("name"), line.alias("line"), under.alias("touches_line")).orderBy(F.collate("name", "UNICODE"), "name")
+def trie(commands: DataFrame) -> DataFrame:
+    """id, prefix, leaf, takes of commands(id, ord, path): every beginning of a path; whether it is a command itself, and
+    the words that can follow it, in the commands' order."""
+    each = commands.select("id", "ord", "path", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("n"))
+    follows = F.when(F.col("n") < F.size("path"), F.struct("ord", F.try_element_at("path", F.col("n") + 1).alias("word")))
+    words = F.array_distinct(F.array_sort(F.collect_list(follows))["word"])
+    return each.groupBy("id", F.slice("path", 1, F.col("n")).alias("prefix")).agg(F.bool_or(F.col("n") == F.size("path")).alias("leaf"), words.alias("takes"))
 
 
-def dispatch(requests: DataFrame, hosts: DataFrame, commands: DataFrame) -> DataFrame:
-    """request, status, outcome of requests(request, id, word) over hosts(id, path) and commands(id, name).
+#: Outcomes of a command line.
+RUN, HELP, NO_HOST, NO_COMMANDS, NO_COMMAND, NEEDS_VERB, NO_VERB = "run", "help", "unknown-host", "no-commands", "unknown-command", "needs-verb", "unknown-verb"
 
-    outcome: run:<name>, run:default, help, unknown-host, no-commands or unknown-command. The default export runs
-    without a word or before a flag that doesn't ask for help; without it, help is shown and counts as an error.
+
+def resolve(requests: DataFrame, hosts: DataFrame, commands: DataFrame) -> DataFrame:
+    """request, status, outcome, label, rest, flags, takes of requests(request, id, argv) over hosts(id) and commands(id, ord, path).
+
+    argv is what follows the host's id. Its first word, and then its positionals, are looked up in the trie of the
+    host's commands; the longest beginning that is there counts, so one join answers all requests. label: its words;
+    rest: positionals after it; takes: words that could have followed. The default export runs without a word or
+    before a flag that doesn't ask for help; without one, help is shown and counts as an error.
     """
-    known = hosts.select("id", F.lit(True).alias("host")).distinct()
-    some = commands.groupBy("id").agg(F.bool_or(F.col("name") == "").alias("default"))
-    named = commands.where("name <> ''").select("id", F.col("name").alias("word"), F.lit(True).alias("named")).distinct()
-    r = requests.join(known, "id", "left").join(some, "id", "left").join(named, ["id", "word"], "left")
-    asks = F.coalesce(F.col("word").isin("--help", "-h"), F.lit(False))
-    flag = F.col("word").isNull() | F.col("word").startswith("-")
+    first = F.try_element_at("argv", F.lit(1))
+    flag = first.isNull() | first.startswith("-")
+    parsed = t.parse_args(F.when(flag, F.col("argv")).otherwise(F.slice("argv", 2, F.greatest(F.size("argv"), F.lit(1)))))
+    r = requests.select("request", "id", F.coalesce(first.isin("--help", "-h"), F.lit(False)).alias("asks"), flag.alias("flag"), first.alias("first"), parsed.alias("a"))
+    r = r.withColumn("words", F.when(F.col("flag"), F.array().cast("array<string>")).otherwise(F.concat(F.array("first"), "a.pos")))
+    tried = r.select("request", "id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words")), lambda n: F.struct(n.alias("n"), F.slice("words", F.lit(1), n).alias("prefix")))).alias("x"))
+    known = tried.select("request", "id", "x.n", "x.prefix").join(trie(commands), ["id", "prefix"])
+    best = known.groupBy("request").agg(F.max_by(F.struct("n", "leaf", "takes"), "n").alias("best"), F.bool_or((F.col("n") == 0) & F.col("leaf")).alias("default"))
+    rows = r.join(hosts.select("id", F.lit(True).alias("host")).distinct(), "id", "left").join(best, "request", "left")
+    n, words = F.col("best.n"), F.size("words")
     outcome = (
-        F.when(F.col("host").isNull(), "unknown-host").when(F.col("default").isNull(), "no-commands").when(asks, "help")
-        .when(flag & F.col("default"), "run:default").when(F.col("word").isNull(), "help")
-        .when(F.col("named"), F.concat(F.lit("run:"), F.col("word"))).otherwise("unknown-command")
+        F.when(F.col("host").isNull(), NO_HOST).when(F.col("best").isNull(), NO_COMMANDS).when(F.col("asks"), HELP)
+        .when(F.col("flag"), F.when(F.col("default"), RUN).otherwise(HELP)).when(n == 0, NO_COMMAND)
+        .when(F.col("best.leaf"), RUN).when(n == words, NEEDS_VERB).otherwise(NO_VERB)
     )
-    fine = outcome.startswith("run:") | asks & F.col("host").isNotNull() & F.col("default").isNotNull()
-    return r.select("request", F.when(fine, 0).otherwise(1).alias("status"), outcome.alias("outcome"))
+    at = F.when(F.col("flag"), F.lit(0)).otherwise(F.coalesce(n, F.lit(0)))
+    rest = F.when(F.col("flag"), F.col("a.pos")).otherwise(F.slice("words", at + 1, F.greatest(words, F.lit(1))))
+    rows = rows.withColumn("outcome", outcome)
+    fine = (F.col("outcome") == RUN) | (F.col("outcome") == HELP) & F.col("asks")
+    label = sel.label(F.slice("words", 1, at))
+    return rows.select("request", F.when(fine, 0).otherwise(1).alias("status"), "outcome", label.alias("label"), rest.alias("rest"), F.col("a.flags").alias("flags"), F.coalesce("best.takes", F.array().cast("array<string>")).alias("takes"))
 
 
 def seed_plan(paths: DataFrame, existing: DataFrame) -> DataFrame:

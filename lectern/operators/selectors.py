@@ -117,7 +117,7 @@ def is_host_path(path: Column | str) -> Column:
 
 
 def label(path: Column | str) -> Column:
-    """A command's words as one."""
+    """A command's words as one text."""
     return F.array_join(path, " ")
 
 

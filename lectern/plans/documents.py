@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lectern import registry
+from lectern import registry, session
 from lectern.functions import markup, script
 from lectern.functions import text as t
 from lectern.operators import commands, corpus, overlay, references, rewrite, roster, validate
 from lectern.operators import selectors as sel
 from lectern.plans import made
 from lectern.plans.catalog import _query, _read
+from lectern.sources import files
 from lectern.sources.store import session_store
 from lectern.storage import shared_dir
 from lectern.streaming.incremental import LiveVerdicts
@@ -212,7 +213,7 @@ def _host(id_: str, n: str, path: str, *lines: str) -> str:
 
 
 ROSTER = " UNION ALL ".join([
-    "SELECT 0 AS section, '' AS host, '' AS path, seq, line FROM " + made.values([(0, "lectern — documents say what they are."), (1, ""), (2, "usage: lectern <id> <command> [args…]"), (3, "       lectern <id> --help          every flag and caveat for one family"), (4, "")], "seq, line"),
+    "SELECT 0 AS section, '' AS host, '' AS path, seq, line FROM " + made.values([(0, "lectern: documents say what they are."), (1, ""), (2, "Run a command:       lectern HOST COMMAND [VERB ...] [--FLAG [VALUE]]"), (3, "List a host's own:   lectern HOST --help"), (4, "")], "seq, line"),
     _host("account", f"{ALL}, ' docs'", "templates/account.template.html"), _host("broken", "'no docs'", "commands/broken.command.html", "  (unreadable: ( is not closed)"),
     _host("customer", f"{COUNT}, ' docs'", "commands/customer.command.html"), _host("customer", f"{COUNT}, ' docs'", "templates/customer.template.html", "  People who order.", "", "  list    Lists customers.", "  enroll  Adds one."),
     _host("list", "'no docs'", "commands/list.command.html", "", "    Lists all."), _host("nation", "(SELECT count(*) FROM nation), ' docs'", "templates/nation.template.html"), _host("template", "'no docs'", "templates/template.template.html", "  What types are."),
@@ -315,14 +316,46 @@ def leading_comment(spark, d):
     return _scripts(spark, d).select("path", "idx", commands.leading_comment("source").alias("summary"))
 
 
-@_query(f"SELECT {made.SUPPLIER_PATH} AS path, 0 AS ord, concat('sell', s_suppkey) AS name, concat(' Sells ', s_name, '. More to say.', chr(10), '@x') AS doc FROM supplier")
+#: A supplier's commands: place, words and comment.
+COMMANDS = f"""(SELECT s_suppkey, s_name, ord, label, doc FROM supplier, LATERAL (SELECT * FROM (VALUES (0, concat('sell', s_suppkey), concat(' Sells ', s_name, '. More to say.', chr(10), '@x')), (1, concat('stock', s_suppkey, ' add'), ' Adds to it.'),
+  (2, concat('stock', s_suppkey, ' rm all-of-it'), ' Takes from it.'), (3, concat('stock', s_suppkey, ' restock'), ' Fills it.'), (4, 'refill', ' Fills it.')) v(ord, label, doc)) c)"""
+
+
+@_query(f"SELECT {made.SUPPLIER_PATH} AS path, ord, label, len(string_split(label, ' ')) AS words, doc FROM {COMMANDS}")
 def command_list(spark, d):
-    return commands.command_list(_scripts(spark, d).where("idx = 0").select("path", "source"), "path")
+    rows = commands.command_list(_scripts(spark, d).where("idx = 0").select(F.col("path").alias("document"), "source"), "document")
+    return rows.select(F.col("document").alias("path"), "ord", "label", F.size("path").cast("long").alias("words"), "doc")
 
 
-@_query("SELECT concat('sell', s_suppkey) AS name, concat('  sell', s_suppkey, chr(10), '     Sells ', s_name, '. More to say.', chr(10), '    @x') AS help FROM supplier")
+@_query(f"SELECT {made.SUPPLIER_PATH} AS path, label, concat('  ', label, chr(10), '    ', replace(doc, chr(10), concat(chr(10), '    '))) AS help FROM {COMMANDS}")
 def help_lines(spark, d):
-    return command_list(spark, d).select("name", commands.help_text("name", "doc").alias("help"))
+    return command_list(spark, d).select("path", "label", commands.help_text("label", "doc").alias("help"))
+
+
+#: What orders ask of suppliers, by the order's key.
+ASKED = """(SELECT o_orderkey AS request, CASE WHEN o_orderkey % 9 = 0 THEN -(o_custkey % 10) - 1 ELSE o_custkey % 10 END AS host, o_custkey % 10 AS k, o_orderkey % 7 + 1 AS n, CAST(floor(o_orderkey / 7) AS BIGINT) % 3 AS m FROM orders)"""
+ARGV = "CASE WHEN n = 1 THEN array(concat('sell', k), '--to', 'x', 'y') WHEN n = 2 AND m = 0 THEN array('--help') WHEN n = 2 AND m = 1 THEN array('--all') WHEN n = 2 THEN array() WHEN n = 3 THEN array(concat('stock', k), '--f', 'add', 'add') WHEN n = 4 AND m = 0 THEN array(concat('stock', k)) WHEN n = 4 AND m = 1 THEN array(concat('stock', k), 'rm') WHEN n = 4 THEN array(concat('stock', k), 'rm', 'all-of-it', 'z') WHEN n = 5 THEN array(concat('stock', k), 'rm', 'some') WHEN n = 6 THEN array(concat('sell', k + 1)) ELSE array('refill') END"
+
+
+@_query(f"""SELECT request, CASE WHEN host < 0 THEN 1 WHEN n IN (1, 3) OR n > 6 OR n = 2 AND m = 0 OR n = 4 AND m = 2 THEN 0 ELSE 1 END AS status,
+  CASE WHEN host < 0 THEN 'unknown-host' WHEN n = 2 THEN 'help' WHEN n = 4 AND m < 2 THEN 'needs-verb' WHEN n = 5 THEN 'unknown-verb' WHEN n = 6 THEN 'unknown-command' ELSE 'run' END AS outcome,
+  CASE WHEN host < 0 OR n IN (2, 6) THEN '' WHEN n = 1 THEN concat('sell', k) WHEN n = 3 THEN concat('stock', k, ' add') WHEN n = 4 AND m = 0 THEN concat('stock', k) WHEN n = 4 AND m = 1 OR n = 5 THEN concat('stock', k, ' rm') WHEN n = 4 THEN concat('stock', k, ' rm all-of-it') ELSE 'refill' END AS label,
+  CASE WHEN host >= 0 AND n = 4 AND m = 0 THEN 'add rm restock' WHEN host >= 0 AND (n = 4 AND m = 1 OR n = 5) THEN 'all-of-it' WHEN host >= 0 AND n IN (2, 6) THEN concat('sell', k, ' stock', k, ' refill') ELSE '' END AS takes
+  FROM {ASKED}""")
+def verb_resolve(spark, d):
+    _read(spark, d, "orders").createOrReplaceTempView("lectern_orders")
+    asked = spark.sql(f"SELECT request, CAST(host AS STRING) AS id, {ARGV} AS argv FROM {ASKED.replace('FROM orders', 'FROM lectern_orders')}")
+    own = commands.command_list(_scripts(spark, d).where("idx = 0").select(F.regexp_extract("path", "[0-9]+", 0).alias("id"), "source"), "id")
+    rows = commands.resolve(asked, own.select("id"), own.select("id", "ord", "path"))
+    return rows.select("request", F.col("status").cast("int").alias("status"), "outcome", "label", F.array_join("takes", " ").alias("takes"))
+
+
+@_query(f"SELECT path, content FROM {made.FILES_SQL} WHERE path LIKE 'nations/%.html'")
+def source_read(spark, d):
+    """Documents written to a folder by the data source and read back; only the folder asked for is listed."""
+    at = f"{shared_dir(spark)}/lectern/folder-{uuid.uuid4().hex}"
+    session.write_files(made.files(spark, d).where("path not like 'customers/%'"), at)
+    return files.files(spark, at).where("path like 'nations/%'")
 
 
 @_query("SELECT concat('pkg', g) AS name, concat('1.', substr(path, 11, length(path) - 15)) AS version, concat('pkg', g, '@1.', substr(path, 11, length(path) - 15)) AS spec FROM (SELECT s_suppkey % 5 AS g, max(concat('suppliers/', s_suppkey, '.html')) AS path FROM supplier GROUP BY g)")

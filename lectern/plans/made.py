@@ -53,7 +53,9 @@ CUSTOMER_PATH = "concat('customers/', c_custkey, '.html')"
 DOCTYPE = "'<!DOCTYPE html>'"
 
 #: A supplier's scripts: a command, a module that it imports, and an import map.
-COMMAND = joined("'/** Sells ', s_name, '. More to say.'", "chr(10)", "' * @x'", "chr(10)", "' */'", "chr(10)", "'export function sell', s_suppkey, '() {}'", "chr(10)", "'import a from \"./lib', s_suppkey % 7, '.js\"'", "chr(10)", "'import b from \"#other\"'", "chr(10)", "'const f = \"supplier.css\" /* no comment of its own */'")
+COMMAND = joined("'/** Sells ', s_name, '. More to say.'", "chr(10)", "' * @x'", "chr(10)", "' */'", "chr(10)", "'export function sell', s_suppkey, '() {}'", "chr(10)", "'import a from \"./lib', s_suppkey % 7, '.js\"'", "chr(10)", "'import b from \"#other\"'", "chr(10)", "'const f = \"supplier.css\" /* no comment of its own */'", "chr(10)",
+                 "'/** Stock. */ export const stock', s_suppkey, ' = { /** Adds to it. */ add() { return f.length / 2 }, rm: { /** Takes from it. */ \"all-of-it\": (x) => { if (x) /[}]/.test(x) }, none: 0 }, restock } as const'", "chr(10)",
+                 "'/** Fills it. */ function restock() { return `$'", "'{f} / $'", "'{{ a: 1 / 2 }.a}` } export { restock as refill }'")
 IMPORTMAP = joined("'{\"imports\": {\"pkg', s_suppkey % 5, '\": \"1.', s_suppkey, '\"}}'")
 SUPPLIER = joined("'<html><head></head><body><script type=\"node/command\" id=\"s', s_suppkey, '\">'", COMMAND, "'</script><script type = \"module\" id=\"other\">export const o = 1</script><script type=\"node/importmap\">'", IMPORTMAP, "'</script></body></html>'")
 SUPPLIER_PATH = "concat('suppliers/', s_suppkey, '.html')"

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lectern import registry
 from lectern.functions import markup
 from lectern.operators import corpus, overlay
-from lectern.sources import html
-from lectern.sources.files import _open
+from lectern.sources import datasource, html
+from lectern.sources.files import open_store
 from lectern.storage import stored
 
 DOCTYPE = "<!DOCTYPE html>\n"
@@ -27,95 +27,95 @@ class Document:
     html: str
 
 
+@dataclass
+class _Held:
+    """What a command has done to a path: the document (None: deleted), and the laid-out markup that it was read as (None: it is new)."""
+
+    document: Document | None
+    read_as: str | None = None
+
+
 class Filesystem:
-    """The files of a corpus as one command sees them: its own puts and deletions first, then what is stored.
+    """The files of a corpus as one command sees them: an overlay of its own changes on what is stored.
 
-    Changes are held until ``commit``, which writes only what differs from what was read; documents are laid out before
-    they are remembered, so a difference in layout alone is none.
+    Documents that it asks for are held until ``commit``, which writes those that differ from what was read. They are
+    laid out when they are read and again when they are written, so a difference in layout alone is none. Only what a
+    command asks for comes to the driver.
     """
 
     def __init__(self, spark: SparkSession, files: DataFrame, root: str):
         self.spark, self.files, self.root = spark, files, root
-        self._touched: dict[str, tuple[Document, str] | None] = {}
+        self._held: dict[str, _Held] = {}
+
+    def changes(self) -> DataFrame:
+        """path, op, content, original of what is held, as ``overlay`` takes it."""
+        rows = [(p, "delete", None, None) if h.document is None else (p, "put", markup.serialize(h.document.html, indent=True), h.read_as) for p, h in self._held.items()]
+        return self.spark.createDataFrame(rows, "path string, op string, content string, original string")
+
+    def _take(self, files: DataFrame) -> None:
+        """Hold the documents of files(path, content) that aren't held, in one query."""
+        for r in overlay.read(files.where(~F.col("path").isin(*self._held)), self.changes()).where(~F.col("path").isin(*self._held)).collect():
+            laid = markup.serialize(r.content, indent=True)
+            self._held[r.path] = _Held(Document(laid), laid)
 
     def get(self, path: str) -> Document:
-        if path in self._touched:
-            if self._touched[path] is None:
-                raise FileNotFoundError(f"{path} was already deleted")
-            return self._touched[path][0]
-        row = self.files.where(F.col("path") == path).first()
-        if row is None:
-            raise FileNotFoundError(path)
-        laid = markup.serialize(row.content, indent=True)
-        self._touched[path] = (Document(laid), markup.serialize(laid))
-        return self._touched[path][0]
+        if path not in self._held:
+            self._take(self.files.where(F.col("path") == path))
+        held = self._held.get(path)
+        if held is None or held.document is None:
+            raise FileNotFoundError(path if held is None else f"{path} was already deleted")
+        return held.document
 
     def create(self, path: str, seed: str = "") -> Document:
         """A new document in place of whatever was there; it is written in any case."""
-        self._touched[path] = (Document(seed), "")
-        return self._touched[path][0]
+        self._held[path] = _Held(Document(seed))
+        return self.get(path)
 
     def delete(self, path: str) -> None:
-        self._touched[path] = None
+        self._held[path] = _Held(None)
 
     def exists(self, path: str) -> bool:
-        if path in self._touched:
-            return self._touched[path] is not None
-        return bool(self.files.where(F.col("path") == path).limit(1).count())
-
-    def list(self, folder: str = ".") -> list[str]:
-        """Stored documents below a folder that aren't deleted; what isn't committed yet isn't listed."""
-        inside = F.lit(True) if folder in (".", "") else F.col("path").startswith(folder.rstrip("/") + "/")
-        gone = [p for p, x in self._touched.items() if x is None]
-        return [r.path for r in self.files.where(inside & F.col("path").endswith(".html") & ~F.col("path").isin(*gone)).select("path").orderBy("path").collect()]
-
-    def changes(self) -> DataFrame:
-        rows = [(p, "delete", None, None) if x is None else (p, "put", markup.serialize(x[0].html), x[1]) for p, x in self._touched.items()]
-        return self.spark.createDataFrame(rows, "path string, op string, content string, original string")
-
-    def commit(self) -> list[str]:
-        """Paths written, in order of path; a second call without further changes writes nothing."""
-        done = commit(self.spark, self.changes(), self.root)
-        written = [r.path for r in done.where("action = 'wrote'").orderBy("path").collect()]
-        for path, x in list(self._touched.items()):
-            if x is None:
-                self.files = self.files.where(F.col("path") != path)
-                del self._touched[path]
+        asked = self.spark.createDataFrame([(path,)], "path string")
+        return overlay.exists(asked, self.files.where(F.col("path") == path), self.changes()).first().present
+
+    def paths(self, folder: str = ".") -> DataFrame:
+        """path of the stored documents below a folder that aren't deleted; what isn't committed yet isn't listed."""
+        return overlay.listing(overlay.listed(self.files, folder, ".html"), self.changes())
+
+    def list(self, folder: str = ".") -> dict[str, Document]:
+        """The documents of ``paths``, in order of path, held like those of ``get``."""
+        found = sorted(r.path for r in self.paths(folder).collect())
+        self._take(self.files.where(F.col("path").isin(*found)))
+        return {p: self._held[p].document for p in found}
+
+    def commit(self, told: Callable[[str, str], None] = lambda action, path: None) -> list[str]:
+        """Paths written, in order of path; a second call without further changes writes nothing. told: each action, by path."""
+        done = sorted(commit(self.spark, self.changes(), self.root).collect())
+        for r in done:
+            told(r.action, r.path)
+        for path, held in list(self._held.items()):
+            if held.document is None:
+                del self._held[path]
             else:
-                self._touched[path] = (x[0], markup.serialize(x[0].html))
-        return written
+                held.read_as = markup.serialize(held.document.html, indent=True)
+        return [r.path for r in done if r.action == "wrote"]
 
 
 def commit(spark: SparkSession, changes: DataFrame, root: str) -> DataFrame:
-    """path, action of what is written below root: deletions, and documents that differ from their original.
+    """path, action of what is done below root: deletions, and documents that differ from their original.
 
-    The tasks write, whole files each, so a task that runs again leaves the same. It isn't atomic: what is written
-    before another file fails stays. Deleting what isn't there is an error.
+    Files are staged by the tasks and moved when all are there (``datasource``): what fails before that changes nothing.
+    Deleting what isn't there is an error.
     """
-    todo = overlay.last(changes).join(overlay.commit_diff(changes), "path").select("path", "action", "content")
-
-    return stored(spark, write_files(todo, root, DOCTYPE, "\n"), "commit")
-
-
-def write_files(todo: DataFrame, root: str, before: str = "", after: str = "") -> DataFrame:
-    """path, action of todo(path, content, action) once it is carried out: each row is a whole file, written by the task."""
-    if "action" not in todo.columns:
-        todo = todo.withColumn("action", F.lit("wrote"))
+    todo = stored(spark, overlay.last(changes).join(overlay.commit_diff(changes), "path").select("path", "action", F.concat(F.lit(DOCTYPE), "content", F.lit("\n")).alias("content")), "commit")
+    write_files(todo, root)
+    return todo.select("path", "action")
 
-    def write(batches):
-        store, top = _open(root)
-        for pdf in batches:
-            for path, action, content in pdf.itertuples(index=False):
-                goal = posixpath.join(top, path)
-                if action == "deleted":
-                    store.delete_file(goal)
-                else:
-                    store.create_dir(posixpath.dirname(goal), recursive=True)
-                    with store.open_output_stream(goal) as f:
-                        f.write((before + content + after).encode())
-            yield pdf[["path", "action"]]
 
-    return todo.select("path", "action", "content").mapInPandas(write, "path string, action string")
+def write_files(todo: DataFrame, root: str) -> None:
+    """Write, or delete, todo(path, content[, action]) below root: all of it, or nothing if a task fails."""
+    datasource.register(todo.sparkSession)
+    todo.write.format("lectern").mode("append").save(root)
 
 
 @dataclass
@@ -150,21 +150,9 @@ def validate_document(spark: SparkSession, files: DataFrame, known: registry.Reg
     return {"ok": all(r.ok for r in rows), "errors": [e for r in rows for e in r.errors]}
 
 
-def parse_args(argv: list[str]) -> dict[str, object]:
-    """The rules of ``lectern.functions.text.parse_args`` for one list: {'_': [...], flag: value or list of values}."""
-    out: dict[str, object] = {"_": []}
-    i = 0
-    while i < len(argv):
-        token, i = argv[i], i + 1
-        if not token.startswith("--"):
-            out["_"].append(token)
-            continue
-        value = "true"
-        if i < len(argv) and not argv[i].startswith("--"):
-            value, i = argv[i], i + 1
-        have = out.get(token[2:])
-        out[token[2:]] = value if have is None else [*(have if isinstance(have, list) else [have]), value]
-    return out
+def arguments(row) -> dict[str, object]:
+    """A command's arguments from a row of ``commands.resolve``: {'_': [...], flag: value or list of values}."""
+    return {**{f.k: f.v[0] if len(f.v) == 1 else list(f.v) for f in row.flags}, "_": list(row.rest)}
 
 
 @dataclass
@@ -176,19 +164,19 @@ class Sandbox:
     known: registry.Registry = field(default_factory=registry.Registry)
 
     def write(self, path: str, content: str) -> None:
-        store, top = _open(self.dir)
+        store, top = open_store(self.dir)
         goal = posixpath.join(top, path)
         store.create_dir(posixpath.dirname(goal), recursive=True)
         with store.open_output_stream(goal) as f:
             f.write(content.encode())
 
     def read(self, path: str) -> str:
-        store, top = _open(self.dir)
+        store, top = open_store(self.dir)
         with store.open_input_stream(posixpath.join(top, path)) as f:
             return f.read().decode()
 
     def exists(self, path: str) -> bool:
-        store, top = _open(self.dir)
+        store, top = open_store(self.dir)
         return store.get_file_info(posixpath.join(top, path)).type == stores.FileType.File
 
     def run(self, *argv: str) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import posixpath
 import re
+from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +98,7 @@ def ignored(path: Column | str, lines: list[str]) -> Column:
     return F.exists(F.sequence(F.lit(1), F.size(parts)), decided)
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
+def open_store(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
 
@@ -115,47 +116,69 @@ def _ignore_file(store: fs.FileSystem, top: str) -> tuple[str, list[tuple[bool,
         at = posixpath.dirname(at)
 
 
-def walk(root: str, suffix: str = "") -> list[str]:
-    """Paths below root, sorted; the nearest ignore file at or above root counts, alone.
+class Tree:
+    """What lies below a root; paths are relative to it. The nearest ignore file at or above root counts, alone.
 
     Names that start with a dot and node_modules are left out, but for root itself. Links are followed, but not to a
     folder that they lie in. A missing root holds nothing.
     """
-    store, top = _open(root)
-    if store.get_file_info(top).type != fs.FileType.Directory:
-        return []
-    base, rules = _ignore_file(store, top)
-    real = os.path.realpath if isinstance(store, fs.LocalFileSystem) else (lambda p: p)
-    found, todo = [], [(top, (real(top),))]
-    while todo:
-        here, above = todo.pop()
-        for x in store.get_file_info(fs.FileSelector(here)):
-            rel = posixpath.relpath(x.path, base)
+
+    def __init__(self, root: str):
+        self.store, self.top = open_store(root)
+        self.there = self.store.get_file_info(self.top).type == fs.FileType.Directory
+        self.base, self.rules = _ignore_file(self.store, self.top) if self.there else (self.top, [])
+
+    def _real(self, path: str) -> str:
+        return os.path.realpath(posixpath.join(self.top, path)) if isinstance(self.store, fs.LocalFileSystem) else path
+
+    def _entries(self, folder: str) -> tuple[list[str], list[str]]:
+        """Folders and files of a folder that count."""
+        folders, found = [], []
+        here = posixpath.join(self.top, folder) if folder else self.top
+        for x in self.store.get_file_info(fs.FileSelector(here)):
             if x.base_name.startswith(".") or x.base_name == "node_modules":
                 continue
-            if x.type == fs.FileType.Directory:
-                if real(x.path) not in above and not _folder_ignored(rel, rules):
-                    todo.append((x.path, (*above, real(x.path))))
-            elif x.type == fs.FileType.File and x.base_name.endswith(suffix) and not is_ignored(rel, rules):
-                found.append(x.path)
-    return sorted(found)
+            path, rel = posixpath.join(folder, x.base_name), posixpath.relpath(x.path, self.base)
+            if x.type == fs.FileType.Directory and not _folder_ignored(rel, self.rules):
+                folders.append(path)
+            elif x.type == fs.FileType.File and not is_ignored(rel, self.rules):
+                found.append(path)
+        return sorted(folders), sorted(found)
+
+    def folders(self, folder: str) -> list[str]:
+        """Folders in a folder, but for links to one that it lies in."""
+        if not self.there:
+            return []
+        above = {self._real(folder)} | {self._real(folder[:i]) for i, c in enumerate(folder) if c == "/"} | {self._real("")}
+        return [x for x in self._entries(folder)[0] if self._real(x) not in above]
+
+    def below(self, folder: str = "", deep: bool = True, wanted: Callable[[str], bool] = lambda folder: True) -> Iterator[str]:
+        """Files in a folder, and with ``deep`` in the wanted folders below it."""
+        todo = [folder] if self.there else []
+        while todo:
+            here = todo.pop()
+            yield from self._entries(here)[1]
+            if deep:
+                todo += [x for x in self.folders(here) if wanted(x)]
+
+    def text(self, path: str) -> str:
+        with self.store.open_input_stream(posixpath.join(self.top, path)) as f:
+            return f.read().decode()
 
 
-def files(spark: SparkSession, root: str, suffix: str = ".html") -> DataFrame:
-    """path (relative to root), content; root is a local folder or any URI that all machines reach.
+def walk(root: str, suffix: str = "") -> list[str]:
+    """Paths of all files of a ``Tree`` that end so, root included, sorted."""
+    tree = Tree(root)
+    return sorted(posixpath.join(tree.top, p) for p in tree.below() if p.endswith(suffix))
+
 
-    The listing is made on the driver, 64 bytes or so a file; files are read by the tasks.
+def files(spark: SparkSession, root: str, suffix: str = ".html", content: bool = True) -> DataFrame:
+    """path (relative to root), content of the files there are when it is read; root is a local folder or any URI that all machines reach.
+
+    Without content no file is opened.
     """
-    found = walk(root, suffix)
-    paths = spark.createDataFrame([(p,) for p in found], "path string").repartition(max(1, min(len(found) // 64, 4096)))
-
-    def load(batches):
-        store, top = _open(root)
-        for pdf in batches:
-            texts = []
-            for p in pdf["path"]:
-                with store.open_input_stream(p) as f:
-                    texts.append(f.read().decode())
-            yield pdf.assign(content=texts, path=[posixpath.relpath(p, top) for p in pdf["path"]])
-
-    return paths.mapInPandas(load, "path string, content string")
+    from lectern.sources import datasource
+
+    datasource.register(spark)
+    rows = spark.read.format("lectern").option("content", str(content).lower()).load(root)
+    return rows.where(F.col("path").endswith(suffix)) if suffix else rows

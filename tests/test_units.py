@@ -1,7 +1,9 @@
 import posixpath
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern import cli, registry, session
@@ -108,8 +110,8 @@ SOURCE = "/** Lists. More.\n * @x\n */\nexport function list() {}\nimport a from
 def test_scripts():
     other = "// no\nexport default async function () { import('./d.js') }\n/* Adds. */ export const add = () => 1"
     assert [i["spec"] for i in script.imports(SOURCE)] == ["./a.js", "./b.js"] and script.imports(other) == [] == script.imports(None)
-    assert [(c["name"], c["raw"][:8]) for c in script.commands(SOURCE)] == [("list", "/** List")]
-    assert [(c["name"], c["raw"]) for c in script.commands(other)] == [("", ""), ("add", "/* Adds. */")]
+    assert [(c["path"], c["raw"][:8]) for c in script.commands(SOURCE)] == [(["list"], "/** List"), (["q"], "")]
+    assert [(c["path"], c["raw"]) for c in script.commands(other)] == [([], ""), (["add"], "/* Adds. */")]
     assert [c["raw"] for c in script.comments('x = /[/*]"/; y = a / b; /* one */ "/* two */" `/* three */`')] == ["/* one */"]
     assert script.literals(r"""'a\'b' "c\x41\u{42}" `d` `e${f}` = /'g'/""") == ["a'b", "cAB", "d"]
     assert script.trouble("f(/[(]/, '(')") is None and script.trouble("f(") == "( is not closed" and script.trouble("f)") == "unexpected ) at 1"
@@ -177,7 +179,7 @@ def test_every_outcome_of_a_verdict(spark):
 def test_verdicts_of_no_files(spark):
     none = spark.createDataFrame([], "path string, content string")
     verdicts, found, report = registry.whole(spark, none, registry.Registry())
-    assert verdicts.count() == found.count() == 0 and tuple(report.first()) == (0, 0, True)
+    assert verdicts.count() == found.count() == 0 and tuple(report.first()) == (0, 0, True, [])
 
 
 def test_pattern_that_is_none(spark):
@@ -199,20 +201,21 @@ def test_selectors(spark):
 def test_roster_without_anything(spark):
     none = spark.createDataFrame([], "path string, content string")
     lines = [r.line for r in roster.roster(spark, none, corpus.nodes(none)).collect()]
-    assert lines[0] == "lectern — the documents are the source of truth." and len(lines) == 5
+    assert lines[0] == "lectern: documents, and what they may say." and len(lines) == 5
     assert roster.audit_lines(corpus.nodes(none)).count() == 0
 
 
-HOST = '<html><head></head><body><script type="node/command">/** Greets. */ export function greet() {} export const more = {}</script></body></html>'
+HOST = '<html><head></head><body><script type="node/command">/** Greets. */ export function greet() {} export const more = { /** Removes. */ rm() {}, deep: { er: greet } }MORE</script></body></html>'
 
 
 def test_commands_in_a_sandbox(spark, tmp_path):
     known = registry.Registry()
     box = session.Sandbox(spark, str(tmp_path / "corpus"), known)
-    assert box.run("x") == {"ok": False, "status": 1, "stdout": "", "stderr": f"no corpus at {box.dir}"}
-    assert box.run()["ok"] and "No corpus" in box.run()["stdout"]
-    box.write("c/hello.command.html", HOST)
+    assert box.run("x") == {"ok": False, "status": 1, "stdout": "", "stderr": f"There is no corpus at {box.dir}."}
+    assert box.run()["ok"] and "no corpus" in box.run()["stdout"]
+    box.write("c/hello.command.html", HOST.replace("MORE", ""))
     box.write("bare.template.html", '<template id="T"><t-a required></t-a></template>')
+    box.write("odd.command.html", '<script type="node/command">export function x() { (</script>')
     box.write("notes/one.html", '<html><head></head><body><x-d data-conforms-to="../bare.template.html#T">\n  <t-a>1</t-a>\n</x-d></body></html>')
 
     def greet(ctx):
@@ -230,29 +233,44 @@ def test_commands_in_a_sandbox(spark, tmp_path):
 
     def remove(ctx):
         ctx.fs.delete("notes/new.html")
-        assert not ctx.fs.exists("notes/new.html") and ctx.fs.list("notes") == ["notes/one.html"]
-        try:
+        assert not ctx.fs.exists("notes/new.html") and list(ctx.fs.list("notes")) == ["notes/one.html"] and ctx.args["_"] == ["now"]
+        with pytest.raises(FileNotFoundError, match="notes/new.html was already deleted"):
             ctx.fs.get("notes/new.html")
-        except FileNotFoundError as e:
-            assert str(e) == "notes/new.html was already deleted"
+        with pytest.raises(FileNotFoundError):
+            ctx.fs.get("notes/none.html")
 
-    known.module("c/hello.command.html", "@0", greet=greet, more={"rm": remove})
+    def extend(ctx):
+        for doc in ctx.fs.list().values():
+            doc.html = doc.html.replace("</t-a>\n</x-d>", "</t-a><t-b>2</t-b></x-d>")
+        ctx.fs.create("made.html", '<x-d data-conforms-to="t"><t-a>1</t-a></x-d>')
+
+    known.module("c/hello.command.html", "@0", greet=greet, more={"rm": remove, "deep": {"er": extend}})
     before = box.read("notes/one.html")
-    assert box.run("none")["status"] == 1 and "no command host" in box.run("none")["stderr"]
-    assert box.run("bare")["stderr"] == "bare.template.html has no command script"
-    assert box.run("hello")["status"] == 1 and 'commands for "hello"' in box.run("hello")["stderr"]
-    assert "Greets." in box.run("hello", "--help")["stdout"] and box.run("hello", "-h")["ok"]
-    assert 'has no "x" command' in box.run("hello", "x")["stderr"]
+    assert box.run("none")["stderr"] == "none is no command host of this corpus" and box.run("none")["status"] == 1
+    assert box.run("bare")["stderr"] == "bare.template.html declares no command that can be run"
+    assert box.run("odd", "x")["stderr"] == "odd.command.html can't be read: ( is not closed" and not box.run("odd")["ok"]
+    assert box.run("hello")["status"] == 1 and box.run("hello")["stderr"].startswith("hello has, in c/hello.command.html:")
+    told = box.run("hello", "--help")
+    assert "Greets." in told["stdout"] and "  more deep er" in told["stdout"] and box.run("hello", "-h")["ok"]
+    assert box.run("hello", "x")["stderr"].startswith("c/hello.command.html declares no command x\nhello has")
     assert box.run("hello", "greet") == {"ok": True, "status": 0, "stdout": "", "stderr": ""} and box.read("notes/one.html") == before
     assert box.run("hello", "greet", "--name", "q", "--fail")["stderr"] == "no" and box.read("notes/one.html") == before
     assert box.run("hello", "greet", "--name", "q")["stdout"] == "wrote notes/new.html\nwrote notes/one.html"
     assert box.read("notes/one.html").startswith("<!DOCTYPE html>\n<html>") and "<t-a>q</t-a>" in box.read("notes/one.html") and box.exists("notes/new.html")
-    assert "takes a verb: rm" in box.run("hello", "more")["stderr"] and 'has no "z" verb; it takes rm' in box.run("hello", "more", "z")["stderr"]
-    assert box.run("hello", "more", "rm")["ok"] and not box.exists("notes/new.html")
+    assert box.run("hello", "more")["stderr"] == "hello more wants one of these verbs: rm, deep" and box.run("hello", "more", "z", "rm")["stderr"] == "hello more knows no verb z, only these: rm, deep"
+    assert box.run("hello", "more", "rm", "now") == {"ok": True, "status": 0, "stdout": "deleted notes/new.html", "stderr": ""} and not box.exists("notes/new.html")
+    known.module("c/hello.command.html", "@0")
+    assert box.run("hello", "greet")["stderr"] == "no function is registered for c/hello.command.html#@0 greet"
+    box.write("c/hello.command.html", HOST.replace("MORE", " export default greet"))
     known.module("c/hello.command.html", "@0", default=greet)
     assert box.run("hello", "--name", "r")["stdout"] == "wrote notes/new.html"  # the other is as it was
+    known.module("c/hello.command.html", "@0", more={"deep": {"er": extend}})
+    assert box.run("hello", "more", "deep", "er")["stdout"] == "wrote made.html\nwrote notes/one.html"
+    assert box.read("notes/one.html").endswith("<t-a>q</t-a>\n  <t-b>2</t-b>\n</x-d></body></html>\n")  # laid out when it is written
+    assert "\n  <t-a>1</t-a>\n</x-d>" in box.read("made.html")
     lines = box.run()["stdout"].split("\n")
-    assert "hello  no docs  (c/hello.command.html)" in lines and "  greet  Greets." in lines and "bare  1 docs  (bare.template.html)" in lines
+    assert "hello  no docs  (c/hello.command.html)" in lines and "  greet         Greets." in lines and "  more rm       Removes." in lines and "bare  1 docs  (bare.template.html)" in lines
+    assert "  (unreadable: ( is not closed)" in lines
 
 
 def test_seed(spark, tmp_path):
@@ -274,10 +292,17 @@ def test_last_change_of_a_path_counts(spark):
     assert [tuple(r) for r in overlay.read(store, changes).collect()] == [("a", "3")] and overlay.listing(store, changes).count() == 1
 
 
-def test_parse_args_agree(spark):
-    for argv in (["--a"], ["--a", "b"], ["--a", "--b"], ["--a", "x", "--a", "y"], ["-h"], ["--k=v"], ["--_", "v", "w"], ["p", "-5", "--"], []):
-        row = spark.createDataFrame([(argv,)], "argv array<string>").select(t.parse_args("argv").alias("a")).first().a
-        assert session.parse_args(argv) == {"_": row.pos, **{f.k: f.v[0] if len(f.v) == 1 else f.v for f in row.flags}}
+ARGS = {
+    ("--a",): ([], {"a": ["true"]}), ("--a", "b"): ([], {"a": ["b"]}), ("--a", "--b"): ([], {"a": ["true"], "b": ["true"]}), ("--a", "x", "--a", "y"): ([], {"a": ["x", "y"]}), ("-h",): (["-h"], {}),
+    ("--k=v",): ([], {"k=v": ["true"]}), ("--_", "v", "w"): (["v", "w"], {}), ("p", "-5", "--"): (["p", "-5"], {"": ["true"]}), (): ([], {}),
+}
+
+
+def test_arguments(spark):
+    rows = spark.createDataFrame([(list(x),) for x in ARGS], "argv array<string>").select("argv", t.parse_args("argv").alias("a")).collect()
+    assert {tuple(r.argv): (r.a.pos, {f.k: f.v for f in r.a.flags}) for r in rows} == ARGS
+    row = Row(rest=["p"], flags=[Row(k="a", v=["x"]), Row(k="b", v=["y", "z"])])
+    assert session.arguments(row) == {"_": ["p"], "a": "x", "b": ["y", "z"]}
 
 
 def test_overlay_and_commit(spark):
