@@ -21,20 +21,19 @@ Groups are the connected components of the links.
    bands of 5, a pair at 0.8 meets in no band with a probability of 7e-6.
 4. Pairs are verified exactly from the texts, in blocks of one leader and at
    most about ``block`` members.
-5. Two members x, y of a bucket that are of different components may still be
-   linked to each other.  So each bucket gets further leaders, ever more a round,
-   which meet all later members of other components that they haven't met and
-   may be linked to; a leader is then through with its bucket.  This ends when no
-   bucket has members of two components left, so every two texts that share a
-   band are of one component, or verified, or excluded by the bounds below.
-
-With A = what a text has beyond the bucket's first leader L, and R = what it lacks
-of L, |x - y| >= ||A_x| - |A_y|| + ||R_x| - |R_y||, and as 1 - J_P is a metric,
-|J_P(x, L) - J_P(y, L)| > 1 - threshold excludes a link.  Counts enter the first
-through J_P <= J + w_x + w_y, where J is the Jaccard similarity of the counts and w
-a text's share of shingles whose count differs from the leader's, one of the two
-being 2 or more.  A group of copies linked to one leader costs one comparison
-each; n texts of a bucket that are alike but not linked cost up to n * n / 2.
+5. Two members of a bucket that are of different components now may still be linked
+   to each other.  Such a bucket's members are dealt in a grid of blocks, each block
+   meeting itself and every other in one task, which holds their shingles in postings:
+   adding up a text's postings bounds its J_P with all others at once (exactly so for
+   weights of 1), and only pairs above the threshold whose components the task hasn't
+   joined yet are verified.  Only links that join two components leave the task, so no
+   pair that isn't one becomes a row, and one pass is enough: every two texts that share a
+   band are of one component, or verified, or excluded by the bound.
+
+With X and Y the sums of two texts' weights, and C_x and C_y the parts of them on the shingles d
+that both have, J_P <= sum_d 1 / ((X - C_x) / x_d + (Y - C_y) / y_d + max(C_x / x_d, C_y / y_d)).
+A group of copies linked to one leader costs one comparison each; n texts of a bucket that are
+alike but not linked meet n * n / 2 times, in numpy's sums, blocks by blocks.
 
 A document without words (null, empty, white space) is a group of its own.
 Repeated rows and exact copies share a group; ids that repeat with different
@@ -47,7 +46,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark
@@ -55,8 +54,8 @@ from . import textvec as tv
 from .graph import components
 
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
-#: Leaders that a bucket gets in its second round; each later round has so many times as many.
-LEADERS = 8
+#: Members, and shingles, of a block of a bucket's grid, about.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
 _LOW48 = tv.U64((1 << 48) - 1)
 
 
@@ -184,24 +183,11 @@ def signatures(df: DataFrame, ids: list[str], text: str, k: int, bands: int, row
     return _spark.map_text(df, ids, text, "node long, bands array<long>", run)
 
 
-def _against(leader: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float, float]:
-    """size, w, |A| and |R| of a text against its leader."""
-    (el, wl), (eo, wo) = leader, own
-    _, il, io = np.intersect1d(el, eo, assume_unique=True, return_indices=True)
-    there = np.zeros(len(eo), np.int64)
-    there[io] = wl[il]
-    more = wo.astype(np.int64) - there
-    size, extra = int(wo.sum()), int(more[more > 0].sum())
-    lacks = int(wl.sum()) - (size - extra)
-    uneven = float(wo[(more != 0) & (np.maximum(wo, there) > 1)].sum()) / size
-    return float(size), uneven, float(extra), float(lacks)
-
-
-COMPARED = "a long, b long, linked boolean, alike double, size double, uneven double, more double, less double"
+COMPARED = "a long, b long, linked boolean, size long"
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
-    """COMPARED of all pairs (a, b): whether they are linked, J_P, and b against a; texts: node, text, a row a node.
+    """COMPARED of all pairs (a, b): whether they are linked, and b's number of shingles; texts: node, text, a row a node.
 
     A leader's text is sent once to each block of its members.
     """
@@ -224,12 +210,9 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, block
                     if role[i] == 0:
                         leader, own = (a[i], p[i]), it
                     elif (a[i], p[i]) == leader:
-                        alike = prob_jaccard(own, it)
-                        out.append((a[i], b[i], alike >= threshold, alike, *_against(own, it)))
+                        out.append((a[i], b[i], prob_jaccard(own, it) >= threshold, len(it[0])))
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in COMPARED.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["a", "b", "linked", "size"])
 
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return dealt.mapInArrow(_spark.tidy(run), COMPARED)
@@ -240,40 +223,132 @@ def _first_pairs(led: DataFrame) -> DataFrame:
     return led.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _rest(led: DataFrame, done: DataFrame, degrees: DataFrame) -> DataFrame:
-    """bucket, node, degree, and the node against its bucket's leader; one of the buckets of the same leader and members."""
+def _open_buckets(led: DataFrame, done: DataFrame, comp: DataFrame) -> DataFrame:
+    """bucket, node, comp, size of the members (leader aside) of buckets of several components; one of the buckets of the same leader and members."""
     rows = led.where("a <> node")
     h = F.xxhash64("node")
     sets = rows.groupBy("bucket", "a").agg(F.count("*").alias("n"), F.bit_xor(h).alias("mixed"), F.sum(F.shiftright(h, 24)).alias("summed"))
     sets = sets.where("n > 1").groupBy("a", "n", "mixed", "summed").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return rows.join(sets, "bucket").withColumnRenamed("node", "b").join(done, ["a", "b"]).join(degrees.withColumnRenamed("node", "b"), "b").select("bucket", F.col("b").alias("node"), "degree", "alike", "size", "uneven", "more", "less")
-
-
-def _placed(rest: DataFrame, comp: DataFrame) -> DataFrame:
-    """rest with components and nth, the order of further leaders, without the buckets of a single component."""
-    placed = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    best = [F.desc("degree"), "node"]
-    placed = placed.join(several, "bucket").withColumn("of_comp", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*best)))
-    return placed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("of_comp", *best))).drop("of_comp")
-
-
-def _further_pairs(placed: DataFrame, done: DataFrame, leaders: int, threshold: float) -> DataFrame:
-    """(a, b): the next leaders of each bucket, and its later members of other components that may be linked to them and haven't met them."""
-    names = ("node", "comp", "nth", "alike", "size", "uneven", "more", "less")
-    x = placed.where(F.col("nth") <= leaders).select("bucket", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = placed.select("bucket", *[F.col(c).alias(f"y_{c}") for c in names])
-    t = F.greatest(F.lit(threshold) - F.col("x_uneven") - F.col("y_uneven"), F.lit(0.0))
-    gap = F.abs(F.col("x_more") - F.col("y_more")) + F.abs(F.col("x_less") - F.col("y_less"))
-    may = (gap <= (F.col("x_size") + F.col("y_size")) * (1 - t) / (1 + t) + 1e-6) & (F.abs(F.col("x_alike") - F.col("y_alike")) <= 1 - threshold + 1e-9)
-    pairs = x.join(y, "bucket").where((F.col("x_nth") < F.col("y_nth")) & (F.col("x_comp") != F.col("y_comp")) & may)
-    ends = [F.least("x_node", "y_node").alias("lo"), F.greatest("x_node", "y_node").alias("hi")]
-    pairs = pairs.groupBy(*ends).agg(F.min("x_node").alias("a"))
-    met = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    return pairs.join(met, ["lo", "hi"], "left_anti").select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    rows = rows.join(sets, "bucket").withColumnRenamed("node", "b").join(done.select("a", "b", "size"), ["a", "b"]).select("bucket", F.col("b").alias("node"), "size")
+    rows = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("held")).where("lo <> hi")
+    return rows.join(several.select("bucket", "n", "held"), "bucket")
+
+
+def _grid(members: DataFrame, block_members: int, block_shingles: int) -> DataFrame:
+    """bucket, i, j, own, node, comp: each member in the cells where its block meets itself and the others."""
+    blocks = F.greatest(F.ceil(F.col("n") / block_members), F.ceil(F.col("held") / block_shingles)).cast("int")
+    m = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+
+
+class Cell:
+    """The texts of one block, or two, of a bucket: their shingles in postings, and which components are joined."""
+
+    def __init__(self, nodes: list[int], comps: list[int], own: list[int], sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.nodes, self.sets, self.own = nodes, sets, np.array(own)
+        kinds, self.comp = np.unique(np.array(comps, np.int64), return_inverse=True)
+        self.above = list(range(len(kinds)))
+        self.most = int(np.bincount(self.comp).argmax())  # the largest component: within it there is nothing to find
+        self.of = np.concatenate([[0], np.cumsum([len(e) for e, _ in sets])])
+        _, code = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
+        self.code, self.weight = code, np.concatenate([w for _, w in sets]).astype(float)
+        self.member = np.repeat(np.arange(len(sets)), np.diff(self.of))
+        self.total = np.bincount(self.member, self.weight, len(sets))
+        self.verified = 0
+
+    def root(self, c: int) -> int:
+        while self.above[c] != c:
+            self.above[c] = self.above[self.above[c]]
+            c = self.above[c]
+        return c
+
+    def bounds(self, x: int, postings: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Bounds of x's J_P with every text that has postings."""
+        own = slice(self.of[x], self.of[x + 1])
+        lo = start[self.code[own]]
+        n = start[self.code[own] + 1] - lo
+        at = postings[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        y, wy, wx = self.member[at], self.weight[at], np.repeat(self.weight[own], n)
+        m = len(self.sets)
+        cx, cy = np.bincount(y, wx, m), np.bincount(y, wy, m)
+        beyond = (self.total[x] - cx)[y] / wx + (self.total - cy)[y] / wy
+        return np.bincount(y, 1 / (beyond + np.maximum(cx[y] / wx, cy[y] / wy)), m)
+
+    def probe(self, queries: np.ndarray, targets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Links (node, node) between the queries and targets that join components."""
+        postings = np.flatnonzero(targets[self.member])
+        postings = postings[np.argsort(self.code[postings], kind="stable")]
+        start = np.searchsorted(self.code[postings], np.arange(self.code.max() + 2))
+        out = []
+        for x in np.flatnonzero(queries).tolist():
+            for y in np.flatnonzero(self.bounds(x, postings, start) >= threshold - 1e-9).tolist():
+                a, b = self.root(int(self.comp[x])), self.root(int(self.comp[y]))
+                if a != b:
+                    self.verified += 1
+                    if prob_jaccard(self.sets[x], self.sets[y]) >= threshold:
+                        self.above[a] = b
+                        out.append((self.nodes[x], self.nodes[y]))
+        return out
+
+    def links(self, threshold: float) -> list[tuple[int, int]]:
+        small = self.comp != self.most
+        first = self.own == self.own.min()
+        if first.all():
+            return self.probe(small, first, threshold)
+        return self.probe(first & small, ~first, threshold) + self.probe(~first & small, first & ~small, threshold)
+
+
+def _linked(grid: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): links between the members of each cell that join components."""
+
+    def run(batches):
+        key, held = None, []
+
+        def found():
+            if len({c for _, c, _, _ in held}) > 1:
+                nodes, comps, own, sets = zip(*held, strict=True)
+                links = Cell(nodes, comps, own, sets).links(threshold)
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for s in tv.slices(batch.column(6)):
+                el, count, offs, _, _ = weighted_shingles(s, k)
+                bucket, i, j, own, node, comp = (batch.slice(s.first, s.n).column(c).to_pylist() for c in range(6))
+                for n in range(s.n):
+                    if (bucket[n], i[n], j[n]) != key:
+                        yield from found()
+                        key, held = (bucket[n], i[n], j[n]), []
+                    one = slice(offs[n], offs[n + 1])
+                    held.append((node[n], comp[n], own[n], (el[one].copy(), count[one].copy())))
+        yield from found()
+
+    cell = ["bucket", "i", "j"]
+    rows = grid.join(texts, "node").select(*cell, "own", "node", "comp", "text")
+    return rows.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(_spark.tidy(run), "a long, b long")
+
+
+def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of wanted(node, id): of each node the text of one row of its id. Each row of base is met at most once."""
+    ids = wanted.select(F.col("id").alias("asked")).distinct()
+    rows = base.join(ids, base["id"].eqNullSafe(ids["asked"]), "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            for s in tv.slices(batch.column(1)):
+                key, words = text_keys(s)
+                part = batch.slice(s.first, s.n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, mask=words == 0)], names=["own_id", "text", "own"])
+
+    keyed = rows.mapInArrow(_spark.tidy(run), f"own_id {rows.schema['id'].dataType.simpleString()}, text string, own long")
+    met = keyed.join(wanted.select("node", "id"), (keyed["own"] == wanted["node"]) & keyed["own_id"].eqNullSafe(wanted["id"]))
+    return met.select("node", "text").dropDuplicates(["node"])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """id, class_id (smallest id of the group), class_size, n_texts (different texts of it), node for every row of docs."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     sig = _spark.materialize(spark, signatures(base, ["id"], "text", k, bands, rows), "dup-signatures")
@@ -286,30 +361,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     met = _spark.materialize(spark, entries.join(shared, "band").select(F.col("band").alias("bucket"), "node", "n"), "dup-met")
     degrees = _spark.materialize(spark, met.groupBy("node").agg(F.sum("n").alias("degree")), "dup-degrees")
 
-    # texts of the nodes that met others, by one representative row each
-    wanted = degrees.join(nodes.select("node", "id"), "node")
-    found = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("node", "text")
-    found = _spark.materialize(spark, _right_texts(found), "dup-texts")
+    wanted = _spark.materialize(spark, degrees.join(nodes.select("node", "id"), "node"), "dup-wanted")
+    found = _spark.materialize(spark, _texts(base, wanted), "dup-texts")
 
     leader = F.max_by("node", F.struct("degree", -F.col("node"))).alias("a")
     led = met.select("bucket", "node").join(met.join(degrees, "node").groupBy("bucket").agg(leader), "bucket")
     led = _spark.materialize(spark, led, "dup-led")
-    pairs = _spark.materialize(spark, _first_pairs(led), "dup-pairs")
-    done = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
+    done = _spark.materialize(spark, compared(_first_pairs(led), found, k, threshold), "dup-compared")
     comp = components(spark, done.where("linked").select("a", "b"))
-    rest, leaders = _spark.materialize(spark, _rest(led, done, degrees), "dup-rest"), LEADERS
-    while True:
-        placed = _spark.materialize(spark, _placed(rest, comp), "dup-placed")
-        if not placed.limit(1).count():
-            break
-        pairs = _spark.materialize(spark, _further_pairs(placed, done, leaders, threshold), "dup-pairs")
-        if pairs.limit(1).count():
-            new = _spark.materialize(spark, compared(pairs, found, k, threshold), "dup-compared")
-            done = done.unionByName(new)
-            if new.where("linked").limit(1).count():
-                comp = components(spark, done.where("linked").select("a", "b"))
-        rest = placed.where(F.col("nth") > leaders).select(*rest.columns)
-        leaders *= LEADERS
+    members = _spark.materialize(spark, _open_buckets(led, done, comp), "dup-open")
+    links = _spark.materialize(spark, _linked(_grid(members, block_members, block_shingles), found, k, threshold), "dup-links")
+    if links.limit(1).count():
+        comp = components(spark, done.where("linked").select("a", "b").unionByName(links))
+    _spark.release(nodes, shared, met, degrees, wanted, found, led, done, members, links)
 
     classed = sig.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = classed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.count_distinct("node").alias("n_texts"))
@@ -317,19 +381,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), "node")
 
 
-def _right_texts(found: DataFrame) -> DataFrame:
-    """Only rows whose text is the node's (an id may repeat with other texts), one a node."""
-
-    def run(batches):
-        for batch in batches:
-            for s in tv.slices(batch.column(1)):
-                key, words = text_keys(s)
-                part = batch.slice(s.first, s.n)
-                yield part.filter(pa.array((part.column(0).to_numpy() == key) & (words > 0)))
-
-    return found.mapInArrow(_spark.tidy(run), found.schema)
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, **settings) -> DataFrame:
     """docs, all columns whatever their names, with one row of each group, that of its smallest id (null last).
 
