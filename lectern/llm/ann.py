@@ -24,7 +24,7 @@ Scores are cosines in double precision of the original vectors, computed row by
 row, so equal vectors score equally; ties go to the smaller id.  Vectors that
 are null, zero, of another length than most, or hold null or non-finite
 components take no part, as queries or candidates; nor do rows without an id.  An
-id's own rows are never its candidates; repeated query rows count once; repeated
+id's own rows are never its candidates; of several vectors of a query's id the least, byte by byte, asks; repeated
 candidate rows are candidates of their own.  Extra columns play no part, whatever
 their names.  Without vectors the result is empty.
 """
@@ -275,6 +275,8 @@ def nearest(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vec_col:
         return spark.createDataFrame([], schema)
     settings = {"branch": branch, "leaf": leaf}
     top = fit(_unit(np.frombuffer(b"".join(bytes(r.v) for r in got)).reshape(-1, dim)), **settings)
+    if top.n_leaves >= FAN:
+        raise ValueError("a tree of too many leaves")
     sent = spark.sparkContext.broadcast(top)
 
     def place(batches):
@@ -298,7 +300,7 @@ def nearest(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vec_col:
         _spark.release(placed)
         placed = new
 
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"])
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     share = recall ** (1 / (1 + len(levels)))
     quantile = lambda ranks: int(np.quantile(ranks, share, method="higher")) if len(ranks) else 1
     true = [(q, _ancestors(x)) for q, x in true_neighbours(placed, queries, dim, k, probes)]
