@@ -1,4 +1,4 @@
-"""Sharding, divergence and lexical search against brute force."""
+"""Sharding, divergence, lexical search and the cells of near duplicates against brute force; repeated ids."""
 
 import math
 import random
@@ -13,8 +13,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import divergence, lexical, sharding
+from lectern.llm import ann, divergence, lexical, near_dup, sharding
 from lectern.llm import textvec as tv
+from lectern.llm.sample import labelled_sample
 
 D = "/root/testdata/sf0.001"
 ODD = [None, "", " \n", "😀 One two", "The the THE and and", "x" * 5000, "a b c d", "a b c d", "a1b2 the é É ñ", "0 1 2", "one " * 30000]
@@ -234,3 +235,110 @@ def test_spelled_words_are_exact():
     s = next(tv.of_texts(["Ab c9\x00É.x", "", "Zz"]))
     w = tv.words(s, tv.ALNUM)
     assert tv.spelled(s, w, tv.ALNUM).to_pylist() == ["ab", "c9", "É", "x", "zz"] and w.doc.tolist() == [0, 0, 0, 0, 2]
+
+
+# near duplicates: cells of a bucket's grid, texts by fingerprint
+
+
+def sets_of(texts):
+    return [near_dup.weighted_shingles(next(tv.of_texts([t])))[:2] for t in texts]
+
+
+def passage_texts(n, seed):
+    """Short texts around one passage, none linked to another."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(30)]
+    own = lambda k: [f"q{rng.randrange(10**9)}" for _ in range(k)]
+    return [" ".join(own(8) + passage + own(8)) for _ in range(n)]
+
+
+def test_a_cell_verifies_what_its_bounds_leave():
+    texts = passage_texts(720, 1)
+    linked = texts + [x + " and one more" for x in texts[:20]]
+    cell = near_dup.Cell(list(range(740)), list(range(740)), [0] * 740, sets_of(linked))
+    links = cell.links(0.8)
+    assert sorted(tuple(sorted(x)) for x in links) == [(i, 720 + i) for i in range(20)] and cell.verified <= 40
+    same = near_dup.Cell(list(range(740)), [0] * 740, [0] * 740, sets_of(linked))
+    assert same.links(0.8) == [] and same.verified == 0
+
+
+def test_bounds_hold_and_are_exact_for_counts_of_one():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(6, 60))) for _ in range(60)] + passage_texts(20, 3)
+    sets = sets_of(texts)
+    cell = near_dup.Cell(list(range(80)), list(range(80)), [0] * 80, sets)
+    postings = np.argsort(cell.code, kind="stable")
+    start = np.searchsorted(cell.code[postings], np.arange(cell.code.max() + 2))
+    for x in range(80):
+        bounds = cell.bounds(x, postings, start)
+        for y in range(80):
+            true = near_dup.prob_jaccard(sets[x], sets[y])
+            assert bounds[y] >= true - 1e-9
+            if sets[x][1].max() == sets[y][1].max() == 1:
+                assert bounds[y] == pytest.approx(true)
+
+
+@pytest.mark.parametrize(("members", "shingles"), [(5, 10**6), (10**6, 400)])
+def test_grids_of_small_blocks_lose_no_link(spark, members, shingles):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        t = list(base) if not i else list(texts[rng.randrange(max(0, i - 6), i)])
+        for _ in range(rng.randrange(0, 4)):
+            t[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        texts.append(t)
+    texts = [" ".join(t) for t in texts] + passage_texts(60, 9)
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = sets_of(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and near_dup.prob_jaccard(sets[i], sets[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dup.near_duplicates(spark, df, block_members=members, block_shingles=shingles).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == [find(i) for i in range(len(texts))]
+
+
+def test_texts_of_null_ids_are_found_by_fingerprint(spark):
+    texts = passage_texts(200, 4)
+    rows = [(None, t + end) for t in texts for end in ("", " and one more")] + [(7, texts[0])] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(spark, df).collect()
+    assert Counter((r.class_size, r.n_texts) for r in got) == {(2, 2): 398, (52, 2): 52}
+    wanted = near_dup.signatures(df, ["doc_id"], "text", 5, 2, 2).groupBy("node").agg(F.min("doc_id").alias("id"))
+    found = near_dup._texts(df.withColumnRenamed("doc_id", "id"), wanted)
+    assert found.count() == 400 and found.select("text").distinct().count() == 400
+
+
+# samples and queries of repeated ids
+
+
+def test_one_row_of_each_id_is_sampled(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i} {j}") for i in range(40) for j in range(1 + 500 * (i == 3))] + [(5, None)], "doc_id long, text string")
+    got = labelled_sample(docs, labels, "quality", 4, 2, 1000).collect()
+    again = labelled_sample(docs.repartition(7), labels, "quality", 4, 2, 1000).collect()
+    assert len(got) == len({r.doc_id for r in got}) and sorted(map(str, got)) == sorted(map(str, again))
+    assert all(r.y == r.doc_id % 2 for r in got)
+
+
+def test_nearest_of_repeated_ids_is_the_same_in_any_order(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 60, rng.normal(size=6).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, other = (sorted(map(tuple, ann.nearest(spark, x, every=10).collect())) for x in (df, df.orderBy(F.rand(3)).repartition(9)))
+    assert one == other and len(one) == 30
+
+
+def test_a_top_tree_of_too_many_leaves_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FAN", 2)
+    df = spark.range(300).selectExpr("id AS vec_id", "array(cos(id), sin(id)) AS embedding")
+    with pytest.raises(ValueError, match="too many leaves"):
+        ann.nearest(spark, df)
