@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VIOLATION = ["instance", "rule", "field", "message"]
-_OUT = "array<struct<rule: string, field: string, message: string>>"
 _FIELD = {"required": "boolean", "pattern": "string", "enum": "string", "repeatable": "boolean", "attrs": "map<string,string>"}
 
-#: Each rule's fields with a violation, as an array of names over the arrays ``found`` and ``declared``.
-_RULES = {
-    "required": "transform(filter(declared, d -> d.required and not exists(found, f -> f.field = d.field and not f.blank)), d -> d.field)",
-    "pattern": "flatten(transform(filter(declared, d -> d.pattern is not null), d -> transform(filter(found, f -> f.field = d.field and not f.text rlike d.pattern), f -> f.field)))",
-    "enum": r"flatten(transform(filter(declared, d -> d.enum is not null), d -> transform(filter(found, f -> f.field = d.field and not array_contains(split(d.enum, '\\s+'), f.text)), f -> f.field)))",
-    "empty": "transform(filter(found, f -> f.blank), f -> f.field)",
-    "undeclared": "transform(filter(found, f -> not exists(declared, d -> d.field = f.field)), f -> f.field)",
-    "repeated": "transform(filter(declared, d -> not d.repeatable and size(filter(found, f -> f.field = d.field)) > 1), d -> d.field)",
-    "attribute": "flatten(transform(declared, d -> flatten(transform(map_entries(d.attrs), a -> transform(filter(found, f -> f.field = d.field and not f.attrs[a.key] rlike a.value), f -> concat(f.field, '@', a.key))))))",
+#: Rules that an element breaks by itself, against its field's declaration (d), as conditions on one joined row.
+_ELEMENT = {
+    "pattern": "d.pattern is not null and not text rlike d.pattern",
+    "enum": r"d.enum is not null and not array_contains(split(d.enum, '\\s+'), text)",
+    "empty": "lead and blank",
+    "undeclared": "d is null",
 }
-RULES = tuple(_RULES)
+#: Attributes that the declared regular expression doesn't find; most fields declare none, and are through with the first condition.
+_ATTRIBUTE = "if(size(d.attrs) > 0, transform(filter(map_entries(d.attrs), a -> not attrs[a.key] rlike a.value), a -> struct({no} as no, 'attribute' as rule, concat(field, '@', a.key) as field)), array())"
+#: Rules on all of an instance's elements of a field; arrays of fields.
+_INSTANCE = {"required": "array_except(must, filled)", "repeated": "if(size(single) > size(array_distinct(single)), array_distinct(filter(single, (x, i) -> array_position(single, x) <= i)), array())"}
+RULES = ("required", "pattern", "enum", "empty", "undeclared", "repeated", "attribute")
+_BROKEN = "array<struct<no: int, rule: string, field: string>>"
 
 
 def _filled(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -30,24 +31,38 @@ def _filled(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
 
 def checked(instances: DataFrame, found: DataFrame, fields: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """instances, all columns, with ``violations``: what the rules find in each, in the rules' order.
+    """instances, all columns, with ``violations``: what the rules find in each, in the rules' order, then by field.
 
     instances(instance, type, ...), a row an instance; found(instance, field, text, attrs), a row an element;
     fields(type, field, required, pattern, enum, repeatable, attrs); columns left out don't restrict. A field's text
     must be found by its pattern (unanchored); an attribute that stands must match the one declared. Instances of
-    types without fields have only undeclared ones. The elements of one instance meet in one row.
+    types without fields have only undeclared ones. Of a field that a type declares several times each declaration
+    holds, and it is repeatable if all say so.
+
+    Each element meets its field's declaration in a plain row, so its rules are generated code; only what they find,
+    and the names of its fields, are gathered for an instance. Texts are never gathered.
     """
-    blank = F.coalesce("text", F.lit("")).rlike(r"^\s*$").alias("blank")
-    some = _filled(found, {"text": "string", "attrs": "map<string,string>"})
-    some = some.groupBy("instance").agg(F.collect_list(F.struct("field", F.coalesce("text", F.lit("")).alias("text"), blank, "attrs")).alias("found"))
+    some = _filled(found, {"text": "string", "attrs": "map<string,string>"}).select("instance", "field", F.coalesce("text", F.lit("")).alias("text"), "attrs")
     repeatable = F.coalesce("repeatable", F.lit("repeatable" not in fields.columns)).alias("repeatable")
-    attrs = F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")
-    declared = _filled(fields, _FIELD).groupBy("type").agg(F.collect_list(F.struct("field", F.coalesce("required", F.lit(False)).alias("required"), "pattern", "enum", repeatable, attrs)).alias("declared"))
-    rows = instances.join(some, "instance", "left").join(declared, "type", "left")
-    for c in ("found", "declared"):
-        rows = rows.withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
-    each = [F.expr(f"transform({_RULES[r]}, x -> struct('{r}' as rule, x as field, concat(x, ': {r}') as message))").cast(_OUT) for r in rules]
-    return rows.select(*instances.columns, F.concat(*each).alias("violations"))
+    of_field = Window.partitionBy("type", "field")
+    declared = _filled(fields, _FIELD).select("type", "field", F.coalesce("required", F.lit(False)).alias("required"), "pattern", "enum", repeatable, F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"))
+    must = declared.where("required").groupBy("type").agg(F.collect_set("field").alias("must"))
+    once = F.bool_and("repeatable").over(of_field)
+    declared = declared.select("type", "field", F.struct("pattern", "enum", "attrs", (~once).alias("once")).alias("d"), (F.row_number().over(of_field.orderBy("pattern", "enum")) == 1).alias("lead"))
+
+    rows = instances.select("instance", "type", F.struct(*instances.columns).alias("own")).join(some, "instance", "left").join(declared, ["type", "field"], "left")
+    rows = rows.withColumns({"lead": F.coalesce("lead", F.lit(True)), "blank": F.expr(r"text rlike '^\\s*$'")})
+    number = {r: i for i, r in enumerate(RULES)}
+    own = [F.expr(f"if({_ELEMENT[r]}, array(struct({number[r]} as no, '{r}' as rule, field)), array())").cast(_BROKEN) for r in rules if r in _ELEMENT]
+    own += [F.expr(_ATTRIBUTE.format(no=number["attribute"])).cast(_BROKEN)] * ("attribute" in rules)
+    broken = F.when(F.col("field").isNotNull(), F.concat(*own)) if own else F.lit(None).cast(_BROKEN)
+    out = rows.groupBy("instance").agg(
+        F.any_value("own").alias("own"), F.any_value("type").alias("type"), F.flatten(F.collect_list(broken)).alias("broken"), F.collect_set(F.when(~F.col("blank"), F.col("field"))).alias("filled"), F.collect_list(F.when(F.expr("lead and d.once"), F.col("field"))).alias("single")
+    )
+    out = out.join(must, "type", "left").withColumn("must", F.coalesce("must", F.array().cast("array<string>")))
+    whole = [F.expr(f"transform({_INSTANCE[r]}, x -> struct({number[r]} as no, '{r}' as rule, x as field))").cast(_BROKEN) for r in rules if r in _INSTANCE]
+    all_ = F.array_sort(F.concat("broken", *whole))
+    return out.select(*[F.col("own")[c].alias(c) for c in instances.columns], F.transform(all_, lambda v: F.struct(v["rule"].alias("rule"), v["field"].alias("field"), F.concat(v["field"], F.lit(": "), v["rule"]).alias("message"))).alias("violations"))
 
 
 def violations(instances: DataFrame, found: DataFrame, fields: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
