@@ -256,6 +256,11 @@ hash_imports_of = _column(hash_imports, "start: int, end: int, quote: string, lo
 blocks_of = _column(blocks, "idx: int, type: string, id: string, start: int, source: string")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def literals_of(s: pd.Series) -> pd.Series:
+    return s.map(literals)
+
+
 @F.pandas_udf(T.StringType())
 def trouble_of(s: pd.Series) -> pd.Series:
     return s.map(trouble)

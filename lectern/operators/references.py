@@ -2,64 +2,64 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions import script
 from lectern.functions import text as t
 from lectern.operators import graph, rewrite
 from lectern.operators import selectors as sel
 from lectern.sources import html
+from lectern.sources.store import session_store
+from lectern.storage import stored
 
-#: A literal that holds markup of its own, and one that names a file beside the document.
-_MARKUP, _FILE = re.compile(r"<(?:script|link)[\s>]"), re.compile(r"[\w.-]+\.(?:css|js|html)")
+#: A literal that holds markup of its own, and one that names a file beside the document.
+MARKUP, FILE = r"<(?:script|link)[\s>]", r"^[\w.-]+\.(?:css|js|html)$"
 #: Markup in literals in markup in literals: nothing written by hand goes deeper.
 NESTED = 8
 
 
-def references(source: str | None, depth: int = 0) -> list[str]:
-    """References of a document, each once, in order: stylesheets, types that its elements conform to, script files, and
-    of inline scripts the modules they import and literals that name a file; of literals that hold scripts or links of
-    their own, the same again. Links of anchors are none, and templates aren't looked into.
+def named(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """path, ref of everything that nodes name: stylesheets, types that elements conform to, script files, and of inline
+    scripts the modules they import and literals that name a file; and path, literal of literals that hold scripts or
+    links of their own. Links of anchors are none, and templates aren't looked into."""
+    code = nodes.where(sel.inline_script()).select("path", F.coalesce("content", F.lit("")).alias("code"))
+    literals = code.select("path", F.explode(script.literals_of("code")).alias("literal"))
+    refs = [
+        nodes.where(sel.stylesheet()).select("path", sel.attr("href").alias("ref")), nodes.where(sel.conforming()).select("path", sel.attr("data-conforms-to").alias("ref")),
+        nodes.where(sel.script_with_src()).select("path", sel.attr("src").alias("ref")), code.select("path", F.explode(script.imports_of("code")["spec"]).alias("ref")),
+        literals.where(F.col("literal").rlike(FILE)).select("path", F.col("literal").alias("ref")),
+    ]
+    return reduce(DataFrame.unionByName, refs), literals.where(F.col("literal").rlike(MARKUP)).distinct()
+
+
+def references(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """path, ref of all references of documents, those of markup in their literals included, each once.
+
+    The nodes are read once for all kinds; literals with markup are parsed to nodes, which are asked the same, round by
+    round until no literal holds any, NESTED deep at most.
     """
-    found: dict[str, None] = {}
-    rows = html.parse(source, whole=True)
-    inside: dict[int, list[str]] = {}
-    for r in rows:
-        if r[4] == "text" and r[1] is not None:
-            inside.setdefault(r[1], []).append(r[7])
-    elements = [r for r in rows if r[4] == "element" and r[9] is None]
-    found.update((r[6]["href"], None) for r in elements if r[5] == "link" and r[6].get("rel") == "stylesheet" and "href" in r[6])
-    found.update((r[6]["data-conforms-to"], None) for r in elements if "data-conforms-to" in r[6])
-    found.update((r[6]["src"], None) for r in elements if r[5] == "script" and "src" in r[6])
-    for r in elements:
-        if r[5] == "script" and "src" not in r[6]:
-            code = "".join(inside.get(r[0], []))
-            found.update((i["spec"], None) for i in script.imports(code))
-            for x in script.literals(code):
-                if _MARKUP.search(x) and depth < NESTED:
-                    found.update((y, None) for y in references(x, depth + 1))
-                elif _FILE.fullmatch(x):
-                    found[x] = None
-    return list(found)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def references_of(s: pd.Series) -> pd.Series:
-    return s.map(references)
-
-
-def local_references(files: DataFrame) -> DataFrame:
-    """src, dst: the files that each HTML document needs.
+    refs, literals = named(nodes)
+    for _ in range(NESTED):
+        literals = stored(spark, literals, "literals")
+        if not literals.limit(1).count():
+            break
+        more, deeper = named(html.nodes(literals, "path", "literal", whole=True))
+        refs, literals = refs.unionByName(more), deeper
+    return refs.distinct()
+
+
+def local_references(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """src, dst: the files that each HTML document needs; nodes of files, if they are at hand.
 
     A reference loses what follows its first #; what is left is looked for beside the document, then at the root by its
     name alone; what is no file in either place is dropped.
     """
-    raw = files.where(F.col("path").endswith(".html")).select("path", F.explode(references_of("content")).alias("ref"))
+    spark = files.sparkSession
+    nodes = session_store(spark).nodes(files) if nodes is None else nodes
+    raw = references(spark, nodes.where(F.col("path").endswith(".html")))
     target = F.substring_index("ref", "#", 1)
     asked = raw.select("path", target.alias("target")).where("target <> ''").distinct()
     asked = asked.select("path", t.resolve("path", "target").alias("beside"), t.basename(F.regexp_replace("target", "/+$", "")).alias("at_root"), F.col("target").startswith("/").alias("rooted"))

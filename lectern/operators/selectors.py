@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,10 +92,22 @@ def first(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_descendant(nodes: DataFrame, of: DataFrame, tag: str) -> DataFrame:
-    """of(path, node_id, last_id) with ``found``, the first element of the tag strictly inside, or null; any letter case."""
-    inner = nodes.where((F.col("kind") == "element") & (F.lower("tag") == tag.lower())).select("path", F.col("node_id").alias("n"))
-    met = of.join(inner, (of["path"] == inner["path"]) & (inner["n"] > of["node_id"]) & (inner["n"] <= of["last_id"])).groupBy(of["path"], of["node_id"]).agg(F.min("n").alias("found"))
-    return of.join(met, ["path", "node_id"], "left")
+    """of(path, node_id, last_id), all columns, with ``found``, the first element of the tag strictly inside, or null; any letter case.
+
+    One sweep over each document from its end: the element of the tag that was met last is the first one after a place,
+    and lies inside if it is no later than the place's last node. No pair of nodes is formed.
+    """
+    inner = nodes.where((F.col("kind") == "element") & (F.lower("tag") == tag.lower())).select("path", F.col("node_id").alias("at"), F.col("node_id").alias("n"), F.lit(1).alias("role"))
+    asked = of.select("path", F.col("node_id").alias("at"), F.lit(None).cast("int").alias("n"), F.lit(0).alias("role"), F.struct(*of.columns).alias("own"))
+    before = Window.partitionBy("path").orderBy(F.desc("at"), "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = asked.unionByName(inner, allowMissingColumns=True).withColumn("next", F.last("n", ignorenulls=True).over(before)).where("role = 0")
+    return swept.select("own.*", F.when(F.col("next") <= F.col("own.last_id"), F.col("next")).alias("found"))
+
+
+def by_id(nodes: DataFrame) -> DataFrame:
+    """path, id, node_id, tag, content of the element that each id of a document names: the first of any tag, outside templates."""
+    rows = nodes.where(visible() & (attr("id") != "")).select("path", attr("id").alias("id"), "node_id", "tag", "content")
+    return first(rows, "path", "id")
 
 
 def is_html_path(path: Column | str) -> Column:

@@ -244,6 +244,20 @@ def local_refs(spark, d):
     return references.local_references(made.files(spark, d))
 
 
+@_query(f"SELECT {PATH} AS path, CAST({made.BALANCE} AS VARCHAR) AS balance, 'customer-doc' AS within FROM customer")
+def first_descendant(spark, d):
+    """Of each customer's body the first account-balance inside, and of it the document that it stands in."""
+    nodes = _nodes(spark, d).where("path like 'customers/%'")
+    found = sel.first_descendant(nodes, nodes.where("tag = 'body'").select("path", "node_id", "last_id"), "ACCOUNT-BALANCE")
+    outer = sel.first_descendant(nodes, nodes.where("tag = 'body'").select("path", "node_id", "last_id"), "customer-doc").join(nodes.select("path", F.col("node_id").alias("found"), F.col("tag").alias("within")), ["path", "found"]).select("path", "within")
+    return found.join(nodes.select("path", F.col("node_id").alias("found"), F.col("content").alias("balance")), ["path", "found"]).join(outer, "path").select("path", "balance", "within")
+
+
+@_query(f"SELECT {made.SUPPLIER_PATH} AS path, id, 'script' AS tag FROM (SELECT s_suppkey, unnest([concat('s', s_suppkey), 'other']) AS id FROM supplier)")
+def element_by_id(spark, d):
+    return sel.by_id(_nodes(spark, d).where("path like 'suppliers/%'")).select("path", "id", "tag")
+
+
 SEED = f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES}), c(path) AS (SELECT path FROM {made.FILES_SQL} WHERE path IN ('theme.css', 'templates/customer.template.html') OR path LIKE 'nations/%.html' OR path LIKE 'commands/%.html' UNION SELECT e.dst FROM c JOIN e ON e.src = c.path) SELECT path FROM c"""
 
 

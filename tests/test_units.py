@@ -1,4 +1,5 @@
 import posixpath
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -120,12 +121,59 @@ def test_scripts():
     assert [(b["type"], b["id"], b["source"]) for b in found] == [("x", "y", "1"), ("", "", ""), ("", "", "3")]
 
 
-def test_references():
+def refs_of(spark, source):
+    nodes = corpus.nodes(spark.createDataFrame([("a.html", source)], "path string, content string"))
+    return sorted(r.ref for r in references.references(spark, nodes).collect())
+
+
+def test_references(spark):
     inner = r"""<link rel=stylesheet href=in.css><script src="in.js"><\/script>"""
     source = f"""<link rel="stylesheet" href="a.css"><link rel="icon" href="b.ico"><a href="c.html">c</a><img src="d.png"><p data-conforms-to="t.html#x"></p>
       <template><link rel="stylesheet" href="no.css"></template><script src="e.js"></script><script>import f from "./f.js"; const g = ['g.css', './h.css', "i.html", 'j', `{inner}`]</script>"""
-    assert references.references(source) == ["a.css", "t.html#x", "e.js", "./f.js", "g.css", "i.html", "in.css", "in.js"]
-    assert references.references(None) == []
+    want = ["a.css", "t.html#x", "e.js", "./f.js", "g.css", "i.html", "in.css", "in.js"]
+    assert refs_of(spark, source) == sorted(want)
+    assert refs_of(spark, None) == []
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("</", "<\\/") + "'"
+    markup = "<link rel=stylesheet href=end.css>"
+    for i in range(4):
+        markup = f"<script src=l{i}.js></script><script>x = {quoted(markup)}</script>"
+    assert refs_of(spark, markup) == ["end.css", "l0.js", "l1.js", "l2.js", "l3.js"]
+
+
+def tree_nodes(spark, sizes):
+    """Nodes of random trees: path, node_id, last_id, tag."""
+    rng, rows = random.Random(3), []
+    for p, n in enumerate(sizes):
+        depth, up = [0], []
+        for _ in range(1, n):
+            depth.append(rng.randint(1, depth[-1] + 1))
+        last = list(range(n))
+        for i in range(n):
+            while up and depth[up[-1]] >= depth[i]:
+                up.pop()
+            up.append(i)
+            for x in up:
+                last[x] = i
+        rows += [(f"p{p}", i, last[i], rng.choice("abcde"), "element") for i in range(n)]
+    return rows, spark.createDataFrame(rows, "path string, node_id int, last_id int, tag string, kind string")
+
+
+def test_first_descendants_like_a_search(spark):
+    rows, nodes = tree_nodes(spark, [1, 40, 90])
+    got = {(r.path, r.node_id): r.found for r in sel.first_descendant(nodes, nodes.select("path", "node_id", "last_id"), "B").collect()}
+    assert got == {(p, i): next((n for q, n, _, t, _ in rows if q == p and t == "b" and i < n <= last), None) for p, i, last, _, _ in rows}
+
+
+def test_first_descendants_of_one_large_document(spark):
+    nodes = spark.range(100_000).selectExpr("'p' AS path", "cast(id AS int) AS node_id", "99999 AS last_id", "if(id % 1000 = 7, 'b', 'a') AS tag", "'element' AS kind")
+    found = sel.first_descendant(nodes, nodes.select("path", "node_id", "last_id"), "b")
+    assert found.where("found > node_id").count() == 99_007 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_elements_by_id(spark):
+    source = '<p id="x">1</p><script id="x">2</script><template><i id="y"></i></template><b id="">3</b><script id="y">4</script>'
+    nodes = corpus.nodes(spark.createDataFrame([("a.html", source)], "path string, content string"))
+    assert sorted((r.id, r.tag) for r in sel.by_id(nodes).collect()) == [("x", "p"), ("y", "script")]
 
 
 def test_resolution_and_closure(spark):
