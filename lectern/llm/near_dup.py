@@ -54,6 +54,8 @@ from . import textvec as tv
 from .graph import components
 
 K, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
+#: Documents whose arrivals, some 1,200 each however short the text, are held at once.
+SIGNED_AT_ONCE = 256
 #: Members, and shingles, of a block of a bucket's grid, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
 _LOW48 = tv.U64((1 << 48) - 1)
@@ -176,7 +178,12 @@ def signatures(df: DataFrame, ids: list[str], text: str, k: int, bands: int, row
 
     def run(s: tv.Slice) -> dict:
         el, count, offs, key, words = weighted_shingles(s, k)
-        b = bands_of(prob_min_hash(el, count.astype(float), offs, bands * rows), bands, rows)
+        weight, parts = count.astype(float), []
+        for i in range(0, s.n, SIGNED_AT_ONCE):
+            own = offs[i : i + SIGNED_AT_ONCE + 1]
+            some = slice(own[0], own[-1])
+            parts.append(bands_of(prob_min_hash(el[some], weight[some], own - own[0], bands * rows), bands, rows))
+        b = np.concatenate(parts)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * bands), pa.array(b.reshape(-1).view(np.int64)))
         return {"node": pa.array(key.view(np.int64), mask=words == 0), "bands": lists}
 
