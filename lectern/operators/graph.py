@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def without_cause(outcomes: DataFrame, edges: DataFrame) -> DataFrame:
     return outcomes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
+def hollow(rows: DataFrame) -> DataFrame:
+    """action of rows(action, has) that has nothing: no row of it says so."""
+    return rows.groupBy("action").agg(F.bool_or("has").alias("some")).where("not coalesce(some, false)").select("action")
+
+
 def closure(spark: SparkSession, roots: DataFrame, edges: DataFrame) -> DataFrame:
     """node of everything reachable from roots(node) over edges(src, dst); cycles are no problem.
 
@@ -32,10 +39,11 @@ def closure(spark: SparkSession, roots: DataFrame, edges: DataFrame) -> DataFram
     """
     edges = stored(spark, edges.select("src", "dst"), "closure-edges")
     frontier = stored(spark, roots.select("node").distinct(), "closure")
-    seen = frontier
+    rounds = [frontier]
     while frontier.limit(1).count():
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = stored(spark, reached.join(seen, "node", "left_anti"), "closure")
-        seen = seen.unionByName(frontier)
-    release(edges)
+        frontier = stored(spark, reached.join(reduce(DataFrame.unionByName, rounds), "node", "left_anti"), "closure")
+        rounds.append(frontier)
+    seen = stored(spark, reduce(DataFrame.unionByName, rounds), "closed")
+    release(edges, *rounds)
     return seen

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern import registry
+from lectern import registry, tables
 from lectern.functions import script
 from lectern.functions import text as t
-from lectern.operators import graph, overlay, validate
+from lectern.operators import graph, overlay, prose, validate
 from lectern.sources import html
 from lectern.sources.files import ignored, visible
 
@@ -72,16 +72,30 @@ def link_parts(spark, d):
     return _read(spark, d, "pages").select("url", t.link_target("url").alias("target"), t.link_fragment("url").alias("fragment"))
 
 
-@_query("SELECT * FROM (VALUES ('a/./b','a/b'),('a/../b','b'),('../x','../x'),('a/b/../../..','..'),('','.'),('/a//b/','/a/b'),('/../x','/x')) v(path, normal)")
+def _made(spark, d, table: str, *columns: str) -> DataFrame:
+    """Expressions over a table that Spark and the oracle read alike."""
+    return _read(spark, d, table).selectExpr(*columns)
+
+
+#: A path of each customer, and its normal form, by the remainder of the key.
+RAW = "CASE c_custkey % 7 WHEN 0 THEN concat('a/./b', c_custkey) WHEN 1 THEN concat('a', c_custkey, '/../b') WHEN 2 THEN concat('../x', c_custkey) WHEN 3 THEN concat('a/b', c_custkey, '/../../..') WHEN 4 THEN '' WHEN 5 THEN concat('/a', c_custkey, '//b/') ELSE concat('/../x', c_custkey) END"
+NORMAL = "CASE c_custkey % 7 WHEN 0 THEN concat('a/b', c_custkey) WHEN 1 THEN 'b' WHEN 2 THEN concat('../x', c_custkey) WHEN 3 THEN '..' WHEN 4 THEN '.' WHEN 5 THEN concat('/a', c_custkey, '/b') ELSE concat('/x', c_custkey) END"
+
+
+@_query(f"SELECT {RAW} AS path, {NORMAL} AS normal FROM customer")
 def path_normalize(spark, d):
-    rows = spark.createDataFrame([("a/./b",), ("a/../b",), ("../x",), ("a/b/../../..",), ("",), ("/a//b/",), ("/../x",)], "path string")
-    return rows.select("path", t.path_normalize("path").alias("normal"))
+    return _made(spark, d, "customer", f"{RAW} AS path").select("path", t.path_normalize("path").alias("normal"))
 
 
-@_query("SELECT * FROM (VALUES ('a/b.html','a/c.html','./c.html'),('a/b.html','c.html','../c.html'),('b.html','x/c.html','./x/c.html'),('a/b/c.html','a/d/e.html','../d/e.html')) v(src, dst, href)")
+#: Two documents of each customer, and the link from one to the other.
+SRC = "CASE c_custkey % 4 WHEN 0 THEN concat('a/', c_custkey, '.html') WHEN 1 THEN concat('a/', c_custkey, '.html') WHEN 2 THEN 'b.html' ELSE concat('a/b/', c_custkey, '.html') END"
+DST = "CASE c_custkey % 4 WHEN 0 THEN concat('a/c', c_nationkey, '.html') WHEN 1 THEN concat('c', c_nationkey, '.html') WHEN 2 THEN concat('x/c', c_nationkey, '.html') ELSE concat('a/d/e', c_nationkey, '.html') END"
+HREF = "CASE c_custkey % 4 WHEN 0 THEN concat('./c', c_nationkey, '.html') WHEN 1 THEN concat('../c', c_nationkey, '.html') WHEN 2 THEN concat('./x/c', c_nationkey, '.html') ELSE concat('../d/e', c_nationkey, '.html') END"
+
+
+@_query(f"SELECT {SRC} AS src, {DST} AS dst, {HREF} AS href FROM customer")
 def rel_href(spark, d):
-    rows = spark.createDataFrame([("a/b.html", "a/c.html"), ("a/b.html", "c.html"), ("b.html", "x/c.html"), ("a/b/c.html", "a/d/e.html")], "src string, dst string")
-    return rows.select("src", "dst", t.rel_href("src", "dst").alias("href"))
+    return _made(spark, d, "customer", f"{SRC} AS src", f"{DST} AS dst").select("src", "dst", t.rel_href("src", "dst").alias("href"))
 
 
 KNOWN = f"(SELECT DISTINCT href AS node FROM {LINKS} WHERE length(href) % 2 = 0)"
@@ -122,22 +136,18 @@ def script_totals(spark, d):
     return _scripts(spark, d).agg(F.count("*").alias("blocks"), F.count_distinct("page_id").alias("documents"))
 
 
-PATHS = ["a.html", ".x/a.html", "n/node_modules/b.html", "n/b.html", "_u.html", "build/z.html", "c.htm", "a/.b", "x/tmp1.html"]
-PATHS_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") v(path)"
-
-
-def _paths(spark) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATHS], "path string")
+#: A path of each part, by the remainder of its key.
+PART = "CASE p_partkey % 9 WHEN 0 THEN concat('a', p_partkey, '.html') WHEN 1 THEN concat('.x/a', p_partkey, '.html') WHEN 2 THEN concat('n/node_modules/b', p_partkey, '.html') WHEN 3 THEN concat('n/b', p_partkey, '.html') WHEN 4 THEN concat('_u', p_partkey, '.html') WHEN 5 THEN concat('build/z', p_partkey, '.html') WHEN 6 THEN concat('c', p_partkey, '.htm') WHEN 7 THEN concat('a/.b', p_partkey) ELSE concat('x', p_partkey, '/tmp1.html') END"
 
 
-@_query(f"SELECT path FROM {PATHS_SQL} WHERE path NOT IN ('.x/a.html', 'n/node_modules/b.html', 'a/.b')")
+@_query(f"SELECT {PART} AS path FROM part WHERE p_partkey % 9 NOT IN (1, 2, 7)")
 def walk_filter(spark, d):
-    return _paths(spark).where(visible("path"))
+    return _made(spark, d, "part", f"{PART} AS path").where(visible("path"))
 
 
-@_query(f"SELECT path FROM {PATHS_SQL} WHERE path NOT IN ('build/z.html', 'x/tmp1.html')")
+@_query(f"SELECT {PART} AS path FROM part WHERE p_partkey % 9 NOT IN (5, 8)")
 def ignore_filter(spark, d):
-    return _paths(spark).where(~ignored("path", ["# note", "/build/", "tmp?.html"]))
+    return _made(spark, d, "part", f"{PART} AS path").where(~ignored("path", ["# note", "/build/", "tmp?.html"]))
 
 
 @_query("SELECT page_id FROM pages WHERE split_part(url, '#', 1) LIKE '%.html'")
@@ -236,8 +246,19 @@ def dangling_outcome(spark, d):
 
 @_query("SELECT l_orderkey AS action FROM lineitem GROUP BY l_orderkey HAVING NOT bool_or(l_returnflag = 'R' OR l_discount > 0.08)")
 def hollow_action(spark, d):
-    some = F.bool_or((F.col("l_returnflag") == "R") | (F.col("l_discount") > 0.08))
-    return _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("action")).agg(some.alias("some")).where("not some").select("action")
+    return graph.hollow(_actions(spark, d))
+
+
+@_query("SELECT l_orderkey AS action, 'hollow' AS violation FROM lineitem GROUP BY l_orderkey HAVING NOT bool_or(l_returnflag = 'R' OR l_discount > 0.08)")
+def audit_table(spark, d):
+    """The same audit as a table function of SQL."""
+    known = registry.Registry()
+    tables.register(spark, known, "hollow-action", tables.Hollow, lambda t: t["actions"], "action")
+    return tables.audited(spark, "hollow-action", _actions(spark, d), "action")
+
+
+def _actions(spark, d) -> DataFrame:
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("action"), ((F.col("l_returnflag") == "R") | (F.col("l_discount") > 0.08)).alias("has"))
 
 
 @_query("""WITH RECURSIVE e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 's1', 'r0' UNION ALL SELECT 's2', 'r1'),
@@ -255,10 +276,14 @@ def first_sentence(spark, d):
     return _read(spark, d, "documents").select("doc_id", t.first_sentence("text").alias("s"))
 
 
-@_query(r"""SELECT * FROM (VALUES (1, 'a' || chr(10) || chr(10) || 'b'), (2, chr(10)), (3, chr(10) || chr(10)), (4, chr(10) || ' ' || chr(10))) v(i, s)""")
+#: Texts of white space, and of more, whether they stand in a pre, and what becomes of them.
+GAP = "repeat(chr(10), CAST(o_orderkey % 4 AS INTEGER))"
+
+
+@_query(f"SELECT o_orderkey AS i, CASE o_orderkey % 3 WHEN 0 THEN concat('a', {GAP}, 'b') WHEN 1 THEN {GAP} ELSE CASE WHEN o_orderkey % 4 > 1 THEN concat(chr(10), ' ', chr(10)) ELSE concat({GAP}, ' ', {GAP}) END END AS s FROM orders")
 def ws_collapse(spark, d):
-    rows = spark.createDataFrame([(1, "a\n\nb", False), (2, "\n\n\n", False), (3, "\n\n", True), (4, "\n\n \n\n", False)], "i int, s string, pre boolean")
-    return rows.select("i", t.ws_collapse("s", F.col("pre")).alias("s"))
+    text = f"CASE o_orderkey % 3 WHEN 0 THEN concat('a', {GAP}, 'b') WHEN 1 THEN {GAP} ELSE concat({GAP}, ' ', {GAP}) END"
+    return _made(spark, d, "orders", "o_orderkey AS i", f"{text} AS s", "o_orderkey % 3 = 1 AS pre").select("i", t.ws_collapse("s", F.col("pre")).alias("s"))
 
 
 @_query(r"SELECT page_id, replace(source, '</p', '<\/p') AS source FROM " + SCRIPTS)
@@ -271,16 +296,24 @@ def host_purpose(spark, d):
     return _read(spark, d, "documents").select("doc_id", t.squeeze("text").alias("purpose"))
 
 
-@_query("SELECT * FROM (VALUES (1, ' one '), (2, 'Does it.' || chr(10) || chr(10) || 'More.'), (3, 'x')) v(i, s)".replace("' one '", "' one'"))
+#: A comment of each supplier, and its text.
+NOTE = "CASE s_suppkey % 3 WHEN 0 THEN concat('/* ', s_name, ' */') WHEN 1 THEN concat('/**', chr(10), ' * ', s_name, '.', chr(10), ' *', chr(10), ' *', chr(9), 'More.  ', chr(10), ' */') ELSE concat('/*', chr(10), s_name, chr(10), '*/') END"
+NOTED = "CASE s_suppkey % 3 WHEN 0 THEN concat(' ', s_name) WHEN 1 THEN concat(s_name, '.', chr(10), chr(10), 'More.') ELSE s_name END"
+
+
+@_query(f"SELECT s_suppkey AS i, {NOTED} AS s FROM supplier")
 def format_comment(spark, d):
-    rows = spark.createDataFrame([(1, "/* one */"), (2, "/**\n * Does it.\n *\n * More.\n */"), (3, "/*\nx\n*/")], "i int, s string")
-    return rows.select("i", t.format_comment("s").alias("s"))
+    return _made(spark, d, "supplier", "s_suppkey AS i", f"{NOTE} AS s").select("i", t.format_comment("s").alias("s"))
+
+
+#: The words of a command line for each order, and what they come to.
+LINE = "CASE o_orderkey % 9 WHEN 0 THEN array('--a') WHEN 1 THEN array('--a', o_orderstatus) WHEN 2 THEN array('--a', '--b') WHEN 3 THEN array('--a', 'x', '--a', o_orderstatus) WHEN 4 THEN array('-h') WHEN 5 THEN array(concat('--k=', o_orderkey)) WHEN 6 THEN array('--_', 'v', o_orderstatus) WHEN 7 THEN array(o_orderstatus, '-5', '--') ELSE array() END"
 
 
-@_query("""SELECT * FROM (VALUES (1, '', 'a=true'), (2, '', 'a=b'), (3, '', 'a=true;b=true'), (4, '', 'a=x,y'), (5, '-h', ''), (6, '', 'k=v=true'), (7, 'v w', ''), (8, 'p -5', '=true'), (9, '', '')) v(i, pos, flags)""")
+@_query("""SELECT o_orderkey AS i, CASE o_orderkey % 9 WHEN 4 THEN '-h' WHEN 6 THEN concat('v ', o_orderstatus) WHEN 7 THEN concat(o_orderstatus, ' -5') ELSE '' END AS pos,
+  CASE o_orderkey % 9 WHEN 0 THEN 'a=true' WHEN 1 THEN concat('a=', o_orderstatus) WHEN 2 THEN 'a=true;b=true' WHEN 3 THEN concat('a=x,', o_orderstatus) WHEN 5 THEN concat('k=', o_orderkey, '=true') WHEN 7 THEN '=true' ELSE '' END AS flags FROM orders""")
 def parse_args(spark, d):
-    argv = [(1, ["--a"]), (2, ["--a", "b"]), (3, ["--a", "--b"]), (4, ["--a", "x", "--a", "y"]), (5, ["-h"]), (6, ["--k=v"]), (7, ["--_", "v", "w"]), (8, ["p", "-5", "--"]), (9, [])]
-    rows = spark.createDataFrame(argv, "i int, argv array<string>").select("i", t.parse_args("argv").alias("a"))
+    rows = _made(spark, d, "orders", "o_orderkey AS i", f"{LINE} AS argv").select("i", t.parse_args("argv").alias("a"))
     flags = F.array_join(F.transform("a.flags", lambda f: F.concat(f["k"], F.lit("="), F.array_join(f["v"], ","))), ";")
     return rows.select("i", F.array_join("a.pos", " ").alias("pos"), flags.alias("flags"))
 
@@ -312,10 +345,13 @@ def commit_diff(spark, d):
     return overlay.commit_diff(_store(spark, d)[1])
 
 
-@_query("SELECT * FROM (VALUES ('plan-doc plan-task', 'plan-*'), ('plan-doc', 'plan-doc'), ('plan-doc spec', 'plan-doc spec'), ('a-b a-b', 'a-*')) v(touches, shown)")
+#: What each nation's audit touches, and how that is shown.
+TOUCHES = "CASE n_nationkey % 4 WHEN 0 THEN concat('n', n_nationkey, '-doc n', n_nationkey, '-task') WHEN 1 THEN concat('n', n_nationkey, '-doc') WHEN 2 THEN concat('n', n_nationkey, '-doc spec') ELSE concat('a', n_nationkey, '-b a', n_nationkey, '-b') END"
+
+
+@_query(f"SELECT {TOUCHES} AS touches, CASE n_nationkey % 4 WHEN 0 THEN concat('n', n_nationkey, '-*') WHEN 3 THEN concat('a', n_nationkey, '-*') ELSE {TOUCHES} END AS shown FROM nation")
 def touches_collapse(spark, d):
-    rows = spark.createDataFrame([("plan-doc plan-task",), ("plan-doc",), ("plan-doc spec",), ("a-b a-b",)], "touches string")
-    return rows.select("touches", t.touches_collapse("touches").alias("shown"))
+    return _made(spark, d, "nation", f"{TOUCHES} AS touches").select("touches", t.touches_collapse("touches").alias("shown"))
 
 
 @_query(r"SELECT doc_id, rule FROM documents JOIN (VALUES ('shout', '[A-Z]{4,}!!'), ('symbols', '[#$%&*]{3}'), ('double', '\b(the the|and and)\b')) r(rule, p) ON regexp_matches(text, p)")
@@ -326,6 +362,23 @@ def prose_rules(spark, d):
     return registry.prose(_read(spark, d, "documents"), "doc_id", "text", known.rules)
 
 
+PROSE = [prose.Rule("shout", "[A-Z]{4,}!!", ("!!",)), prose.Rule("symbols", "[#$%&*]{3}"), prose.Rule("double", "(the the|and and) ", ("the the", "and and"))]
+PROSE_SQL = ", ".join(f"('{r.name}', '{r.pattern}')" for r in PROSE)
+
+
+@_query(f"""SELECT doc_id, unit, rule, len(regexp_extract_all(s, p)) AS n FROM (SELECT doc_id, unnest(u) AS s, generate_subscripts(u, 1) - 1 AS unit FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS u FROM documents))
+  JOIN (VALUES {PROSE_SQL}) r(rule, p) ON regexp_matches(s, p)""")
+def prose_sentences(spark, d):
+    found = prose.findings(_read(spark, d, "documents"), "doc_id", "text", PROSE)
+    return found.groupBy("doc_id", F.col("unit").cast("long").alias("unit"), "rule").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT page_id, 'ad' AS rule, len(regexp_extract_all(html, '<!-- ad [0-9]+ -->')) AS n FROM pages WHERE regexp_matches(html, '<!-- ad [0-9]+ -->')")
+def prose_comments(spark, d):
+    notes = html.nodes(_read(spark, d, "pages"), "page_id", "html", columns=["kind", "text"]).where("kind = 'comment'")
+    return prose.findings(notes, "page_id", "text", [prose.Rule("ad", "ad [0-9]+", ("ad ",))], "text").groupBy("page_id", "rule").agg(F.count("*").alias("n"))
+
+
 # ---- over parsed pages ----
 
 
@@ -335,13 +388,18 @@ def parsed_links(spark, d):
     return nodes.where("map_contains_key(attrs, 'href')").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-# ---- rewrites and commands; fixtures of our own, the answers stated in SQL ----
+# ---- addresses of scripts ----
+
+
+#: A locator of each part, and its form in an address.
+LOCATOR = "CASE p_partkey % 3 WHEN 0 THEN concat('a b', p_partkey) WHEN 1 THEN concat('@', p_partkey) ELSE concat('(é)!~*', p_partkey) END"
+ENCODED = "CASE p_partkey % 3 WHEN 0 THEN concat('a%20b', p_partkey) WHEN 1 THEN concat('%40', p_partkey) ELSE concat('(%C3%A9)!~*', p_partkey) END"
 
 
-@_query("SELECT * FROM (VALUES ('a b', 'file://d/x.html.lectern-script.a%20b.mjs', 'd/x.html'), ('@0', 'file://d/x.html.lectern-script.%400.mjs', 'd/x.html'), ('(é)!~*', 'file://d/x.html.lectern-script.(%C3%A9)!~*.mjs', 'd/x.html')) v(locator, url, path)")
+@_query(f"SELECT {LOCATOR} AS locator, concat('file://d/', p_partkey, '.html.lectern-script.', {ENCODED}, '.mjs') AS url, concat('d/', p_partkey, '.html') AS path FROM part")
 def locator_url(spark, d):
-    rows = spark.createDataFrame([("a b",), ("@0",), ("(é)!~*",)], "locator string")
-    url = t.synthetic_url(F.lit("d/x.html"), "locator")
+    rows = _made(spark, d, "part", f"{LOCATOR} AS locator", "concat('d/', p_partkey, '.html') AS at")
+    url = t.synthetic_url("at", "locator")
     return rows.select("locator", url.alias("url"), t.real_path(url).alias("path"))
 
 

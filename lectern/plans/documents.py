@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lectern import registry, session
+from lectern import registry, session, tables
 from lectern.functions import markup, script
 from lectern.functions import text as t
-from lectern.operators import commands, corpus, overlay, references, rewrite, roster, validate
+from lectern.operators import commands, corpus, overlay, prose, references, rewrite, roster, validate
 from lectern.operators import selectors as sel
 from lectern.plans import made
 from lectern.plans.catalog import _query, _read
@@ -253,6 +253,20 @@ def first_descendant(spark, d):
     return found.join(nodes.select("path", F.col("node_id").alias("found"), F.col("content").alias("balance")), ["path", "found"]).join(outer, "path").select("path", "balance", "within")
 
 
+@_query(f"SELECT {PATH} AS path, 'hollow' AS violation FROM customer WHERE c_custkey % 3 <> 0")
+def hollow_documents(spark, d):
+    """Customers' documents without a tag, or a note that says something, by the table function over their instances."""
+    tables.register(spark, registry.Registry(), "hollow-action", tables.Hollow, lambda t: t["actions"], "document")
+    found = tables.audited(spark, "hollow-action", tables.actions(_nodes(spark, d), "customer-doc", ("customer-note", "customer-tag")), "document")
+    return found.select(F.substring_index("document", "#", 1).alias("path"), "violation")
+
+
+@_query(f"SELECT {made.SUPPLIER_PATH} AS path, unit, 'pronoun' AS rule FROM supplier, (VALUES (3), (4), (5)) v(unit)")
+def prose_scripts(spark, d):
+    rows = _scripts(spark, d).where("idx = 0").select("path", "source")
+    return prose.findings(rows, "path", "source", [prose.Rule("pronoun", r"\bit\.", ("it",))], "comment").select("path", F.col("unit").cast("long").alias("unit"), "rule")
+
+
 @_query(f"SELECT {made.SUPPLIER_PATH} AS path, id, 'script' AS tag FROM (SELECT s_suppkey, unnest([concat('s', s_suppkey), 'other']) AS id FROM supplier)")
 def element_by_id(spark, d):
     return sel.by_id(_nodes(spark, d).where("path like 'suppliers/%'")).select("path", "id", "tag")
