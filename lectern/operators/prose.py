@@ -11,12 +11,15 @@ import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lectern.functions import script
+from lectern.operators import corpus
 
 Spans = list[tuple[int, int]]
 
@@ -100,3 +103,18 @@ def findings(texts: DataFrame, key: str, text: str, rules: list[Rule], units: st
 
     picked = texts.selectExpr(f"`{key}`", f"CAST(`{text}` AS STRING) AS _text")
     return picked.mapInArrow(run, f"_key {kind}, unit int, rule string, start int, `end` int").toDF(key, "unit", "rule", "start", "end")
+
+
+def of_corpus(files: DataFrame, nodes: DataFrame, rules: list[Rule]) -> DataFrame:
+    """path, kind, place, unit, rule, start, end over everything in a corpus that is written to be read: the texts of documents
+    by sentence (outside scripts, styles and templates; place is the text's node), Markdown files by block and scripts'
+    comments (place is the script's index). Places are those in the node, file or script."""
+    raw = nodes.where((F.col("kind") == "element") & F.col("tag").isin("script", "style")).select("path", F.col("node_id").alias("parent_id"))
+    texts = nodes.where((F.col("kind") == "text") & F.col("tpl_root").isNull()).join(raw, ["path", "parent_id"], "left_anti")
+    own = {
+        "sentence": texts.select("path", F.col("node_id").alias("place"), "text"),
+        "block": files.where(F.col("path").endswith(".md")).select("path", F.lit(0).alias("place"), F.col("content").alias("text")),
+        "comment": corpus.scripts(nodes).select("path", F.col("idx").alias("place"), F.col("source").alias("text")),
+    }
+    parts = [findings(x.select(F.struct("path", "place").alias("at"), "text"), "at", "text", rules, unit).select("at.path", F.lit(unit).alias("kind"), "at.place", "unit", "rule", "start", "end") for unit, x in own.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import markup, script
 from lectern.functions import text as t
+from lectern.operators import selectors as sel
 
 
 def spliced(content: Column, edits: Column) -> Column:
@@ -47,6 +48,15 @@ def rewrite_imports(scripts: DataFrame, table: DataFrame, keys: list[str]) -> Da
     return apply_edits(scripts, found.join(table, "spec").select(*keys, "start", "end", F.col("new").alias("text")), keys, "source")
 
 
+def virtual_files(blocks: DataFrame, key: str, base: str) -> DataFrame:
+    """key, idx, name, text of the file that stands for each script block: its code with '#locator' imports leading to its
+    siblings' files. Data that isn't code keeps its slot, with nothing in it."""
+    edits = sibling_edits(blocks, key, base).where("text is not null")
+    code = apply_edits(blocks, edits, [key, "idx"], "source")
+    name = F.concat(F.col(base), F.lit("."), F.col("idx").cast("string"), t.script_lang("type"))
+    return code.select(key, "idx", name.alias("name"), F.when(sel.is_opaque("type"), F.lit("")).otherwise(F.col("source")).alias("text"))
+
+
 def sibling_edits(blocks: DataFrame, key: str, base: str) -> DataFrame:
     """key, idx, start, end, text of '#locator' imports; text is null where no sibling has the locator.
 

@@ -400,6 +400,21 @@ def block_mapping(spark, d):
     return rewrite.block_mapping(b, "path", "base").where("idx = 0").select("path", "seg", *[F.col(c).cast("long").alias(c) for c in ("source_offset", "generated_offset", "length")])
 
 
+@_query(f"""SELECT path, idx, concat(path, '.', idx, CASE WHEN idx = 1 THEN '.js' ELSE '.ts' END) AS name, CASE idx WHEN 0 THEN replace(command, '"#other"', concat('"./', path, '.1.js"')) WHEN 1 THEN 'export const o = 1' ELSE '' END AS text
+  FROM (SELECT {made.SUPPLIER_PATH} AS path, {made.COMMAND} AS command FROM supplier), (VALUES (0), (1), (2)) v(idx)""")
+def virtual_slots(spark, d):
+    """Suppliers' script blocks as the files that stand for them; the import map's is empty."""
+    return rewrite.virtual_files(_scripts(spark, d).select("path", F.col("path").alias("base"), "idx", "type", "id", "source"), "path", "base")
+
+
+@_query(f"""SELECT path, 'sentence' AS kind, 'stray' AS rule, 0 AS unit FROM (SELECT {PATH} AS path FROM customer WHERE c_custkey % 37 = 0)
+  UNION ALL SELECT {made.SUPPLIER_PATH}, 'comment', 'stock', unit FROM supplier, (VALUES (2)) v(unit) UNION ALL SELECT concat('notes/', n_nationkey, '.md'), 'block', 'stock', 1 FROM nation""")
+def prose_corpus(spark, d):
+    notes = _read(spark, d, "nation").select(F.expr("concat('notes/', n_nationkey, '.md')").alias("path"), F.expr("concat('# ', n_name, chr(10), chr(10), 'Stock.', chr(10))").alias("content"))
+    rules = [prose.Rule("stray", "stray [a-z]+", ("stray ",)), prose.Rule("stock", "Stock[.]", ("Stock",))]
+    return prose.of_corpus(made.files(spark, d).unionByName(notes), _nodes(spark, d), rules).select("path", "kind", "rule", "unit")
+
+
 @_query("SELECT c_custkey AS instance, 'attribute' AS rule, 'nation@key' AS field, 'nation@key: attribute' AS message FROM customer WHERE NOT regexp_matches(CAST(c_nationkey AS VARCHAR), '^1')")
 def validate_attr(spark, d):
     found = _read(spark, d, "customer").select(F.col("c_custkey").alias("instance"), F.lit("nation").alias("field"), F.lit("x").alias("text"), F.create_map(F.lit("key"), F.col("c_nationkey").cast("string")).alias("attrs"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus, validate
+from lectern.operators.prose import Rule
 from lectern.sources.store import NodeStore, session_store
 
 
@@ -29,7 +30,7 @@ class Audit:
 class Registry:
     checks: dict[tuple[str, str], Callable[[dict], object]] = field(default_factory=dict)
     audits: dict[str, Audit] = field(default_factory=dict)
-    rules: dict[str, str] = field(default_factory=dict)
+    rules: dict[str, Rule] = field(default_factory=dict)
     modules: dict[tuple[str, str], dict[str, object]] = field(default_factory=dict)
 
     def check(self, template_path: str, type_id: str):
@@ -50,10 +51,10 @@ class Registry:
 
         return add
 
-    def rule(self, name: str, pattern: str) -> None:
-        """A rule for prose: a regular expression that no text may contain."""
+    def rule(self, name: str, pattern: str, needs: tuple[str, ...] = ()) -> None:
+        """A rule for prose: a regular expression that no text may contain, and literals of which every match holds one."""
         re.compile(pattern)
-        self.rules[name] = pattern
+        self.rules[name] = Rule(name, pattern, needs)
 
     def module(self, path: str, locator: str, **exports: object) -> None:
         """What a document's script exports; its commands are functions of a context, or tables of verbs."""
@@ -66,9 +67,9 @@ class Registry:
             raise LookupError(f"no module {path}#{locator}") from None
 
 
-def prose(texts: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
-    """key, rule of each rule that a text breaks; all rules in one scan of each text."""
-    hits = [F.when(F.col(text).rlike(p), F.lit(r)) for r, p in rules.items()]
+def prose(texts: DataFrame, key: str, text: str, rules: dict[str, Rule]) -> DataFrame:
+    """key, rule of each rule that a text breaks; all rules in one scan of each text. ``operators.prose`` says where."""
+    hits = [F.when(F.col(text).rlike(r.pattern), F.lit(r.name)) for r in rules.values()]
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return texts.select(key, F.explode(found).alias("rule"))
 

@@ -132,3 +132,24 @@ def test_a_failing_write_leaves_nothing(spark, tmp_path):
     changes = [("a.html", None, "deleted"), ("b.html", "3", "wrote"), ("d/e.html", "4", "wrote")]
     spark.createDataFrame(changes, "path string, content string, action string").write.format("lectern").mode("append").save(root)
     assert sorted(map(tuple, files.files(spark, root).collect())) == [("b.html", "3"), ("d/e.html", "4")]
+
+
+def test_public_names_load_when_asked_for():
+    import subprocess
+    import sys
+
+    code = "import sys, lectern; assert 'pandas' not in sys.modules; [getattr(lectern, n) for n in lectern.__all__]; from lectern import NodeStore, corpus; print(len(lectern.__all__))"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 20
+    with pytest.raises(AttributeError):
+        import lectern
+
+        lectern.nothing  # noqa: B018
+
+
+def test_virtual_files(spark):
+    from lectern.operators import rewrite
+
+    blocks = [("p", 0, "node/command", "a", "import x from '#b'; import y from '#none'"), ("p", 1, "module", "b", "1"), ("p", 2, "node/importmap", "", "{}")]
+    df = spark.createDataFrame([(*b, "p.html") for b in blocks], "path string, idx int, type string, id string, source string, base string")
+    got = {r.name: r.text for r in rewrite.virtual_files(df, "path", "base").collect()}
+    assert got == {"p.html.0.ts": "import x from './p.html.1.js'; import y from '#none'", "p.html.1.js": "1", "p.html.2.ts": ""}
