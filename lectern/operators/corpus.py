@@ -95,7 +95,7 @@ def instance_fields(nodes: DataFrame) -> DataFrame:
 
 def validators(nodes: DataFrame) -> DataFrame:
     """template_path, type_id, locator of the first script that validates a type."""
-    own = scripts(nodes).where(F.map_contains_key("attrs", F.lit("data-validates")))
+    own = scripts(nodes).where(sel.has("data-validates"))
     goal = F.col("attrs")["data-validates"]
     rows = own.where(goal.startswith("#")).select(F.col("path").alias("template_path"), F.substring(goal, 2, 1 << 20).alias("type_id"), "locator", "node_id")
     return sel.first(rows, "template_path", "type_id").drop("node_id")
@@ -207,7 +207,7 @@ def instances_per_host(nodes: DataFrame, hosts: DataFrame) -> DataFrame:
 
 def audits(nodes: DataFrame) -> DataFrame:
     """name, path, touches, expects, source of every audit."""
-    rows = scripts(nodes).where(F.map_contains_key("attrs", F.lit("data-audits")))
+    rows = scripts(nodes).where(sel.has("data-audits"))
     words = lambda name: F.filter(F.split(F.coalesce(F.col("attrs")[name], F.lit("")), r"\s+"), lambda x: x != "")
     return rows.select(F.col("attrs")["data-audits"].alias("name"), "path", F.coalesce(F.col("attrs")["data-touches"], F.lit("")).alias("touches"), words("data-expects").alias("expects"), "source", "locator")
 

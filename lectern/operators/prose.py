@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import script
 from lectern.operators import corpus
+from lectern.operators import selectors as sel
 
 Spans = list[tuple[int, int]]
 
@@ -109,7 +110,7 @@ def of_corpus(files: DataFrame, nodes: DataFrame, rules: list[Rule]) -> DataFram
     """path, kind, place, unit, rule, start, end over everything in a corpus that is written to be read: the texts of documents
     by sentence (outside scripts, styles and templates; place is the text's node), Markdown files by block and scripts'
     comments (place is the script's index). Places are those in the node, file or script."""
-    raw = nodes.where((F.col("kind") == "element") & F.col("tag").isin("script", "style")).select("path", F.col("node_id").alias("parent_id"))
+    raw = nodes.where(sel.raw_text()).select("path", F.col("node_id").alias("parent_id"))
     texts = nodes.where((F.col("kind") == "text") & F.col("tpl_root").isNull()).join(raw, ["path", "parent_id"], "left_anti")
     own = {
         "sentence": texts.select("path", F.col("node_id").alias("place"), "text"),
